@@ -194,12 +194,12 @@ def _recommended(ctes: list[str]) -> list[str]:
 
 
 def _structs(ctes: list[str]) -> list[str]:
-    return ctes + exact("S", "FL") + [
+    return ctes + exact("M", "FL") + [
         "SC AS (SELECT contract_id, type_id, count(*) AS n_fields, "
         "sum(CASE WHEN cls = 'full' THEN (number_of_bytes + 31) // 32 ELSE 0 END) AS full_slots, "
         "count(*) FILTER (WHERE cls = 'dynamic') AS n_dyn, count(*) FILTER (WHERE cls = 'packable') AS n_pack "
         "FROM FL GROUP BY 1, 2)",
-        "SB AS (SELECT contract_id, count(DISTINCT bin_no) AS nbins FROM SIB GROUP BY 1)",
+        "SB AS (SELECT contract_id, count(DISTINCT bin_no) AS nbins FROM MIB GROUP BY 1)",
         "INST AS (SELECT contract_id, type_id, count(*) AS inst FROM E GROUP BY 1, 2)",
         "SO AS (SELECT st.contract_id, st.type_id, CAST(sc.n_fields AS BIGINT) AS n_fields, "
         "CAST((st.number_of_bytes + 31) // 32 AS BIGINT) AS current_slots, "
