@@ -91,9 +91,9 @@ class Analysis:
         return self._get("errors", lambda: report.contract_errors(self.entries, self.strategy(), self.struct_summary()))
 
     def report(self) -> DataFrame:
-        return self._get("report", lambda: report.contract_report(
+        return self._get("report", lambda: self._mat(report.contract_report(
             self.contracts, self.strategy(), self.current_slots(), self.current_waste(), self.estimate(),
-            self.issue_counts(), self.struct_summary(), self.errors()))
+            self.issue_counts(), self.struct_summary(), self.errors())))
 
     def bulk_rows(self, file_errors: DataFrame | None = None, profile: DataFrame | None = None) -> DataFrame:
         return report.bulk_rows(self.report(), file_errors, profile)

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from slotpack.functions import nextfit
 from slotpack.operators import corpus, metrics, packing
 from slotpack.plans.analysis import Analysis
-from slotpack.sources import standin
+from slotpack.sources import bulk_csv, layout_json, standin
+from slotpack.session import ensure_checkpoint_dir
 
 BOTH = ("order", "part")
 
@@ -32,7 +33,11 @@ def _analysis(spark: SparkSession, sf_dir: str, corpora=BOTH) -> Analysis:
 def q_declared_layout(spark, sf_dir):
     """slot/offset of every stand-in variable under the compiler's sequential rule."""
     v = standin.variables(spark, sf_dir, BOTH)
-    typed = v.select("contract_id", "ordinal", standin._lookup(F.col("_code"), 2).cast("int").alias("number_of_bytes"))
+    st = standin.structs(standin.struct_fields(spark, sf_dir, BOTH, base=v))
+    typed = (v.join(st.select("contract_id", F.col("number_of_bytes").alias("_sb")), "contract_id", "left")
+             .select("contract_id", "ordinal",
+                     F.when(standin._lookup(F.col("_code"), 0) == standin.STRUCT_TYPE_ID, F.col("_sb"))
+                     .otherwise(standin._lookup(F.col("_code"), 2)).cast("int").alias("number_of_bytes")))
     p = nextfit.positions(typed, ["contract_id"], "ordinal", "number_of_bytes")
     return p.select("contract_id", F.col("ordinal").cast("int").alias("ordinal"),
                     F.col("slot").cast("bigint").alias("slot"), F.col("offset").cast("int").alias("offset"))
@@ -163,6 +168,37 @@ def q_savings_preview(spark, sf_dir, corpora=("order",)):
     return corpus.savings_preview(a.report(), a.struct_optimization())
 
 
+def _ingested(spark, sf_dir):
+    c = _corpus(spark, sf_dir, ("order",))
+    docs = layout_json.to_documents(c.contracts, c.entries, c.struct_fields, c.structs)
+    return layout_json.layout_tables(layout_json.parse_documents(docs))
+
+
+def q_layout_ingest(spark, sf_dir):
+    """Layout documents of the order contracts parsed back into entries."""
+    return _ingested(spark, sf_dir)["entries"].select(
+        "contract_id", "ordinal", "label", "offset", "slot_text", "slot", "type_id", "number_of_bytes",
+        "type_label", "encoding")
+
+
+def q_layout_structs(spark, sf_dir):
+    """Struct definitions and their members from the same documents."""
+    t = _ingested(spark, sf_dir)
+    return (t["struct_fields"].join(t["structs"].select("contract_id", "type_id", F.col("number_of_bytes")
+                                                         .alias("struct_bytes")), ["contract_id", "type_id"])
+            .select("contract_id", "type_id", "struct_bytes", "ordinal", "label", "member_type_id", "type_label",
+                    "number_of_bytes", "encoding", "slot", "offset"))
+
+
+def q_bulk_csv_report(spark, sf_dir):
+    """Bulk rows written as CSV to the checkpoint folder, read back, dataset report."""
+    import uuid
+    rows = _analysis(spark, sf_dir, ("order",)).bulk_rows()
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bulk-csv-{uuid.uuid4().hex}"
+    bulk_csv.write_bulk_csv(rows, path)
+    return corpus.dataset_report(bulk_csv.read_bulk_csv(spark, path))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "declared_layout": q_declared_layout,
     "current_slots": q_current_slots,
@@ -186,6 +222,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_contracts": q_top_contracts,
     "top_contracts_cli": q_top_contracts_cli,
     "savings_preview": q_savings_preview,
+    "layout_ingest": q_layout_ingest,
+    "layout_structs": q_layout_structs,
+    "bulk_csv_report": q_bulk_csv_report,
     "contract_report_all": lambda s, d: q_contract_report(s, d, BOTH),
     "bulk_summary_all": lambda s, d: q_bulk_summary(s, d, BOTH),
     "dataset_report_all": lambda s, d: q_dataset_report(s, d, BOTH),

@@ -87,28 +87,27 @@ def _positions(name: str, src: str) -> str:
     )
 
 
-def base(corpora, fields: bool = False) -> list[str]:
-    ctes = [_tl(), _vars(corpora), _contracts(corpora),
-            "E0 AS (SELECT v.contract_id, v.ordinal, 'v' || CAST(v.ordinal AS VARCHAR) AS label, t.type_id, "
-            "t.type_label, t.nbytes AS number_of_bytes, t.encoding FROM V v JOIN TL t ON t.code = v.code)",
-            _positions("POS", "E0"),
-            "E AS (SELECT e.*, CAST(p.slot AS BIGINT) AS slot, CAST(p.off AS INTEGER) AS \"offset\", "
-            "CAST(p.slot AS VARCHAR) AS slot_text, "
-            "CASE WHEN lower(e.encoding) <> 'inplace' THEN 'dynamic' WHEN e.number_of_bytes >= 32 THEN 'full' "
-            "ELSE 'packable' END AS cls FROM E0 e JOIN POS p USING (contract_id, ordinal))"]
-    if fields:
-        ctes += [
-            f"F0 AS (SELECT v.contract_id, '{STRUCT_TYPE_ID}' AS type_id, v.ordinal, 'f' || CAST(v.ordinal AS VARCHAR) AS label, "
-            "t.type_id AS member_type_id, t.type_label, t.nbytes AS number_of_bytes, t.encoding "
-            "FROM V v JOIN TL t ON t.code = v.mcode)",
-            _positions("FPOS", "F0"),
-            "FL AS (SELECT f.*, CAST(p.slot AS INTEGER) AS slot, CAST(p.off AS INTEGER) AS \"offset\", "
-            "CASE WHEN lower(f.encoding) <> 'inplace' THEN 'dynamic' WHEN f.number_of_bytes >= 32 THEN 'full' "
-            "ELSE 'packable' END AS cls FROM F0 f JOIN FPOS p USING (contract_id, ordinal))",
-            "ST AS (SELECT contract_id, type_id, CAST(32 * max(slot + CASE WHEN number_of_bytes <= 0 THEN 1 "
-            "ELSE (number_of_bytes + 31) // 32 END) AS INTEGER) AS number_of_bytes FROM FL GROUP BY 1, 2)",
-        ]
-    return ctes
+def base(corpora, fields: bool = True) -> list[str]:
+    cls = ("CASE WHEN lower({a}.encoding) <> 'inplace' THEN 'dynamic' WHEN {a}.number_of_bytes >= 32 THEN 'full' "
+           "ELSE 'packable' END AS cls")
+    return [
+        _tl(), _vars(corpora), _contracts(corpora),
+        f"F0 AS (SELECT v.contract_id, '{STRUCT_TYPE_ID}' AS type_id, v.ordinal, 'f' || CAST(v.ordinal AS VARCHAR) AS label, "
+        "t.type_id AS member_type_id, t.type_label, t.nbytes AS number_of_bytes, t.encoding "
+        "FROM V v JOIN TL t ON t.code = v.mcode)",
+        _positions("FPOS", "F0"),
+        "FL AS (SELECT f.*, CAST(p.slot AS INTEGER) AS slot, CAST(p.off AS INTEGER) AS \"offset\", "
+        + cls.format(a="f") + " FROM F0 f JOIN FPOS p USING (contract_id, ordinal))",
+        "ST AS (SELECT contract_id, type_id, CAST(32 * max(slot + CASE WHEN number_of_bytes <= 0 THEN 1 "
+        "ELSE (number_of_bytes + 31) // 32 END) AS INTEGER) AS number_of_bytes FROM FL GROUP BY 1, 2)",
+        "E0 AS (SELECT v.contract_id, v.ordinal, 'v' || CAST(v.ordinal AS VARCHAR) AS label, t.type_id, "
+        f"t.type_label, CAST(CASE WHEN t.type_id = '{STRUCT_TYPE_ID}' THEN st.number_of_bytes ELSE t.nbytes END AS INTEGER) "
+        "AS number_of_bytes, t.encoding FROM V v JOIN TL t ON t.code = v.code "
+        "LEFT JOIN ST st ON st.contract_id = v.contract_id)",
+        _positions("POS", "E0"),
+        "E AS (SELECT e.*, CAST(p.slot AS BIGINT) AS slot, CAST(p.off AS INTEGER) AS \"offset\", "
+        "CAST(p.slot AS VARCHAR) AS slot_text, " + cls.format(a="e") + " FROM E0 e JOIN POS p USING (contract_id, ordinal))",
+    ]
 
 
 def _sn(b: str) -> str:
@@ -216,7 +215,7 @@ def _structs(ctes: list[str]) -> list[str]:
 
 
 def _report(corpora=ORDER) -> list[str]:
-    ctes = _structs(_recommended(base(corpora, fields=True)))
+    ctes = _structs(_recommended(base(corpora)))
     return ctes + [
         "CS AS (SELECT contract_id, max(slot + " + _sn("number_of_bytes") + ") AS cs FROM E GROUP BY 1)",
         "CWS AS (SELECT contract_id, slot, sum(number_of_bytes) AS used FROM E GROUP BY 1, 2)",
@@ -289,8 +288,7 @@ def oracle_sql() -> dict[str, str]:
     b2 = base(BOTH)
     q: dict[str, str] = {}
     q["declared_layout"] = _with(
-        [_tl(), _vars(BOTH), "E0 AS (SELECT v.contract_id, v.ordinal, t.nbytes AS number_of_bytes FROM V v "
-                             "JOIN TL t ON t.code = v.code)", _positions("POS", "E0")],
+        base(BOTH),
         "SELECT contract_id, ordinal, CAST(slot AS BIGINT) AS slot, CAST(off AS INTEGER) AS \"offset\" FROM POS")
     q["current_slots"] = _with(b2, "SELECT c.contract_id, CAST(coalesce(m.cs, 0) AS BIGINT) AS current_slots FROM C c "
                                "LEFT JOIN (SELECT contract_id, max(slot + " + _sn("number_of_bytes") + ") AS cs "
@@ -342,7 +340,7 @@ def oracle_sql() -> dict[str, str]:
              "ELSE 'group_partial' END AS note_code FROM RO r JOIN RS s USING (contract_id, slot_index)")
     q["next_fit_estimate"] = _with(rec, "SELECT contract_id, recommended_slots, recommended_wasted FROM EST")
     q["struct_optimization"] = _with(
-        _structs(base(ORDER, fields=True)),
+        _structs(base(ORDER)),
         "SELECT contract_id, type_id, n_fields, current_slots, optimal_slots, direct_instances, "
         "CAST(saved_per_instance AS BIGINT) AS saved_per_instance, total_saved_slots, improved, struct_strategy FROM SOPT")
     rep = _report()
@@ -404,4 +402,12 @@ def oracle_sql() -> dict[str, str]:
         "FROM (SELECT file, sum(current_slots - recommended_slots) AS st FROM REP WHERE status = 'OK' GROUP BY 1) s "
         "LEFT JOIN (SELECT r.file, sum(o.total_saved_slots) AS sv FROM SOPT o JOIN REP r USING (contract_id) "
         "WHERE o.saved_per_instance > 0 AND r.status = 'OK' GROUP BY 1) t USING (file)"))
+    ing = base(ORDER) + ["IDS AS (SELECT contract_id, 'layouts/' || contract_id || '.json:' || file || ':' "
+                                      "|| contract_name AS doc_id FROM C)"]
+    q["layout_ingest"] = _with(ing, "SELECT i.doc_id AS contract_id, e.ordinal, e.label, e.\"offset\", e.slot_text, e.slot, "
+                                    "e.type_id, e.number_of_bytes, e.type_label, e.encoding FROM E e JOIN IDS i USING (contract_id)")
+    q["layout_structs"] = _with(ing, "SELECT i.doc_id AS contract_id, f.type_id, st.number_of_bytes AS struct_bytes, f.ordinal, "
+                                     "f.label, f.member_type_id, f.type_label, f.number_of_bytes, f.encoding, f.slot, "
+                                     "f.\"offset\" FROM FL f JOIN ST st USING (contract_id, type_id) JOIN IDS i USING (contract_id)")
+    q["bulk_csv_report"] = q["dataset_report"]
     return q

@@ -7,7 +7,8 @@ of the ``contracts`` / ``entries`` / ``structs`` / ``struct_fields`` tables; eve
 in the operators on top of them.
 
 Mapping (fixed, also written in the oracle SQL):
-* variable type from ``cast(l_quantity as int) % 10`` through the ten-entry type list below;
+* variable type from ``cast(l_quantity as int) % 10`` through the ten-entry type list below
+  (code 9 is the struct type: its size is that of the contract's struct definition);
 * struct members (struct ``Pair``, one per contract) from ``(l_linenumber + l_suppkey) % 9``;
 * ordinal = position under the unique key (l_orderkey, l_linenumber, l_partkey, l_suppkey,
   l_extendedprice) inside the contract;
@@ -34,7 +35,7 @@ TYPE_LIST = [
     ("t_address", "address", 20, "inplace"),
     ("t_uint256", "uint256", 32, "inplace"),
     ("t_mapping(t_address,t_uint256)", "mapping(address => uint256)", 32, "mapping"),
-    ("t_struct(Pair)_storage", "struct Pair", 64, "inplace"),
+    ("t_struct(Pair)_storage", "struct Pair", 0, "inplace"),  # size: the contract's struct definition
 ]
 STRUCT_TYPE_ID = "t_struct(Pair)_storage"
 STRUCT_LABEL = "struct Pair"
@@ -75,16 +76,23 @@ def variables(spark: SparkSession, sf_dir: str, corpora=("order", "part")) -> Da
 
 
 def entries(spark: SparkSession, sf_dir: str, corpora=("order", "part"),
-            base: DataFrame | None = None) -> DataFrame:
-    """``entries`` table with slots assigned by the compiler's sequential rule."""
+            base: DataFrame | None = None, structs_df: DataFrame | None = None) -> DataFrame:
+    """``entries`` table with slots assigned by the compiler's sequential rule.
+
+    Variables of the struct type take the size of their contract's struct definition.
+    """
     v = base if base is not None else variables(spark, sf_dir, corpora)
-    typed = v.select(
+    if structs_df is None:
+        structs_df = structs(struct_fields(spark, sf_dir, corpora, base=v))
+    sizes = structs_df.select("contract_id", F.col("number_of_bytes").alias("_struct_bytes"))
+    typed = v.join(sizes, "contract_id", "left").select(
         "contract_id", "ordinal",
         F.col("ordinal").alias("ast_id"),
         F.col("contract_id").alias("contract"),
         F.concat(F.lit("v"), F.col("ordinal").cast("string")).alias("label"),
         _lookup(F.col("_code"), 0).alias("type_id"),
-        _lookup(F.col("_code"), 2).cast("int").alias("number_of_bytes"),
+        F.when(_lookup(F.col("_code"), 0) == STRUCT_TYPE_ID, F.col("_struct_bytes"))
+        .otherwise(_lookup(F.col("_code"), 2)).cast("int").alias("number_of_bytes"),
         _lookup(F.col("_code"), 1).alias("type_label"),
         _lookup(F.col("_code"), 3).alias("encoding"),
     )
@@ -179,7 +187,8 @@ class Corpus:
 
     @property
     def entries(self) -> DataFrame:
-        return self._get("entries", lambda: self._keep(entries(self.spark, self.sf_dir, self.corpora, base=self._v)))
+        return self._get("entries", lambda: self._keep(entries(self.spark, self.sf_dir, self.corpora, base=self._v,
+                                                               structs_df=self.structs)))
 
     @property
     def struct_fields(self) -> DataFrame:
