@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotpack.functions import nextfit
-from slotpack.operators import corpus, metrics, packing
+from slotpack.operators import corpus, metrics, packing, profile
 from slotpack.plans.analysis import Analysis
 from slotpack.sources import bulk_csv, layout_json, standin
 from slotpack.session import ensure_checkpoint_dir
@@ -199,6 +199,31 @@ def q_bulk_csv_report(spark, sf_dir):
     return corpus.dataset_report(bulk_csv.read_bulk_csv(spark, path))
 
 
+def _sources(spark, sf_dir):
+    c = _corpus(spark, sf_dir, ("order",))
+    return standin.sources(c.contracts, c.entries)
+
+
+def q_source_profile(spark, sf_dir):
+    """Per-file preprocessing counters, external types, modified flag, warnings."""
+    return profile.profile(_sources(spark, sf_dir)).drop("functions_removed")
+
+
+def q_external_types(spark, sf_dir):
+    """(file, type) for every external state-variable type."""
+    return profile.external_type_rows(_sources(spark, sf_dir))
+
+
+def q_local_declarations(spark, sf_dir):
+    """(file, name) for every locally declared identifier."""
+    return profile.declarations(_sources(spark, sf_dir))
+
+
+def q_inheritance_edges(spark, sf_dir):
+    """(file, child, parent, position) of every inheritance list."""
+    return profile.inheritance_edges(_sources(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "declared_layout": q_declared_layout,
     "current_slots": q_current_slots,
@@ -225,6 +250,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "layout_ingest": q_layout_ingest,
     "layout_structs": q_layout_structs,
     "bulk_csv_report": q_bulk_csv_report,
+    "source_profile": q_source_profile,
+    "external_types": q_external_types,
+    "local_declarations": q_local_declarations,
+    "inheritance_edges": q_inheritance_edges,
     "contract_report_all": lambda s, d: q_contract_report(s, d, BOTH),
     "bulk_summary_all": lambda s, d: q_bulk_summary(s, d, BOTH),
     "dataset_report_all": lambda s, d: q_dataset_report(s, d, BOTH),

@@ -9,7 +9,9 @@ reference tie-break (largest optimal subset mask first) is read off directly.
 
 from __future__ import annotations
 
-from slotpack.sources.standin import STRUCT_TYPE_ID, TYPE_LIST
+from slotpack.operators import profile as P
+from slotpack.schema import NON_TYPE_KEYWORDS, solidity_value_types
+from slotpack.sources.standin import FILE_HEADER_CARET, FILE_HEADER_FIXED, FILE_PRELUDE, STRUCT_TYPE_ID, TYPE_LIST
 
 SORT = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 _CORPUS_SQL = {
@@ -410,4 +412,82 @@ def oracle_sql() -> dict[str, str]:
                                      "f.label, f.member_type_id, f.type_label, f.number_of_bytes, f.encoding, f.slot, "
                                      "f.\"offset\" FROM FL f JOIN ST st USING (contract_id, type_id) JOIN IDS i USING (contract_id)")
     q["bulk_csv_report"] = q["dataset_report"]
+    src = _sources_sql()
+    q["source_profile"] = _with(src, _profile_sql())
+    q["external_types"] = _with(src, "SELECT file, unnest(ext) AS type FROM (" + _ext_sql() + ")")
+    q["local_declarations"] = _with(src, "SELECT file, unnest(loc) AS name FROM (SELECT file, " + _locals_sql("text")
+                                    + " AS loc FROM SRC)")
+    q["inheritance_edges"] = _with(src, (
+        "SELECT file, child, unnest(parents) AS parent, CAST(unnest(range(0, len(parents))) AS INTEGER) AS position "
+        "FROM (SELECT file, child, regexp_extract_all(plist, " + _lit(P.PARENT_NAME) + ", 1) AS parents FROM ("
+        "SELECT file, unnest(regexp_extract_all(text, " + _lit(P.INHERITANCE_HEADER) + ", 2)) AS child, "
+        "unnest(regexp_extract_all(text, " + _lit(P.INHERITANCE_HEADER) + ", 3)) AS plist FROM SRC))"))
     return q
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _sources_sql() -> list[str]:
+    nl = "chr(10)"
+    dt = ("CASE WHEN type_id = 't_address' AND ordinal % 2 = 1 THEN 'Token' "
+          "WHEN type_id = 't_uint128' AND ordinal % 2 = 1 THEN 'Vault[]' "
+          f"WHEN type_id = '{STRUCT_TYPE_ID}' THEN 'Pair' ELSE type_label END")
+    prelude = " || chr(10) || ".join(_lit(x) for x in FILE_PRELUDE)
+    return base(ORDER) + [
+        f"DL AS (SELECT contract_id, string_agg('    ' || ({dt}) || ' public ' || label || ';', {nl} ORDER BY ordinal) AS decls, "
+        "count(*) AS n, max(CASE WHEN starts_with(type_id, 't_mapping') THEN 1 ELSE 0 END) AS hm FROM E GROUP BY 1)",
+        "CT AS (SELECT c.file, c.contract_ord, 'contract ' || c.contract_name || ' is Base' || "
+        f"CASE WHEN d.n >= 4 THEN ', Ownable(msg.sender)' ELSE '' END || ' {{' || {nl} || "
+        f"CASE WHEN d.n % 2 = 1 THEN '    using SafeMath for uint256;' || {nl} ELSE '' END || "
+        f"'    enum Mode {{ Idle, Busy }}' || {nl} || '    struct Pair {{ uint64 a; bool b; }}' || {nl} || "
+        f"d.decls || {nl} || CASE WHEN d.hm = 1 THEN '    /// @inheritdoc Base' || {nl} ELSE '' END || "
+        "'    constructor(uint256 a) Base(a)' || CASE WHEN d.n >= 4 THEN ' Ownable(msg.sender)' ELSE '' END || "
+        f"' {{}}' || {nl} || '    function touch() external {{}}' || {nl} || '}}' AS ctext "
+        "FROM C c JOIN DL d USING (contract_id))",
+        f"SRC AS (SELECT file, '// SPDX-License-Identifier: MIT' || {nl} || CASE WHEN starts_with(file, 'real/') "
+        f"THEN {_lit(FILE_HEADER_FIXED)} ELSE {_lit(FILE_HEADER_CARET)} END || {nl} || {prelude} || {nl} || "
+        f"string_agg(ctext, {nl} ORDER BY contract_ord) AS text FROM CT GROUP BY file)",
+    ]
+
+
+def _locals_sql(t: str) -> str:
+    groups = [f"list_filter(regexp_extract_all({t}, {_lit(P.LOCAL_TYPE_DECL)}, {g}), lambda x: x <> '')"
+              for g in (1, 2, 3, 5, 6, 7, 8)]
+    enums = (f"flatten(list_transform(list_filter(regexp_extract_all({t}, {_lit(P.LOCAL_TYPE_DECL)}, 4), "
+             "lambda x: x <> ''), lambda b: list_filter(list_transform(string_split(b, ','), lambda v: trim(v)), "
+             "lambda v: v <> '')))")
+    return "list_distinct(flatten([" + ", ".join(groups + [enums]) + "]))"
+
+
+def _ext_sql() -> str:
+    known = "[" + ", ".join(_lit(x) for x in solidity_value_types() + NON_TYPE_KEYWORDS) + "]"
+    cands = (f"list_concat(regexp_extract_all(text, {_lit(P.STATE_VAR_DECL)}, 2), "
+             f"regexp_extract_all(text, {_lit(P.ARRAY_VAR_DECL)}, 2))")
+    return (f"SELECT file, list_sort(list_distinct(list_filter({cands}, lambda x: NOT list_contains({known}, x) "
+            f"AND NOT list_contains(loc, x)))) AS ext FROM (SELECT file, text, {_locals_sql('text')} AS loc FROM SRC)")
+
+
+def _profile_sql() -> str:
+    cnt = lambda p: f"CAST(len(regexp_extract_all(text, {_lit(p)})) AS BIGINT)"
+    return (
+        "SELECT *, CASE WHEN imports_removed + inheritance_removed + usings_removed + parent_calls_removed + "
+        "types_replaced + inheritdoc_removed > 0 THEN "
+        "'Isolated analysis: ' || imports_removed || ' imports, ' || inheritance_removed || ' inheritance lists, ' || "
+        "usings_removed || ' using directives, ' || parent_calls_removed || ' parent calls, 0 function bodies stripped, '"
+        " || '0 external modifiers removed from signatures, ' || inheritdoc_removed || ' @inheritdoc tags removed, ' || "
+        "types_replaced || ' external types replaced with address in state vars/mapping/array. The layout reflects "
+        "ONLY the variables declared in this file.' END AS warning, "
+        "CASE WHEN types_replaced > 0 THEN 'External types replaced with `address`: ' || external_types END AS types_warning, "
+        "imports_removed + inheritance_removed + usings_removed + parent_calls_removed + types_replaced > 0 AS modified "
+        "FROM (SELECT s.file, regexp_matches(s.text, " + _lit(P.PRAGMA_FIXED) + ") AS pragma_relaxed, "
+        + cnt(P.INHERITDOC_TAG) + " AS inheritdoc_removed, "
+        "CAST(len(list_filter(string_split(s.text, chr(10)), lambda l: regexp_matches(l, " + _lit(P.IMPORT_LINE) + "))) "
+        "AS BIGINT) AS imports_removed, "
+        + cnt(P.USING_DIRECTIVE) + " AS usings_removed, " + cnt(P.INHERITANCE_HEADER) + " AS inheritance_removed, "
+        "CAST(coalesce(list_sum(list_transform(regexp_extract_all(s.text, " + _lit(P.CONSTRUCTOR_HEADER) + ", 2), "
+        "lambda g: len(regexp_extract_all(g, " + _lit(P.PARENT_CALL_IN_HEADER) + ")))), 0) AS BIGINT) AS parent_calls_removed, "
+        "CAST(len(x.ext) AS BIGINT) AS types_replaced, array_to_string(x.ext, ', ') AS external_types "
+        "FROM SRC s JOIN (" + _ext_sql() + ") x USING (file))"
+    )

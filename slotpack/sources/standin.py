@@ -209,3 +209,60 @@ def _materialize(df: DataFrame) -> DataFrame:
     from slotpack.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+# ---------------------------------------------------------------------------
+# Source texts (stand-in for the Solidity files of the corpus)
+# ---------------------------------------------------------------------------
+FILE_HEADER_FIXED = "pragma solidity 0.8.19;"
+FILE_HEADER_CARET = "pragma solidity ^0.8.19;"
+FILE_PRELUDE = ['import "./Base.sol";', 'import {Token, Vault} from "./Deps.sol";',
+                "interface IHook { function hook() external; }"]
+
+
+def _decl_type() -> F.Column:
+    odd = (F.col("ordinal") % 2) == 1
+    return (F.when((F.col("type_id") == "t_address") & odd, F.lit("Token"))
+            .when((F.col("type_id") == "t_uint128") & odd, F.lit("Vault[]"))
+            .when(F.col("type_id") == STRUCT_TYPE_ID, F.lit("Pair"))
+            .otherwise(F.col("type_label")))
+
+
+def sources(contracts_df: DataFrame, entries_df: DataFrame) -> DataFrame:
+    """(file, text): one Solidity-like file per corpus file, declaring its contracts' variables.
+
+    Real files pin the compiler version, every contract inherits ``Base`` (and ``Ownable`` from four
+    variables on), odd-sized contracts use a library, contracts with a mapping carry an @inheritdoc
+    tag, odd positions of address/uint128 variables use the external types Token / Vault[].
+    """
+    nl = F.lit("\n")
+    decls = (entries_df.select("contract_id", "ordinal", "type_id",
+                               F.concat(F.lit("    "), _decl_type(), F.lit(" public "), F.col("label"), F.lit(";"))
+                               .alias("line"))
+             .groupBy("contract_id")
+             .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "line"))),
+                                           lambda x: x["line"]), "\n").alias("decls"),
+                  F.count(F.lit(1)).alias("n"),
+                  F.max(F.col("type_id").startswith("t_mapping").cast("int")).alias("hm")))
+    many = F.col("n") >= 4
+    ctext = F.concat(
+        F.lit("contract "), F.col("contract_name"), F.lit(" is Base"),
+        F.when(many, F.lit(", Ownable(msg.sender)")).otherwise(F.lit("")), F.lit(" {"), nl,
+        F.when(F.col("n") % 2 == 1, F.lit("    using SafeMath for uint256;\n")).otherwise(F.lit("")),
+        F.lit("    enum Mode { Idle, Busy }\n"),
+        F.lit("    struct Pair { uint64 a; bool b; }\n"),
+        F.col("decls"), nl,
+        F.when(F.col("hm") == 1, F.lit("    /// @inheritdoc Base\n")).otherwise(F.lit("")),
+        F.lit("    constructor(uint256 a) Base(a)"),
+        F.when(many, F.lit(" Ownable(msg.sender)")).otherwise(F.lit("")), F.lit(" {}\n"),
+        F.lit("    function touch() external {}\n"),
+        F.lit("}"))
+    per_contract = contracts_df.join(decls, "contract_id").select("file", "contract_ord", ctext.alias("ctext"))
+    header = F.concat(
+        F.lit("// SPDX-License-Identifier: MIT\n"),
+        F.when(F.col("file").startswith("real/"), F.lit(FILE_HEADER_FIXED)).otherwise(F.lit(FILE_HEADER_CARET)), nl,
+        F.lit("\n".join(FILE_PRELUDE)), nl)
+    return (per_contract.groupBy("file")
+            .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("contract_ord", "ctext"))),
+                                          lambda x: x["ctext"]), "\n").alias("_body"))
+            .select("file", F.concat(header, F.col("_body")).alias("text")))
