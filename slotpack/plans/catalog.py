@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from slotpack.functions import nextfit
 from slotpack.operators import corpus, metrics, packing, profile
 from slotpack.plans.analysis import Analysis
-from slotpack.sources import bulk_csv, layout_json, standin
+from slotpack.sources import bulk_csv, files, layout_json, standin
 from slotpack.session import ensure_checkpoint_dir
 
 BOTH = ("order", "part")
@@ -224,6 +224,20 @@ def q_inheritance_edges(spark, sf_dir):
     return profile.inheritance_edges(_sources(spark, sf_dir))
 
 
+def q_verified_source(spark, sf_dir):
+    """Verified-source payloads normalised to Solidity text; addresses from link and file name."""
+    c = _corpus(spark, sf_dir, ("order",))
+    src = standin.sources(c.contracts, c.entries)
+    return files.verified_sources(standin.payloads(src, c.contracts))
+
+
+def q_examples(spark, sf_dir):
+    """Example index joined to the source texts."""
+    c = _corpus(spark, sf_dir, ("order",))
+    src = standin.sources(c.contracts, c.entries)
+    return files.examples(standin.example_index(src, c.contracts), src)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "declared_layout": q_declared_layout,
     "current_slots": q_current_slots,
@@ -254,6 +268,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "external_types": q_external_types,
     "local_declarations": q_local_declarations,
     "inheritance_edges": q_inheritance_edges,
+    "verified_source": q_verified_source,
+    "examples": q_examples,
     "contract_report_all": lambda s, d: q_contract_report(s, d, BOTH),
     "bulk_summary_all": lambda s, d: q_bulk_summary(s, d, BOTH),
     "dataset_report_all": lambda s, d: q_dataset_report(s, d, BOTH),

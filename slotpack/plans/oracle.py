@@ -422,9 +422,28 @@ def oracle_sql() -> dict[str, str]:
         "FROM (SELECT file, child, regexp_extract_all(plist, " + _lit(P.PARENT_NAME) + ", 1) AS parents FROM ("
         "SELECT file, unnest(regexp_extract_all(text, " + _lit(P.INHERITANCE_HEADER) + ", 2)) AS child, "
         "unnest(regexp_extract_all(text, " + _lit(P.INHERITANCE_HEADER) + ", 3)) AS plist FROM SRC))"))
+    q["verified_source"] = _with(src + [
+        "LAST AS (SELECT file, arg_max(contract_name, contract_ord) AS last_name FROM C GROUP BY 1)"], (
+        "SELECT '0x' || sha1(file) AS address, name AS contract_name, NOT starts_with(file, 'pending/') AS multi_file, "
+        "CASE WHEN starts_with(file, 'pending/') THEN text "
+        "WHEN trim(name) <> '' AND (contains(text, 'contract ' || name) OR contains('contract Base {}', 'contract ' || name)) "
+        "THEN CASE WHEN contains(text, 'contract ' || name) THEN text ELSE 'contract Base {}' END "
+        "ELSE 'contract Base {}' || chr(10) || text || chr(10) END AS solidity, "
+        "'0x' || sha1(file) AS link_address, '0x' || sha1(file) AS path_address "
+        "FROM (SELECT s.file, s.text, CASE WHEN length(s.file) % 3 = 0 THEN 'Vault' ELSE l.last_name END AS name "
+        "FROM SRC s JOIN LAST l USING (file))"))
+    q["examples"] = _with(src, (
+        "SELECT 'ex-' || substr(sha1(s.file), 1, 8) AS id, f.title, upper(" + _kind("s.file") + ") AS tag, "
+        + _kind("s.file") + " AS kind, 'Contracts of ' || s.file AS description, s.text AS source "
+        "FROM SRC s JOIN (SELECT file, arg_min(contract_name, contract_ord) AS title FROM C GROUP BY 1) f USING (file)"))
     return q
 
 
+def _kind(f: str) -> str:
+    return (f"(CASE WHEN starts_with(replace({f}, '\\', '/'), 'real/') THEN 'real' "
+            f"WHEN starts_with(replace({f}, '\\', '/'), 'synthetic/') THEN 'synthetic' ELSE 'other' END)")
+
+
 def _lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 

@@ -266,3 +266,36 @@ def sources(contracts_df: DataFrame, entries_df: DataFrame) -> DataFrame:
             .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("contract_ord", "ctext"))),
                                           lambda x: x["ctext"]), "\n").alias("_body"))
             .select("file", F.concat(header, F.col("_body")).alias("text")))
+
+
+def payloads(sources_df: DataFrame, contracts_df: DataFrame) -> DataFrame:
+    """Verified-source payloads, one per source file.
+
+    ``pending/`` files are plain text; ``real/`` files are multi-file JSON with a ``sources`` key,
+    wrapped in a second pair of braces when the path length is odd. The named contract is the
+    file's last contract, or ``Vault`` (declared nowhere) when the path length is a multiple of 3.
+    The address is the SHA-1 of the path.
+    """
+    last = (contracts_df.groupBy("file")
+            .agg(F.max_by("contract_name", "contract_ord").alias("_last")))
+    d = sources_df.join(last, "file")
+    files = F.create_map(F.lit("Base.sol"), F.struct(F.lit("contract Base {}").alias("content")),
+                         F.col("file"), F.struct(F.col("text").alias("content")),
+                         F.lit("Deps.sol"), F.struct(F.lit("").alias("content")))
+    obj = F.to_json(F.struct(F.lit("Solidity").alias("language"), files.alias("sources")))
+    address = F.concat(F.lit("0x"), F.sha1(F.col("file")))
+    code = (F.when(F.col("file").startswith("pending/"), F.col("text"))
+            .when(F.length("file") % 2 == 1, F.concat(F.lit("{"), obj, F.lit("}"))).otherwise(obj))
+    name = F.when(F.length("file") % 3 == 0, F.lit("Vault")).otherwise(F.col("_last"))
+    return d.select(address.alias("address"), name.alias("contract_name"), code.alias("source_code"),
+                    F.concat(F.lit("https://explorer.example/address/"), address, F.lit("#code")).alias("link"),
+                    F.concat(F.sha1(F.col("file")), F.lit("_"), name, F.lit(".sol")).alias("file_name"))
+
+
+def example_index(sources_df: DataFrame, contracts_df: DataFrame) -> DataFrame:
+    """Example index rows (id, title, tag, kind, description, file), one per source file."""
+    from slotpack.functions.columns import kind_of
+    first = contracts_df.groupBy("file").agg(F.min_by("contract_name", "contract_ord").alias("title"))
+    return first.select(F.concat(F.lit("ex-"), F.substring(F.sha1("file"), 1, 8)).alias("id"), "title",
+                        F.upper(kind_of("file")).alias("tag"), kind_of("file").alias("kind"),
+                        F.concat(F.lit("Contracts of "), F.col("file")).alias("description"), "file")
