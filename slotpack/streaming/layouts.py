@@ -20,7 +20,7 @@ from slotpack.sources import layout_json
 def _batch_rows(batch: DataFrame) -> DataFrame:
     docs = layout_json.parse_documents(batch, text="json", file="file")
     t = layout_json.layout_tables(docs)
-    a = Analysis(t["contracts"], t["entries"], t["structs"], t["struct_fields"], materialized=False)
+    a = Analysis(t["contracts"], t["entries"], t["structs"], t["struct_fields"])
     failed = t["file_status"].where(F.col("status") == "ERROR").select("file", "error")
     return a.bulk_rows(file_errors=failed)
 
