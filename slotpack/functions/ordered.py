@@ -43,29 +43,27 @@ def neighbours(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
     """Attach ``prev_<c>`` / ``next_<c>`` (the adjacent rows in ``order`` within ``keys``).
 
     ``chunk`` must be non-decreasing in ``order``. Adjacent rows inside a chunk come from lag/lead
-    over the chunk; the first and last rows of a chunk read the last/first row of the neighbouring
-    non-empty chunks from a per-chunk summary.
+    over the chunk. Only a chunk's first and last rows miss a neighbour there; they alone are summarised
+    per chunk, matched to the neighbouring non-empty chunks and joined back.
     """
     d = df.withColumn("_ck", chunk)
     w = Window.partitionBy(*keys, "_ck").orderBy(*order)
-    row = F.struct(*[F.col(c) for c in cols])
-    d = (d.withColumn("_row", row)
+    d = (d.withColumn("_row", F.struct(*[F.col(c) for c in cols]))
          .withColumn("_prev", F.lag("_row").over(w))
-         .withColumn("_next", F.lead("_row").over(w))
-         .withColumn("_rn", F.row_number().over(w)))
-    ordkey = F.struct(*[F.col(c) for c in order])
-    summ = d.groupBy(*keys, "_ck").agg(
-        F.min_by("_row", ordkey).alias("_first"), F.max_by("_row", ordkey).alias("_last"),
-        F.count(F.lit(1)).alias("_cnt"))
+         .withColumn("_next", F.lead("_row").over(w)))
+    edge = F.col("_prev").isNull() | F.col("_next").isNull()
+    inner = d.where(~edge)
+    rim = d.where(edge)
+    summ = rim.groupBy(*keys, "_ck").agg(
+        F.max(F.when(F.col("_prev").isNull(), F.col("_row"))).alias("_first"),
+        F.max(F.when(F.col("_next").isNull(), F.col("_row"))).alias("_last"))
     cw = Window.partitionBy(*keys).orderBy("_ck")
-    summ = summ.select(*keys, "_ck", "_cnt",
-                       F.lag("_last").over(cw).alias("_prev_chunk_last"),
-                       F.lead("_first").over(cw).alias("_next_chunk_first"))
-    d = d.join(summ, [*keys, "_ck"])
-    prev = F.when(F.col("_rn") == 1, F.col("_prev_chunk_last")).otherwise(F.col("_prev"))
-    nxt = F.when(F.col("_rn") == F.col("_cnt"), F.col("_next_chunk_first")).otherwise(F.col("_next"))
-    d = d.withColumn("_p", prev).withColumn("_q", nxt)
+    summ = summ.select(*keys, "_ck", F.lag("_last").over(cw).alias("_pcl"), F.lead("_first").over(cw).alias("_ncf"))
+    rim = (rim.join(summ, [*keys, "_ck"])
+           .withColumn("_prev", F.coalesce(F.col("_prev"), F.col("_pcl")))
+           .withColumn("_next", F.coalesce(F.col("_next"), F.col("_ncf")))
+           .drop("_pcl", "_ncf"))
+    out = inner.unionByName(rim)
     for c in cols:
-        d = d.withColumn(f"prev_{c}", F.col(f"_p.{c}")).withColumn(f"next_{c}", F.col(f"_q.{c}"))
-    return d.drop("_ck", "_row", "_prev", "_next", "_rn", "_cnt", "_prev_chunk_last",
-                  "_next_chunk_first", "_p", "_q")
+        out = out.withColumn(f"prev_{c}", F.col(f"_prev.{c}")).withColumn(f"next_{c}", F.col(f"_next.{c}"))
+    return out.drop("_ck", "_row", "_prev", "_next")

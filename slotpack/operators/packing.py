@@ -35,19 +35,33 @@ NOTE_TEXT = {
 }
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _solve_exact(vectors: pd.Series) -> pd.Series:
-    return vectors.apply(lambda v: binpack.exact_bins(list(v)))
+def _solve_exact_batches(batches):
+    """mapInPandas body: (_vkey) -> (_vkey, _bins), one exact solve per distinct size vector."""
+    for pdf in batches:
+        bins = [binpack.exact_bins([int(x) for x in k.split(",")]) for k in pdf["_vkey"]]
+        yield pd.DataFrame({"_vkey": pdf["_vkey"], "_bins": bins})
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _solve_ffd(sizes: pd.Series, counts: pd.Series) -> pd.Series:
-    def one(s, c):
-        out: list[int] = []
-        for run in binpack.ffd_runs(list(s), list(c)):
-            out.extend(run)
-        return out
-    return pd.Series([one(s, c) for s, c in zip(sizes, counts)])
+def _solve_ffd_batches(batches):
+    """mapInPandas body: (_hkey, _s, _n) -> (_hkey, _flat), FFD runs flattened 5 per run."""
+    for pdf in batches:
+        flat = []
+        for s, n in zip(pdf["_s"], pdf["_n"]):
+            out: list[int] = []
+            for run in binpack.ffd_runs(list(s), list(n)):
+                out.extend(run)
+            flat.append(out)
+        yield pd.DataFrame({"_hkey": pdf["_hkey"], "_flat": flat})
+
+
+_EXACT_OUT = T.StructType([T.StructField("_vkey", T.StringType()),
+                           T.StructField("_bins", T.ArrayType(T.IntegerType()))])
+_FFD_OUT = T.StructType([T.StructField("_hkey", T.StringType()),
+                         T.StructField("_flat", T.ArrayType(T.LongType()))])
+
+
+def _solver_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def classify(df: DataFrame, encoding: str = "encoding", size: str = "number_of_bytes") -> DataFrame:
@@ -75,8 +89,12 @@ def pack_exact(items: DataFrame, keys: list[str], pos: str, size: str,
                .groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("_it"))).alias("_it"))
                .select(*keys, F.col("_it.p").alias("_pos"),
                        F.array_join(F.col("_it.b"), ",").alias("_vkey")))
+    # Spread the distinct vectors over all task slots before the Python solver (a small distinct set
+    # would otherwise be coalesced into one or two partitions; the hash expression keeps the optimizer from
+    # treating it as the distinct's own partitioning).
     solved = (vectors.select("_vkey").distinct()
-              .withColumn("_bins", _solve_exact(F.transform(F.split("_vkey", ","), lambda x: x.cast("int")))))
+              .repartition(_solver_partitions(items), F.xxhash64("_vkey"))
+              .mapInPandas(_solve_exact_batches, _EXACT_OUT))
     return (vectors.join(solved, "_vkey")
             .select(*keys, F.inline(F.arrays_zip(F.col("_pos").alias("p"), F.col("_bins").alias("b"))))
             .select(*keys, F.col("p").alias(pos), F.col("b").cast("bigint").alias("bin")))
@@ -92,7 +110,9 @@ def pack_ffd(items: DataFrame, keys: list[str], pos: str, size: str,
             .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_s", "_n"))).alias("_h"))
             .withColumn("_hkey", F.to_json("_h")))
     solved = (hist.select("_hkey", "_h").dropDuplicates(["_hkey"])
-              .withColumn("_flat", _solve_ffd(F.col("_h._s"), F.col("_h._n")))
+              .repartition(_solver_partitions(items), F.xxhash64("_hkey"))
+              .select("_hkey", F.col("_h._s").alias("_s"), F.col("_h._n").alias("_n"))
+              .mapInPandas(_solve_ffd_batches, _FFD_OUT)
               .select("_hkey", F.expr("transform(sequence(0, size(_flat) div 5 - 1), i -> named_struct("
                                       "'_s', cast(_flat[5*i] as int), 'bin_from', _flat[5*i+1], "
                                       "'per', _flat[5*i+2], 'k_from', _flat[5*i+3], 'k_to', _flat[5*i+4]))")
@@ -130,9 +150,15 @@ def contract_strategy(entries: DataFrame, contracts: DataFrame | None = None) ->
     if contracts is not None:
         stats = contracts.select("contract_id").join(stats, "contract_id", "left").fillna(
             0, ["n_vars", "n_packable", "n_full", "n_dynamic"])
+    return with_strategy(stats)
+
+
+def with_strategy(stats: DataFrame) -> DataFrame:
+    """Strategy label and the Q1 flag (a packable size <= 0 on the exact path) from per-contract counts."""
     return stats.withColumn(
         "strategy", F.when(F.col("n_packable") > MAX_EXACT_ITEMS, F.lit(STRATEGY_FFD)).otherwise(F.lit(STRATEGY_EXACT))
-    ).withColumn("invalid_size", (F.col("n_packable") <= MAX_EXACT_ITEMS) & (F.col("min_packable_size") <= 0))
+    ).withColumn("invalid_size", (F.col("n_packable") <= MAX_EXACT_ITEMS)
+                 & F.coalesce(F.col("min_packable_size") <= 0, F.lit(False)))
 
 
 def _slot_numbers(classified: DataFrame, binned: DataFrame, keys: list[str], pos: str) -> DataFrame:

@@ -13,12 +13,15 @@ ERR_INVALID_SIZE = "INVALID_SIZE: a packable variable has %d bytes (must be in [
 ERR_SLOT_RANGE = "SLOT_OUT_OF_RANGE: slot %s does not fit a 64-bit integer"
 
 
-def contract_errors(entries: DataFrame, strategy: DataFrame, struct_summary: DataFrame | None) -> DataFrame:
-    """Contracts that cannot be analysed: (contract_id, error). Q1 and Q3."""
-    slot_bad = (entries.where(F.col("slot").isNull())
-                .groupBy("contract_id").agg(F.min("slot_text").alias("_t"))
-                .select("contract_id", F.format_string(ERR_SLOT_RANGE, F.col("_t")).alias("error")))
-    size_bad = (strategy.where(F.coalesce(F.col("invalid_size"), F.lit(False)))
+def contract_errors(stats: DataFrame, struct_summary: DataFrame | None) -> DataFrame:
+    """Contracts that cannot be analysed: (contract_id, error). Q1 and Q3.
+
+    ``stats`` carries per contract ``bad_slot`` (a slot text beyond 64 bits), ``invalid_size`` and
+    ``min_packable_size``.
+    """
+    slot_bad = (stats.where(F.col("bad_slot").isNotNull())
+                .select("contract_id", F.format_string(ERR_SLOT_RANGE, F.col("bad_slot")).alias("error")))
+    size_bad = (stats.where(F.coalesce(F.col("invalid_size"), F.lit(False)))
                 .select("contract_id", F.format_string(ERR_INVALID_SIZE, F.col("min_packable_size")).alias("error")))
     out = slot_bad.unionByName(size_bad)
     if struct_summary is not None:

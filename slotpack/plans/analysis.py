@@ -12,14 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slotpack.functions import columns as C
 from slotpack.operators import metrics, packing, report, structs
-from slotpack.session import ensure_checkpoint_dir
+from slotpack.session import materialize as write_table
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back (reliable, lineage cut)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return write_table(df, "analysis")
 
 
 class Analysis:
@@ -37,9 +37,26 @@ class Analysis:
             self._cache[name] = build()
         return self._cache[name]
 
+    # --- one pass over the entries: counts, strategy inputs, current slots, slot range ------
+    def stats(self) -> DataFrame:
+        def build():
+            c = packing.classify(self.entries)
+            per = c.groupBy("contract_id").agg(
+                F.count(F.lit(1)).alias("n_vars"),
+                F.count_if(F.col("cls") == "packable").alias("n_packable"),
+                F.count_if(F.col("cls") == "full").alias("n_full"),
+                F.count_if(F.col("cls") == "dynamic").alias("n_dynamic"),
+                F.min(F.when(F.col("cls") == "packable", F.col("number_of_bytes"))).alias("min_packable_size"),
+                F.max(F.col("slot") + C.slots_needed("number_of_bytes")).cast("bigint").alias("current_slots"),
+                F.min(F.when(F.col("slot").isNull(), F.col("slot_text"))).alias("bad_slot"))
+            out = (self.contracts.select("contract_id").join(per, "contract_id", "left")
+                   .fillna(0, ["n_vars", "n_packable", "n_full", "n_dynamic", "current_slots"]))
+            return self._mat(packing.with_strategy(out))
+        return self._get("stats", build)
+
     # --- current layout -------------------------------------------------------------------
     def current_slots(self) -> DataFrame:
-        return self._get("cur_slots", lambda: metrics.current_slots(self.entries, self.contracts))
+        return self._get("cur_slots", lambda: self.stats().select("contract_id", "current_slots"))
 
     def current_waste(self) -> DataFrame:
         return self._get("cur_waste", lambda: metrics.current_waste(self.entries, self.contracts))
@@ -53,7 +70,7 @@ class Analysis:
 
     # --- packing ----------------------------------------------------------------------------
     def strategy(self) -> DataFrame:
-        return self._get("strategy", lambda: packing.contract_strategy(self.entries, self.contracts))
+        return self._get("strategy", lambda: self.stats())
 
     def bins(self) -> DataFrame:
         return self._get("bins", lambda: self._mat(packing.contract_bins(self.entries)))
@@ -76,8 +93,8 @@ class Analysis:
         return self._get("member_bins", lambda: self._mat(structs.member_bins(self.fields)))
 
     def struct_optimization(self) -> DataFrame:
-        return self._get("struct_opt", lambda: structs.struct_optimization(
-            self.structs_df, self.fields, self.entries, self.member_bins()))
+        return self._get("struct_opt", lambda: self._mat(structs.struct_optimization(
+            self.structs_df, self.fields, self.entries, self.member_bins())))
 
     def struct_summary(self) -> DataFrame:
         if self.structs_df is None:
@@ -88,7 +105,7 @@ class Analysis:
 
     # --- report -----------------------------------------------------------------------------
     def errors(self) -> DataFrame:
-        return self._get("errors", lambda: report.contract_errors(self.entries, self.strategy(), self.struct_summary()))
+        return self._get("errors", lambda: report.contract_errors(self.stats(), self.struct_summary()))
 
     def report(self) -> DataFrame:
         return self._get("report", lambda: self._mat(report.contract_report(

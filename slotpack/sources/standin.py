@@ -177,9 +177,14 @@ class Corpus:
     def __init__(self, spark: SparkSession, sf_dir: str, corpora=("order", "part"), materialized: bool = True):
         self.spark, self.sf_dir, self.corpora = spark, sf_dir, tuple(corpora)
         self._keep = _materialize if materialized else (lambda d: d)
-        self._v = variables(spark, sf_dir, self.corpora)
+        self._raw_v = variables(spark, sf_dir, self.corpora)
         self._t: dict[str, DataFrame] = {}
 
+    @property
+    def _v(self) -> DataFrame:
+        # read by both the variables and the struct members: built once
+        return self._get("variables", lambda: self._keep(self._raw_v))
+
     def _get(self, name, build):
         if name not in self._t:
             self._t[name] = build()
@@ -206,9 +211,8 @@ class Corpus:
 
 def _materialize(df: DataFrame) -> DataFrame:
     """The stand-in tables are the corpus input: write them once to the checkpoint folder."""
-    from slotpack.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    from slotpack.session import materialize
+    return materialize(df, "standin")
 
 
 # ---------------------------------------------------------------------------
