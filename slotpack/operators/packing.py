@@ -79,7 +79,7 @@ def group_counts(items: DataFrame, keys: list[str], size: str) -> DataFrame:
 
 def pack_exact(items: DataFrame, keys: list[str], pos: str, size: str,
                counts: DataFrame | None = None) -> DataFrame:
-    """Exact packing of groups with <= 20 items; returns keys, pos, bin."""
+    """Exact packing of groups with <= 20 items; returns keys, pos, size, bin."""
     counts = counts if counts is not None else group_counts(items, keys, size)
     small = counts.where((F.col("n_items") <= MAX_EXACT_ITEMS) & (F.col("min_size") > 0)).select(*keys)
     chunks = (items.groupBy(*keys, F.floor(F.col(pos) / 32).alias("_c"))
@@ -87,7 +87,7 @@ def pack_exact(items: DataFrame, keys: list[str], pos: str, size: str,
                                            F.col(size).cast("int").alias("b"))).alias("_it")))
     vectors = (chunks.join(small, keys, "left_semi")
                .groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("_it"))).alias("_it"))
-               .select(*keys, F.col("_it.p").alias("_pos"),
+               .select(*keys, F.col("_it.p").alias("_pos"), F.col("_it.b").alias("_sz"),
                        F.array_join(F.col("_it.b"), ",").alias("_vkey")))
     # Spread the distinct vectors over all task slots before the Python solver (a small distinct set
     # would otherwise be coalesced into one or two partitions; the hash expression keeps the optimizer from
@@ -96,13 +96,15 @@ def pack_exact(items: DataFrame, keys: list[str], pos: str, size: str,
               .repartition(_solver_partitions(items), F.xxhash64("_vkey"))
               .mapInPandas(_solve_exact_batches, _EXACT_OUT))
     return (vectors.join(solved, "_vkey")
-            .select(*keys, F.inline(F.arrays_zip(F.col("_pos").alias("p"), F.col("_bins").alias("b"))))
-            .select(*keys, F.col("p").alias(pos), F.col("b").cast("bigint").alias("bin")))
+            .select(*keys, F.inline(F.arrays_zip(F.col("_pos").alias("p"), F.col("_sz").alias("z"),
+                                                 F.col("_bins").alias("b"))))
+            .select(*keys, F.col("p").cast("int").alias(pos), F.col("z").cast("int").alias(size),
+                    F.col("b").cast("bigint").alias("bin")))
 
 
 def pack_ffd(items: DataFrame, keys: list[str], pos: str, size: str,
              counts: DataFrame | None = None) -> DataFrame:
-    """First-fit decreasing for groups with > 20 items; returns keys, pos, bin."""
+    """First-fit decreasing for groups with > 20 items; returns keys, pos, size, bin."""
     counts = counts if counts is not None else group_counts(items, keys, size)
     large = counts.where(F.col("n_items") > MAX_EXACT_ITEMS).select(*keys)
     hist = (items.groupBy(*keys, F.col(size).cast("int").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
@@ -123,16 +125,15 @@ def pack_ffd(items: DataFrame, keys: list[str], pos: str, size: str,
         items.select(*keys, F.col(pos), F.col(size).cast("int").alias("_s")),
         [*keys, "_s"], [pos], ordered.chunk_of(pos, ORDER_CHUNK), out="_k")
     joined = ranked.join(runs, [*keys, "_s"]).where(F.col("_k").between(F.col("k_from"), F.col("k_to")))
-    return joined.select(*keys, F.col(pos),
+    return joined.select(*keys, F.col(pos).cast("int").alias(pos), F.col("_s").alias(size),
                          (F.col("bin_from") + F.floor((F.col("_k") - F.col("k_from")) / F.col("per"))).cast("bigint")
                          .alias("bin"))
 
 
 def pack(items: DataFrame, keys: list[str], pos: str, size: str) -> DataFrame:
-    """Exact for groups of <= 20 items, FFD above; returns keys, pos, bin, strategy."""
+    """Exact for groups of <= 20 items, FFD above; returns keys, pos, size, bin."""
     counts = group_counts(items, keys, size)
-    both = pack_exact(items, keys, pos, size, counts).unionByName(pack_ffd(items, keys, pos, size, counts))
-    return both.join(counts.select(*keys, "strategy"), keys)
+    return pack_exact(items, keys, pos, size, counts).unionByName(pack_ffd(items, keys, pos, size, counts))
 
 
 # ---------------------------------------------------------------------------
@@ -161,24 +162,6 @@ def with_strategy(stats: DataFrame) -> DataFrame:
                  & F.coalesce(F.col("min_packable_size") <= 0, F.lit(False)))
 
 
-def _slot_numbers(classified: DataFrame, binned: DataFrame, keys: list[str], pos: str) -> DataFrame:
-    """Slot index of every item: full items, then groups by first member, then dynamics."""
-    singles = classified.where(F.col("cls") != "packable").select(*keys, pos, "cls", "cls_rank")
-    singles = ordered.dense_position(singles, [*keys, "cls"], [pos], ordered.chunk_of(pos, ORDER_CHUNK), "_rank")
-    bins = binned.groupBy(*keys, "bin").agg(F.min(pos).alias("_first"))
-    bins = ordered.dense_position(bins, keys, ["_first"], ordered.chunk_of("_first", ORDER_CHUNK), "_rank")
-    n = classified.groupBy(*keys).agg(F.count_if(F.col("cls") == "full").alias("_nf"))
-    nb = bins.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nb"))
-    base = n.join(nb, keys, "left").fillna(0, ["_nb"])
-    single_slots = (singles.join(base, keys)
-                    .select(*keys, pos, (F.col("_rank") + F.when(F.col("cls") == "dynamic",
-                                                                 F.col("_nf") + F.col("_nb")).otherwise(0))
-                            .cast("bigint").alias("slot_index")))
-    bin_slots = (binned.join(bins.select(*keys, "bin", "_rank"), [*keys, "bin"]).join(base, keys)
-                 .select(*keys, pos, (F.col("_nf") + F.col("_rank")).cast("bigint").alias("slot_index")))
-    return single_slots.unionByName(bin_slots)
-
-
 def contract_bins(entries: DataFrame) -> DataFrame:
     """O25/O26 on state variables: bin of every packable variable (contract_id, ordinal, bin)."""
     keys = ["contract_id"]
@@ -189,17 +172,36 @@ def contract_bins(entries: DataFrame) -> DataFrame:
 
 
 def recommended_items(entries: DataFrame, binned: DataFrame | None = None) -> DataFrame:
-    """Every variable with its recommended ``slot_index``, class, strategy and note_code."""
+    """Every variable with its recommended ``slot_index``, class, bin and note_code.
+
+    Slots are the full variables (by position), then the packed groups (by first member), then the
+    dynamic variables (by position): one dense rank over those "slot rows" numbers them all.
+    """
     c = classify(entries)
     keys = ["contract_id"]
     binned = binned if binned is not None else contract_bins(entries)
-    slots = _slot_numbers(c, binned, keys, "ordinal")
-    items = (c.join(slots, [*keys, "ordinal"]).join(binned, [*keys, "ordinal"], "left"))
-    used = items.groupBy(*keys, "slot_index").agg(F.sum("number_of_bytes").cast("bigint").alias("_used"))
-    return items.join(used, [*keys, "slot_index"]).withColumn(
-        "note_code",
-        F.when(F.col("cls") == "full", F.lit("full")).when(F.col("cls") == "dynamic", F.lit("dynamic"))
-        .when(F.col("_used") == SLOT_SIZE, F.lit("group_full")).otherwise(F.lit("group_partial")))
+    bins = binned.groupBy(*keys, "bin").agg(F.min("ordinal").alias("_g"),
+                                            F.sum("number_of_bytes").cast("bigint").alias("_used"))
+    singles = c.where(F.col("cls") != "packable")
+    slot_rows = (singles.select(*keys, "cls_rank", F.col("ordinal").alias("_g"), "ordinal",
+                                F.lit(None).cast("bigint").alias("bin"))
+                 .unionByName(bins.select(*keys, F.lit(1).alias("cls_rank"), "_g",
+                                          F.lit(None).cast("int").alias("ordinal"), "bin")))
+    chunk = F.col("cls_rank").cast("bigint") * F.lit(1 << 40) + ordered.chunk_of("_g", ORDER_CHUNK)
+    ranked = ordered.dense_position(slot_rows, keys, ["cls_rank", "_g"], chunk, "slot_index")
+    single_items = (singles.join(ranked.where(F.col("ordinal").isNotNull()).select(*keys, "ordinal", "slot_index"),
+                                 [*keys, "ordinal"])
+                    .withColumn("bin", F.lit(None).cast("bigint"))
+                    .withColumn("note_code", F.col("cls")))
+    bin_idx = ranked.where(F.col("bin").isNotNull()).select(*keys, "bin", "slot_index").join(
+        bins.select(*keys, "bin", "_used"), [*keys, "bin"])
+    packed_items = (c.where(F.col("cls") == "packable")
+                    .join(binned.select(*keys, "ordinal", "bin"), [*keys, "ordinal"])
+                    .join(bin_idx, [*keys, "bin"])
+                    .withColumn("note_code", F.when(F.col("_used") == SLOT_SIZE, F.lit("group_full"))
+                                .otherwise(F.lit("group_partial")))
+                    .drop("_used"))
+    return single_items.unionByName(packed_items)
 
 
 def recommended_slots(entries: DataFrame, items: DataFrame | None = None) -> DataFrame:

@@ -72,8 +72,21 @@ class Analysis:
     def strategy(self) -> DataFrame:
         return self._get("strategy", lambda: self.stats())
 
+    def all_bins(self) -> DataFrame:
+        """State variables (group type_id "") and struct members (group = struct type) packed in one pass."""
+        def build():
+            keys = ["contract_id", "type_id"]
+            state = (packing.classify(self.entries).where(F.col("cls") == "packable")
+                     .select("contract_id", F.lit("").alias("type_id"), "ordinal", "number_of_bytes"))
+            if self.fields is not None:
+                members = (packing.classify(self.fields).where(F.col("cls") == "packable")
+                           .select("contract_id", "type_id", "ordinal", "number_of_bytes"))
+                state = state.unionByName(members)
+            return self._mat(packing.pack(state, keys, "ordinal", "number_of_bytes"))
+        return self._get("all_bins", build)
+
     def bins(self) -> DataFrame:
-        return self._get("bins", lambda: self._mat(packing.contract_bins(self.entries)))
+        return self._get("bins", lambda: self.all_bins().where(F.col("type_id") == "").drop("type_id"))
 
     def items(self) -> DataFrame:
         return self._get("items", lambda: self._mat(packing.recommended_items(self.entries, self.bins())))
@@ -90,7 +103,7 @@ class Analysis:
 
     # --- structs ----------------------------------------------------------------------------
     def member_bins(self) -> DataFrame:
-        return self._get("member_bins", lambda: self._mat(structs.member_bins(self.fields)))
+        return self._get("member_bins", lambda: self.all_bins().where(F.col("type_id") != ""))
 
     def struct_optimization(self) -> DataFrame:
         return self._get("struct_opt", lambda: self._mat(structs.struct_optimization(
