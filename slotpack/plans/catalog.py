@@ -168,6 +168,12 @@ def q_savings_preview(spark, sf_dir, corpora=("order",)):
     return corpus.savings_preview(a.report(), a.struct_optimization())
 
 
+def q_leaderboard(spark, sf_dir, corpora=("order",)):
+    """First page (15 rows) of the real-contract slice of the top list, by saved slots."""
+    top = corpus.top_contracts_web(_analysis(spark, sf_dir, corpora).bulk_rows())
+    return corpus.leaderboard(top, kind="real", page=0)
+
+
 def _ingested(spark, sf_dir):
     c = _corpus(spark, sf_dir, ("order",))
     docs = layout_json.to_documents(c.contracts, c.entries, c.struct_fields, c.structs)
@@ -261,6 +267,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_contracts": q_top_contracts,
     "top_contracts_cli": q_top_contracts_cli,
     "savings_preview": q_savings_preview,
+    "leaderboard": q_leaderboard,
     "layout_ingest": q_layout_ingest,
     "layout_structs": q_layout_structs,
     "bulk_csv_report": q_bulk_csv_report,

@@ -398,6 +398,13 @@ def oracle_sql() -> dict[str, str]:
         "FROM (SELECT *, CAST(saved_slots + struct_saved_slots AS BIGINT) AS total_saved FROM BR) "
         "WHERE status = 'OK' AND (saved_slots > 0 OR struct_saved_slots > 0) "
         "ORDER BY total_saved DESC, saved_wasted DESC, file, contract_ord LIMIT 10"))
+    q["leaderboard"] = _with(rep, (
+        "SELECT * FROM (SELECT file, contract, CASE WHEN starts_with(strategy, 'First') THEN 'FFD' ELSE 'DP-bitmask' END "
+        f"AS strategy, {kind} AS kind, saved_slots, saved_wasted AS saved_bytes, struct_saved_slots, "
+        "CAST(saved_slots + struct_saved_slots AS BIGINT) AS total_saved FROM BR "
+        "WHERE status = 'OK' AND saved_slots + struct_saved_slots > 0 "
+        "ORDER BY total_saved DESC, saved_wasted DESC, file, contract_ord LIMIT 30) WHERE kind = 'real' "
+        "ORDER BY saved_slots DESC, total_saved DESC, saved_bytes DESC, file, contract LIMIT 15 OFFSET 0"))
     q["savings_preview"] = _with(rep, (
         "SELECT s.file, CAST(s.st + coalesce(t.sv, 0) AS BIGINT) AS slots_saved, "
         "CAST((s.st + coalesce(t.sv, 0)) * 20000 AS BIGINT) AS gas_saved, (s.st + coalesce(t.sv, 0)) <= 0 AS already_optimal "

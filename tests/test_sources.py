@@ -100,3 +100,19 @@ def test_streaming_available_now(spark):
     rows = {r.status: r for r in spark.read.parquet(d + "/out").collect()}
     assert rows["OK"].current_slots == 3 and rows["OK"].recommended_slots == 2
     assert "ERROR" in rows
+
+
+def test_report_json_sink(spark):
+    from fixture_contracts import tables
+    from slotpack.plans.analysis import Analysis
+    from slotpack.sources import report_json
+    c, e, s, f = tables(spark)
+    a = Analysis(c, e, s, f)
+    docs = report_json.report_documents(a.report(), a.issues(), a.recommended_slots(), a.struct_optimization())
+    d = tempfile.mkdtemp(prefix="slotpack-json-")
+    report_json.write_reports(docs, d + "/reports", buckets=4)
+    back = spark.read.json(d + "/reports")
+    assert back.count() == 12
+    loan = back.where(F.col("contract_name") == "StructLoan").collect()[0]
+    assert len(loan.recommended_layout) == 3 and loan.struct_optimizations[0].optimal_slots == 2
+    assert {r.bucket for r in back.select("bucket").distinct().collect()} <= {0, 1, 2, 3}
