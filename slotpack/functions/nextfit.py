@@ -13,8 +13,9 @@ recommended order (O30) are the same automaton over the ordered sizes of one gro
 The open-slot fill u is one of 32 values, so a run of items is a function of u alone. A group is
 cut into chunks of ``chunk_size`` consecutive positions; the first chunk of every group starts at
 u = 0 and is folded once, later chunks (only groups larger than one chunk) are folded for all 32
-starting fills. The per-group step then folds over chunk summaries, so no group is ever gathered
-into one array: the arrays are bounded by ``chunk_size`` items and ``n / chunk_size`` summaries.
+starting fills. Summaries are then composed through a tree whose nodes hold at most ``fanout``
+children, so no group is ever gathered into one array: every array is bounded by ``chunk_size``
+items or ``fanout`` summaries (the top fold holds n / (chunk_size * fanout ** levels) summaries).
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_CHUNK = 1024
+DEFAULT_FANOUT = 1024
+DEFAULT_LEVELS = 3  # 1024 items x 1024^3 summaries: ~10^12 items per group with bounded rows
 
 
 def _state(s: str, u: str, w: str) -> str:
@@ -77,22 +80,58 @@ def chunk_summaries(df: DataFrame, keys: list[str], pos: str, size: str,
     return out if keep_items else out.drop("_items")
 
 
-def _group_fold_sql(lst: str) -> str:
-    # Apply chunk summaries in order; chunk 0 has one state, later chunks are indexed by fill.
+def _compose_sql(lst: str, start: str) -> str:
+    """Fold summaries ``lst`` (array of struct(c, sm), sorted by c) from state ``start``.
+
+    A summary holds one state (it starts the group, fill 0) or 32 (indexed by the incoming fill).
+    """
     pick = "element_at(x.sm, if(size(x.sm) = 1, 1, st.u + 1))"
-    return (f"aggregate({lst}, {_state('0', '0', '0')}, "
+    return (f"aggregate({lst}, {start}, "
             f"(st, x) -> {_state(f'st.s + {pick}.s', f'{pick}.u', f'st.w + {pick}.w')})")
 
 
+def _summary_sql(lst: str, first: str) -> str:
+    """Summary of a run of summaries: one state for the group's first run, else 32."""
+    return (f"if({first}, array({_compose_sql(lst, _state('0', '0', '0'))}), "
+            f"transform(sequence(0, 31), u0 -> {_compose_sql(lst, _state('0', 'u0', '0'))}))")
+
+
+def _levels(chunks: DataFrame, keys: list[str], fanout: int, levels: int) -> list[DataFrame]:
+    """Tree of summaries: level 0 = chunks (keys, _i, _summary); level l groups ``fanout`` children.
+
+    Every group holds at most ``fanout`` children, so no row grows with the group size; ``levels``
+    fixes the depth (capacity chunk_size * fanout ** levels items per group before the top fold).
+    """
+    out = [chunks.select(*keys, F.col("_chunk").alias("_i"), "_summary")]
+    for _ in range(levels):
+        prev = out[-1]
+        nxt = (prev.groupBy(*keys, F.expr(f"_i div {fanout}").alias("_i"))
+               .agg(F.expr("array_sort(collect_list(named_struct('c', _i, 'sm', _summary)))").alias("_lst"))
+               .withColumn("_summary", F.expr(_summary_sql("_lst", "_i = 0")))
+               .drop("_lst"))
+        out.append(nxt)
+    return out
+
+
 def fold_totals(df: DataFrame, keys: list[str], pos: str, size: str,
-                chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
-    """O30 fold: per group (slots, wasted) after closing the last open slot."""
+                chunk_size: int = DEFAULT_CHUNK, fanout: int = DEFAULT_FANOUT,
+                levels: int = DEFAULT_LEVELS) -> DataFrame:
+    """O30 fold: per group (slots, wasted) after closing the last open slot.
+
+    Groups within one chunk take their chunk's summary; only groups spanning several chunks go
+    through the summary tree.
+    """
     chunks = chunk_summaries(df, keys, pos, size, chunk_size)
-    per_group = (
-        chunks.groupBy(*keys)
-        .agg(F.expr("array_sort(collect_list(named_struct('c', _chunk, 'sm', _summary)))").alias("_lst"))
-        .withColumn("_st", F.expr(_group_fold_sql("_lst")))
+    multi = chunks.where(F.col("_chunk") > 0).select(*keys).distinct()
+    single = (chunks.join(multi, keys, "left_anti")
+              .select(*keys, F.expr("element_at(_summary, 1)").alias("_st")))
+    top = _levels(chunks.join(multi, keys, "left_semi"), keys, fanout, levels)[-1]
+    spanning = (
+        top.groupBy(*keys)
+        .agg(F.expr("array_sort(collect_list(named_struct('c', _i, 'sm', _summary)))").alias("_lst"))
+        .select(*keys, F.expr(_compose_sql("_lst", _state("0", "0", "0"))).alias("_st"))
     )
+    per_group = single.unionByName(spanning)
     return per_group.select(
         *keys,
         (F.col("_st.s") + F.when(F.col("_st.u") > 0, 1).otherwise(0)).cast("bigint").alias("slots"),
@@ -100,30 +139,43 @@ def fold_totals(df: DataFrame, keys: list[str], pos: str, size: str,
     )
 
 
+def _incoming_sql(lst: str, s0: str, u0: str) -> str:
+    """Incoming state (s, u) of every summary in ``lst`` when the run starts at (s0, u0)."""
+    pick = "element_at(x.sm, if(size(x.sm) = 1, 1, acc.st.u + 1))"
+    return (
+        "aggregate(" + lst + ", named_struct('st', " + _state(s0, u0, "0") + ", "
+        "'inc', cast(array() as array<struct<c: bigint, s: bigint, u: int>>)), "
+        "(acc, x) -> named_struct("
+        "'st', " + _state(f"acc.st.s + {pick}.s", f"{pick}.u", f"acc.st.w + {pick}.w") + ", "
+        "'inc', concat(acc.inc, array(named_struct('c', x.c, 's', acc.st.s, 'u', acc.st.u))))).inc"
+    )
+
+
 def positions(df: DataFrame, keys: list[str], pos: str, size: str,
-              chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
+              chunk_size: int = DEFAULT_CHUNK, fanout: int = DEFAULT_FANOUT,
+              levels: int = DEFAULT_LEVELS) -> DataFrame:
     """(slot, offset) of every item under sequential placement; returns keys, pos, slot, offset.
 
-    Step 1 summarises chunks, step 2 computes each chunk's incoming state per group (an ordered fold
-    over n / chunk_size summaries), step 3 places the items of each chunk from that state.
+    Bottom-up, chunk summaries are composed through a tree of bounded fan-out; top-down, each tree
+    node's incoming state is handed to its children (a fold over at most ``fanout`` siblings), down to
+    the chunks, whose items are then placed from their incoming state.
     """
     chunks = chunk_summaries(df, keys, pos, size, chunk_size, keep_items=True)
-    incoming_sql = (
-        "aggregate(_lst, named_struct('st', " + _state("0", "0", "0") + ", "
-        "'inc', cast(array() as array<struct<c: bigint, s: bigint, u: int>>)), "
-        "(acc, x) -> named_struct("
-        "'st', " + _state("acc.st.s + element_at(x.sm, if(size(x.sm) = 1, 1, acc.st.u + 1)).s",
-                          "element_at(x.sm, if(size(x.sm) = 1, 1, acc.st.u + 1)).u",
-                          "acc.st.w + element_at(x.sm, if(size(x.sm) = 1, 1, acc.st.u + 1)).w") + ", "
-        "'inc', concat(acc.inc, array(named_struct('c', x.c, 's', acc.st.s, 'u', acc.st.u)))))"
-    )
-    incoming = (
-        chunks.select(*keys, "_chunk", "_summary")
-        .groupBy(*keys)
-        .agg(F.expr("array_sort(collect_list(named_struct('c', _chunk, 'sm', _summary)))").alias("_lst"))
-        .select(*keys, F.explode(F.expr(incoming_sql + ".inc")).alias("_in"))
-        .select(*keys, F.col("_in.c").alias("_chunk"), F.col("_in.s").alias("_s0"), F.col("_in.u").alias("_u0"))
-    )
+    # chunk 0 always starts from an empty slot; only groups spanning several chunks need the tree
+    multi = chunks.where(F.col("_chunk") > 0).select(*keys).distinct()
+    tree = _levels(chunks.join(multi, keys, "left_semi").drop("_items"), keys, fanout, levels)
+    top = tree[-1]
+    inc = (top.groupBy(*keys)
+           .agg(F.expr("array_sort(collect_list(named_struct('c', _i, 'sm', _summary)))").alias("_lst"))
+           .select(*keys, F.explode(F.expr(_incoming_sql("_lst", "0", "0"))).alias("_in"))
+           .select(*keys, F.col("_in.c").alias("_i"), F.col("_in.s").alias("_s0"), F.col("_in.u").alias("_u0")))
+    for level in reversed(tree[:-1]):
+        kids = (level.withColumn("_p", F.expr(f"_i div {fanout}"))
+                .groupBy(*keys, "_p")
+                .agg(F.expr("array_sort(collect_list(named_struct('c', _i, 'sm', _summary)))").alias("_lst")))
+        inc = (kids.join(inc.withColumnRenamed("_i", "_p"), [*keys, "_p"])
+               .select(*keys, F.explode(F.expr(_incoming_sql("_lst", "_s0", "_u0"))).alias("_in"))
+               .select(*keys, F.col("_in.c").alias("_i"), F.col("_in.s").alias("_s0"), F.col("_in.u").alias("_u0")))
     placed_sql = (
         "aggregate(_items, named_struct('st', " + _state("_s0", "_u0", "0") + ", "
         "'out', cast(array() as array<struct<p: bigint, slot: bigint, offset: int>>)), "
@@ -131,8 +183,10 @@ def positions(df: DataFrame, keys: list[str], pos: str, size: str,
         "'out', concat(acc.out, array(named_struct('p', x.p, 'slot', " + place_sql("acc.st", "x.b") + ".slot, "
         "'offset', cast(" + place_sql("acc.st", "x.b") + ".offset as int))))))"
     )
+    first = chunks.where(F.col("_chunk") == 0).withColumn("_s0", F.lit(0).cast("bigint")).withColumn("_u0", F.lit(0))
+    later = chunks.where(F.col("_chunk") > 0).join(inc.withColumnRenamed("_i", "_chunk"), [*keys, "_chunk"])
     return (
-        chunks.join(incoming, [*keys, "_chunk"])
+        first.unionByName(later.select(*first.columns))
         .select(*keys, F.explode(F.expr(placed_sql + ".out")).alias("_o"))
         .select(*keys, F.col("_o.p").alias(pos), F.col("_o.slot").alias("slot"), F.col("_o.offset").alias("offset"))
     )
