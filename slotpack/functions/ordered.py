@@ -19,23 +19,31 @@ def chunk_of(col: str | Column, size: int = DEFAULT_CHUNK) -> Column:
     return F.floor(c / F.lit(size)).cast("bigint")
 
 
+def _spanning(d: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys with rows beyond chunk 0 (the only groups whose chunks need stitching)."""
+    return d.where(F.col("_ck") > 0).select(*keys).distinct()
+
+
 def dense_position(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
                    out: str = "position") -> DataFrame:
     """0-based position of each row inside ``keys`` ordered by ``order``.
 
-    ``chunk`` must be non-decreasing in ``order``. Row numbers are taken per (keys, chunk) and
-    shifted by the rows of the earlier chunks of the same group (an exclusive running sum over the
-    per-chunk counts).
+    ``chunk`` must be non-negative and non-decreasing in ``order``. Row numbers are taken per
+    (keys, chunk); rows of later chunks are shifted by the rows of the earlier chunks of the same
+    group (an exclusive running sum over per-chunk counts of the groups that span chunks).
     """
     d = df.withColumn("_ck", chunk)
     rn = F.row_number().over(Window.partitionBy(*keys, "_ck").orderBy(*order)) - 1
     d = d.withColumn("_rn", rn)
-    counts = d.groupBy(*keys, "_ck").agg(F.count(F.lit(1)).alias("_n"))
+    first = d.where(F.col("_ck") == 0).withColumn(out, F.col("_rn").cast("bigint"))
+    spanning = _spanning(d, keys)
+    counts = (d.join(spanning, keys, "left_semi")
+              .groupBy(*keys, "_ck").agg(F.count(F.lit(1)).alias("_n")))
     before = Window.partitionBy(*keys).orderBy("_ck").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_ck", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return (d.join(offsets, [*keys, "_ck"])
-            .withColumn(out, (F.col("_off") + F.col("_rn")).cast("bigint"))
-            .drop("_ck", "_rn", "_off"))
+    later = (d.where(F.col("_ck") > 0).join(offsets, [*keys, "_ck"])
+             .withColumn(out, (F.col("_off") + F.col("_rn")).cast("bigint")).drop("_off"))
+    return first.unionByName(later).drop("_ck", "_rn")
 
 
 def neighbours(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
@@ -43,17 +51,19 @@ def neighbours(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
     """Attach ``prev_<c>`` / ``next_<c>`` (the adjacent rows in ``order`` within ``keys``).
 
     ``chunk`` must be non-decreasing in ``order``. Adjacent rows inside a chunk come from lag/lead
-    over the chunk. Only a chunk's first and last rows miss a neighbour there; they alone are summarised
-    per chunk, matched to the neighbouring non-empty chunks and joined back.
+    over the chunk. Only the first and last rows of chunks of groups spanning several chunks miss a
+    neighbour there; they alone are summarised per chunk, matched to the neighbouring non-empty
+    chunks and joined back.
     """
     d = df.withColumn("_ck", chunk)
     w = Window.partitionBy(*keys, "_ck").orderBy(*order)
     d = (d.withColumn("_row", F.struct(*[F.col(c) for c in cols]))
          .withColumn("_prev", F.lag("_row").over(w))
          .withColumn("_next", F.lead("_row").over(w)))
+    spanning = _spanning(d, keys)
     edge = F.col("_prev").isNull() | F.col("_next").isNull()
-    inner = d.where(~edge)
-    rim = d.where(edge)
+    settled = d.join(spanning, keys, "left_anti").unionByName(d.join(spanning, keys, "left_semi").where(~edge))
+    rim = d.join(spanning, keys, "left_semi").where(edge)
     summ = rim.groupBy(*keys, "_ck").agg(
         F.max(F.when(F.col("_prev").isNull(), F.col("_row"))).alias("_first"),
         F.max(F.when(F.col("_next").isNull(), F.col("_row"))).alias("_last"))
@@ -63,7 +73,7 @@ def neighbours(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
            .withColumn("_prev", F.coalesce(F.col("_prev"), F.col("_pcl")))
            .withColumn("_next", F.coalesce(F.col("_next"), F.col("_ncf")))
            .drop("_pcl", "_ncf"))
-    out = inner.unionByName(rim)
+    out = settled.unionByName(rim)
     for c in cols:
         out = out.withColumn(f"prev_{c}", F.col(f"_prev.{c}")).withColumn(f"next_{c}", F.col(f"_next.{c}"))
     return out.drop("_ck", "_row", "_prev", "_next")
