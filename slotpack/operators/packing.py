@@ -111,7 +111,7 @@ def pack_ffd(items: DataFrame, keys: list[str], pos: str, size: str,
             .join(large, keys, "left_semi")
             .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_s", "_n"))).alias("_h"))
             .withColumn("_hkey", F.to_json("_h")))
-    solved = (hist.select("_hkey", "_h").dropDuplicates(["_hkey"])
+    solved = (hist.select("_hkey", "_h").distinct()  # _hkey is the JSON of _h: a hash aggregation
               .repartition(_solver_partitions(items), F.xxhash64("_hkey"))
               .select("_hkey", F.col("_h._s").alias("_s"), F.col("_h._n").alias("_n"))
               .mapInPandas(_solve_ffd_batches, _FFD_OUT)
@@ -208,13 +208,15 @@ def recommended_slots(entries: DataFrame, items: DataFrame | None = None) -> Dat
     """One row per recommended slot: used/wasted (full and dynamic slots: 32/0), labels."""
     items = items if items is not None else recommended_items(entries)
     g = (items.groupBy("contract_id", "slot_index")
-         .agg(F.first("note_code").alias("note_code"),
+         .agg(F.min("cls_rank").alias("_rank"),
               F.sum("number_of_bytes").cast("bigint").alias("_sum"),
               F.count(F.lit(1)).alias("n_vars"),
               F.array_sort(F.collect_list(F.struct("ordinal", "label"))).alias("_v")))
-    grouped = F.col("note_code").isin("group_full", "group_partial")
+    grouped = F.col("_rank") == 1
+    note = (F.when(F.col("_rank") == 0, F.lit("full")).when(F.col("_rank") == 2, F.lit("dynamic"))
+            .when(F.col("_sum") == SLOT_SIZE, F.lit("group_full")).otherwise(F.lit("group_partial")))
     return g.select(
-        "contract_id", "slot_index", "note_code",
+        "contract_id", "slot_index", note.alias("note_code"),
         F.when(grouped, F.col("_sum")).otherwise(F.lit(SLOT_SIZE)).cast("bigint").alias("used"),
         F.when(grouped, F.lit(SLOT_SIZE) - F.col("_sum")).otherwise(F.lit(0)).cast("bigint").alias("wasted"),
         "n_vars",

@@ -47,9 +47,13 @@ class Analysis:
                 F.count_if(F.col("cls") == "full").alias("n_full"),
                 F.count_if(F.col("cls") == "dynamic").alias("n_dynamic"),
                 F.min(F.when(F.col("cls") == "packable", F.col("number_of_bytes"))).alias("min_packable_size"),
-                F.max(F.col("slot") + C.slots_needed("number_of_bytes")).cast("bigint").alias("current_slots"),
-                F.min(F.when(F.col("slot").isNull(), F.col("slot_text"))).alias("bad_slot"))
+                F.max(F.col("slot") + C.slots_needed("number_of_bytes")).cast("bigint").alias("current_slots"))
+            # slot texts beyond 64 bits: a filter that is empty on valid input, kept out of the main
+            # aggregation so that one stays a hash aggregation (a string min would force a sort)
+            bad = (self.entries.where(F.col("slot").isNull()).groupBy("contract_id")
+                   .agg(F.min("slot_text").alias("bad_slot")))
             out = (self.contracts.select("contract_id").join(per, "contract_id", "left")
+                   .join(bad, "contract_id", "left")
                    .fillna(0, ["n_vars", "n_packable", "n_full", "n_dynamic", "current_slots"]))
             return self._mat(packing.with_strategy(out))
         return self._get("stats", build)
