@@ -144,7 +144,11 @@ def q_contract_report(spark, sf_dir, corpora=("order",)):
 
 
 def q_bulk_rows(spark, sf_dir, corpora=("order",)):
-    return _analysis(spark, sf_dir, corpora).bulk_rows().select(*BULK_OUT)
+    """O35/O36 with the preprocessing counters of each row's source file (O49, O54 via the profile)."""
+    c = _corpus(spark, sf_dir, corpora)
+    a = Analysis(c.contracts, c.entries, c.structs, c.struct_fields)
+    prof = profile.profile(standin.sources(c.contracts, c.entries))
+    return a.bulk_rows(profile=prof).select(*BULK_OUT)
 
 
 def q_bulk_summary(spark, sf_dir, corpora=("order",)):

@@ -349,7 +349,11 @@ def oracle_sql() -> dict[str, str]:
     q["contract_report"] = _with(rep, "SELECT contract_id, file, contract_name, status, n_vars, current_slots, "
                                       "recommended_slots, current_wasted, recommended_wasted, strategy, n_issues, "
                                       "structs_total, structs_improved, struct_saved_slots FROM REP")
-    q["bulk_rows"] = _with(rep, "SELECT * EXCLUDE (contract_ord) FROM BR")
+    prof_ctes = _sources_sql()[len(base(ORDER)):] + ["PROF AS (" + _profile_sql() + ")"]
+    q["bulk_rows"] = _with(rep + prof_ctes, (
+        "SELECT b.* EXCLUDE (contract_ord, imports_removed, types_replaced), "
+        "coalesce(p.imports_removed, 0) AS imports_removed, coalesce(p.types_replaced, 0) AS types_replaced "
+        "FROM BR b LEFT JOIN PROF p USING (file)"))
     q["bulk_summary"] = _with(rep, (
         "SELECT CAST(count(DISTINCT file) AS BIGINT) AS files, CAST(count(*) FILTER (WHERE status = 'ERROR') AS BIGINT) AS file_errors, "
         "CAST(count(*) FILTER (WHERE status = 'OK') AS BIGINT) AS contracts_ok, "
