@@ -371,7 +371,7 @@ def oracle_sql() -> dict[str, str]:
     kind = ("CASE WHEN starts_with(replace(file, '\\', '/'), 'real/') THEN 'real' "
             "WHEN starts_with(replace(file, '\\', '/'), 'synthetic/') THEN 'synthetic' ELSE 'other' END")
     q["dataset_report"] = _with(rep, (
-        "SELECT *, CASE WHEN contracts_ok = 0 THEN 0.0 ELSE round(winners * 1000.0 / contracts_ok) / 10.0 END AS winners_pct, "
+        "SELECT *, CAST(CASE WHEN contracts_ok = 0 THEN 0.0 ELSE round(CAST(winners AS DOUBLE) * 1000.0 / contracts_ok) / 10.0 END AS DOUBLE) AS winners_pct, "
         "CAST(total_saved_slots * 20000 AS BIGINT) AS gas_saved FROM ("
         "SELECT CAST(count(*) AS BIGINT) AS contracts_total, CAST(count(*) FILTER (WHERE ok) AS BIGINT) AS contracts_ok, "
         "CAST(count(*) FILTER (WHERE status = 'ERROR') AS BIGINT) AS contracts_error, "
