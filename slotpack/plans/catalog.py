@@ -184,6 +184,12 @@ def _ingested(spark, sf_dir):
     return layout_json.layout_tables(layout_json.parse_documents(docs))
 
 
+def q_first_contracts(spark, sf_dir):
+    """The first contract (source unit, then contract order) of every corpus file."""
+    c = _corpus(spark, sf_dir, BOTH)
+    return layout_json.first_contract(c.contracts).select("file", "contract_name", "contract_id")
+
+
 def q_layout_ingest(spark, sf_dir):
     """Layout documents of the order contracts parsed back into entries."""
     return _ingested(spark, sf_dir)["entries"].select(
@@ -241,6 +247,15 @@ def q_verified_source(spark, sf_dir):
     return files.verified_sources(standin.payloads(src, c.contracts))
 
 
+def q_contract_sources(spark, sf_dir):
+    """Every order contract's source text looked up by its file path; size and line count."""
+    c = _corpus(spark, sf_dir, ("order",))
+    src = standin.sources(c.contracts, c.entries)
+    found = files.sources_for(c.contracts.select("contract_id", "file"), src)
+    return found.select("contract_id", "file", F.length("text").cast("bigint").alias("n_chars"),
+                        F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"))
+
+
 def q_examples(spark, sf_dir):
     """Example index joined to the source texts."""
     c = _corpus(spark, sf_dir, ("order",))
@@ -272,6 +287,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_contracts_cli": q_top_contracts_cli,
     "savings_preview": q_savings_preview,
     "leaderboard": q_leaderboard,
+    "first_contracts": q_first_contracts,
     "layout_ingest": q_layout_ingest,
     "layout_structs": q_layout_structs,
     "bulk_csv_report": q_bulk_csv_report,
@@ -281,6 +297,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "inheritance_edges": q_inheritance_edges,
     "verified_source": q_verified_source,
     "examples": q_examples,
+    "contract_sources": q_contract_sources,
     "contract_report_all": lambda s, d: q_contract_report(s, d, BOTH),
     "bulk_summary_all": lambda s, d: q_bulk_summary(s, d, BOTH),
     "dataset_report_all": lambda s, d: q_dataset_report(s, d, BOTH),

@@ -423,6 +423,9 @@ def oracle_sql() -> dict[str, str]:
                                      "f.label, f.member_type_id, f.type_label, f.number_of_bytes, f.encoding, f.slot, "
                                      "f.\"offset\" FROM FL f JOIN ST st USING (contract_id, type_id) JOIN IDS i USING (contract_id)")
     q["bulk_csv_report"] = q["dataset_report"]
+    q["first_contracts"] = _with([_contracts(BOTH)], (
+        "SELECT file, arg_min(contract_name, contract_ord) AS contract_name, "
+        "arg_min(contract_id, contract_ord) AS contract_id FROM C GROUP BY file"))
     src = _sources_sql()
     q["source_profile"] = _with(src, _profile_sql())
     q["external_types"] = _with(src, "SELECT file, unnest(ext) AS type FROM (" + _ext_sql() + ")")
@@ -443,6 +446,9 @@ def oracle_sql() -> dict[str, str]:
         "'0x' || sha1(file) AS link_address, '0x' || sha1(file) AS path_address "
         "FROM (SELECT s.file, s.text, CASE WHEN length(s.file) % 3 = 0 THEN 'Vault' ELSE l.last_name END AS name "
         "FROM SRC s JOIN LAST l USING (file))"))
+    q["contract_sources"] = _with(src, (
+        "SELECT c.contract_id, c.file, CAST(length(s.text) AS BIGINT) AS n_chars, "
+        "CAST(len(string_split(s.text, chr(10))) AS BIGINT) AS n_lines FROM C c JOIN SRC s USING (file)"))
     q["examples"] = _with(src, (
         "SELECT 'ex-' || substr(sha1(s.file), 1, 8) AS id, f.title, upper(" + _kind("s.file") + ") AS tag, "
         + _kind("s.file") + " AS kind, 'Contracts of ' || s.file AS description, s.text AS source "

@@ -33,6 +33,13 @@ def source_at(sources: DataFrame, path: str) -> DataFrame:
     return sources.where(F.col("file") == F.lit(path.replace("\\", "/")))
 
 
+def sources_for(paths: DataFrame, sources: DataFrame, path_col: str = "file") -> DataFrame:
+    """O05 for many paths at once: an inner join on the relative path (missing paths: no row)."""
+    norm = paths.withColumn("_path", F.translate(F.col(path_col), "\\", "/"))
+    return (norm.join(sources.select(F.col("file").alias("_path"), "text"), "_path")
+            .drop("_path"))
+
+
 EXAMPLE_INDEX = T.ArrayType(T.StructType([
     T.StructField(n, T.StringType()) for n in ("id", "title", "tag", "kind", "description", "file")]))
 
