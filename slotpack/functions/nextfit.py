@@ -60,17 +60,20 @@ def _fold_sql(items: str, start_u: str) -> str:
 
 
 def chunk_summaries(df: DataFrame, keys: list[str], pos: str, size: str,
-                    chunk_size: int = DEFAULT_CHUNK, keep_items: bool = False) -> DataFrame:
+                    chunk_size: int = DEFAULT_CHUNK, keep_items: bool = False,
+                    tiebreak: str | None = None) -> DataFrame:
     """Per (keys, chunk): the fold of the chunk's items.
 
-    ``pos`` is a dense 0-based position inside the group (chunk = pos div chunk_size).
+    ``pos`` is a dense 0-based position inside the group (chunk = pos div chunk_size); with
+    ``tiebreak`` it may repeat (items ordered by (pos, tiebreak), e.g. slot then declared order).
     Output ``summary``: one state for chunk 0 (start fill 0), 32 states (start fill 0..31) otherwise.
     """
+    tb = F.col(tiebreak).cast("bigint") if tiebreak else F.lit(0).cast("bigint")
     grouped = (
-        df.select(*keys, F.col(pos).cast("bigint").alias("_pos"), F.col(size).cast("int").alias("_b"))
+        df.select(*keys, F.col(pos).cast("bigint").alias("_pos"), tb.alias("_t"), F.col(size).cast("int").alias("_b"))
         .withColumn("_chunk", F.expr(f"_pos div {chunk_size}"))
         .groupBy(*keys, "_chunk")
-        .agg(F.expr("array_sort(collect_list(named_struct('p', _pos, 'b', _b)))").alias("_items"))
+        .agg(F.expr("array_sort(collect_list(named_struct('p', _pos, 't', _t, 'b', _b)))").alias("_items"))
     )
     summary = F.expr(
         f"if(_chunk = 0, array({_fold_sql('_items', '0')}), "
@@ -115,13 +118,13 @@ def _levels(chunks: DataFrame, keys: list[str], fanout: int, levels: int) -> lis
 
 def fold_totals(df: DataFrame, keys: list[str], pos: str, size: str,
                 chunk_size: int = DEFAULT_CHUNK, fanout: int = DEFAULT_FANOUT,
-                levels: int = DEFAULT_LEVELS) -> DataFrame:
+                levels: int = DEFAULT_LEVELS, tiebreak: str | None = None) -> DataFrame:
     """O30 fold: per group (slots, wasted) after closing the last open slot.
 
     Groups within one chunk take their chunk's summary; only groups spanning several chunks go
     through the summary tree.
     """
-    chunks = chunk_summaries(df, keys, pos, size, chunk_size)
+    chunks = chunk_summaries(df, keys, pos, size, chunk_size, tiebreak=tiebreak)
     multi = chunks.where(F.col("_chunk") > 0).select(*keys).distinct()
     single = (chunks.join(multi, keys, "left_anti")
               .select(*keys, F.expr("element_at(_summary, 1)").alias("_st")))

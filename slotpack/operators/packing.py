@@ -234,10 +234,15 @@ def recommended_order(entries: DataFrame, items: DataFrame | None = None) -> Dat
 
 
 def next_fit_estimate(entries: DataFrame, contracts: DataFrame | None = None,
-                      order: DataFrame | None = None) -> DataFrame:
-    """Slots and wasted bytes of the recommended order under sequential filling."""
-    order = order if order is not None else recommended_order(entries)
-    est = nextfit.fold_totals(order, ["contract_id"], "position", "number_of_bytes")
+                      items: DataFrame | None = None) -> DataFrame:
+    """Slots and wasted bytes of the recommended order under sequential filling.
+
+    The recommended order is (slot_index, ordinal); the fold chunks by slot index (dense per
+    contract) and orders each chunk's items by (slot_index, ordinal), so no position column is needed.
+    """
+    items = items if items is not None else recommended_items(entries)
+    est = nextfit.fold_totals(items, ["contract_id"], "slot_index", "number_of_bytes",
+                              chunk_size=ORDER_CHUNK // 32, tiebreak="ordinal")
     est = est.select("contract_id", F.col("slots").alias("recommended_slots"),
                      F.col("wasted").alias("recommended_wasted"))
     if contracts is None:

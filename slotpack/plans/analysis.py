@@ -103,7 +103,7 @@ class Analysis:
 
     def estimate(self) -> DataFrame:
         return self._get("estimate", lambda: packing.next_fit_estimate(
-            self.entries, self.contracts, self.recommended_order()))
+            self.entries, self.contracts, self.items()))
 
     # --- structs ----------------------------------------------------------------------------
     def member_bins(self) -> DataFrame:
