@@ -1,11 +1,14 @@
-"""Session helpers: a local session for tests/bench and the shared checkpoint folder."""
+"""Session helpers: a local session for tests/bench and the shared folder for stored tables."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_LOCAL_DIRS: dict[str, str] = {}
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "slotpack") -> SparkSession:
@@ -25,30 +28,54 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, read from the session and never written to it.
+
+    Order: the setting ``spark.checkpoint.dir``, then the folder given to ``setCheckpointDir``. With
+    neither, a ``local`` master gets one scratch folder per application (its executors are the driver
+    process); any other master raises, because its executors would write to their own disks.
+    """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir (or sc.setCheckpointDir) to a folder that the driver and "
+                         "all executors share: slotpack stores its intermediate tables there")
+    if sc.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="slotpack-")
+    return _LOCAL_DIRS[sc.applicationId]
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder; set a scratch one only when unset (tests)."""
-    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if current:
-        spark.sparkContext.setCheckpointDir(current)
-        return current
-    path = tempfile.mkdtemp(prefix="slotpack-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    """Shared folder; also handed to ``checkpoint()`` where the application has not set one yet."""
+    folder = shared_dir(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
-def materialize(df, name: str = "t"):
-    """Write ``df`` as a Parquet table in the shared checkpoint folder and read it back.
+def table_path(spark: SparkSession, name: str) -> str:
+    """A new path for a stored table of this application in the shared folder."""
+    return f"{shared_dir(spark)}/slotpack-tables/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str = "t") -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage like ``checkpoint()`` (a lost executor re-reads the files instead of recomputing
     the plan), but stays columnar: later scans prune columns and push filters down.
     """
-    import uuid
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    path = table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete every stored table of this library in the shared folder (call when no result needs them)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/slotpack-tables")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
