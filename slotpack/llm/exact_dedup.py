@@ -150,8 +150,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     A kept row is found again by (doc_id, digest); rows repeated in full are reduced to one.
     """
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    with_digest = docs.withColumn("_d", F.unhex(F.sha2(normalised(), 256)))
-    found = with_digest.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_d") == F.col("_digest")),
-                             "left_semi")
-    return found.dropDuplicates(["doc_id", "_d"]).select(docs.columns)
+    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"))
+    rows = docs.select(F.struct("*").alias("whole"), "doc_id", F.unhex(F.sha2(normalised(), 256)).alias("digest"))
+    found = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")),
+                      "left_semi")
+    return found.dropDuplicates(["doc_id", "digest"]).select("whole.*")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotpack.llm import exact_dedup
-from slotpack.llm.common import read
+from slotpack.llm import exact_dedup, quality
+from slotpack.llm.common import read, remainder
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +18,16 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole text of ``documents``."""
+    out = quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return out.select("doc_id", (remainder(quality.SPLIT_MODULUS) == quality.HELD_OUT).alias("held_out"), "score",
+                      (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op9_quality": op9_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
