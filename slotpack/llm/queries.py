@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotpack.llm import exact_dedup, quality
+from slotpack.llm import exact_dedup, packing, quality
 from slotpack.llm.common import read, remainder
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all ``documents`` packed into sequences of at most 2048 tokens."""
+    return packing.pack(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact groups of ``documents``: which row stays, group size and digest of the normalised text."""
     out = exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
@@ -26,6 +38,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op9_quality": op9_quality,
 }
