@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotpack.llm import exact_dedup, packing, quality
+from slotpack.llm import decontam, exact_dedup, packing, quality
 from slotpack.llm.common import read, remainder
 
 
@@ -30,6 +30,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item found in a document of ``documents``, with the number of shared windows."""
+    return decontam.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every whole text of ``documents``."""
     out = quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -40,6 +45,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
 }
 
