@@ -12,6 +12,8 @@ from slotpack.session import materialize
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A lookup broadcasts only keys that hold over 1/HOT_SHARE of the rows: there are fewer than HOT_SHARE.
 HOT_SHARE = 4096
+#: Ids that one broadcast may hold; more are joined by a shuffle.
+MOST_BROADCAST_IDS = 1_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,18 +35,30 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, name)
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", size: str | None = None) -> DataFrame:
     """Join ``rows`` with ``table`` (at most one row per key) although a few keys may hold most rows.
 
     Both sides must be stored tables, since they are read more than once. Keys with more than
-    1/HOT_SHARE of all rows are counted first; fewer than HOT_SHARE such keys can exist, so their
-    ``table`` rows are broadcast and their ``rows`` never move. All other rows meet by a shuffle.
+    1/HOT_SHARE of all rows come first; fewer than HOT_SHARE such keys can exist, so their ``table``
+    rows are broadcast and their ``rows`` never move. All other rows meet by a shuffle. ``size`` names
+    a column of ``table`` that holds the number of rows of each key; without it they are counted here.
     ``how`` is inner or left.
     """
-    total = rows.count()
-    counts = rows.groupBy(*keys).count().where(F.col("count") > F.lit(total / HOT_SHARE))
-    hot = store(counts.where(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])).drop("count"), "hot")
-    warm = F.broadcast(hot)
+    least = F.lit(rows.count() / HOT_SHARE)
+    if size is None:
+        known = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+        hot = rows.where(known).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
+    else:
+        hot = table.where(F.col(size) > least)
+    warm = F.broadcast(store(hot.select(*keys), "hot"))
     hot_rows = rows.join(warm, keys, "left_semi").join(F.broadcast(table.join(warm, keys, "left_semi")), keys, how)
     rest = rows.join(warm, keys, "left_anti").join(table, keys, how)
     return hot_rows.unionByName(rest)
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join with stored distinct ``doc_id``s; they are broadcast only while they are few."""
+    side = ids.select(F.col("doc_id").alias("own_id"))
+    if ids.count() <= MOST_BROADCAST_IDS:
+        side = F.broadcast(side)
+    return rows.join(side, F.col("doc_id").eqNullSafe(F.col("own_id")), how)

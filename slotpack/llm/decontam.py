@@ -27,14 +27,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotpack.llm.common import store, whole_text
+from slotpack.llm.common import store, whole_text, with_ids
 
 WINDOW = 8
 SHORTEST = 5
 #: Rows of the benchmark side (16 bytes each) that one broadcast may hold.
 BLOCK = 1_000_000
-#: Candidate ids that one broadcast may hold; beyond it the candidates are joined by a shuffle.
-MOST_BROADCAST_IDS = 1_000_000
 
 UNITS = ("%|percent|mm|cm|m|km|mg|g|kg|t|ml|l|s|ms|min|h|kb|mb|gb|mph|kmh|inch|inches|feet|foot|ft|yards|miles|mile|"
          "meters|metres|kilometers|kilometres|grams|kilograms|pounds|ounces|liters|litres|gallons|seconds|minutes|"
@@ -112,14 +110,6 @@ def candidates(docs: DataFrame, windows: DataFrame) -> DataFrame:
     return store(reduce(DataFrame.unionByName, found).distinct(), "candidates")
 
 
-def _with_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join on doc_id; the ids are broadcast only while they are few."""
-    side = ids.select(F.col("doc_id").alias("own_id"))
-    if ids.count() <= MOST_BROADCAST_IDS:
-        side = F.broadcast(side)
-    return rows.join(side, F.col("doc_id").eqNullSafe(F.col("own_id")), how)
-
-
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, windows, item_windows, exact): benchmark items found in each document.
 
@@ -127,7 +117,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     have the item's own values.
     """
     known = benchmark_windows(benchmark)
-    near = _with_ids(docs.select("doc_id", "text"), candidates(docs, known), "left_semi")
+    near = with_ids(docs.select("doc_id", "text"), candidates(docs, known), "left_semi")
     near = store(near, "near")
     total = known.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
     parts = [_aligned(near, ["doc_id"], r[0]).withColumn("size", F.lit(r[0]))
@@ -163,5 +153,5 @@ def _empty(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item; columns unchanged."""
     found = store(matches(docs, benchmark).select("doc_id").distinct(), "contaminated")
-    kept = _with_ids(docs.select(F.struct("*").alias("whole"), "doc_id"), found, "left_anti")
+    kept = with_ids(docs.select(F.struct("*").alias("whole"), "doc_id"), found, "left_anti")
     return kept.select("whole.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotpack.llm import decontam, exact_dedup, packing, quality
+from slotpack.llm import decontam, exact_dedup, near_dup, packing, quality
 from slotpack.llm.common import read, remainder
 
 
@@ -23,6 +23,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate group of every document of ``documents``; one row of each group is kept."""
+    return near_dup.near_groups(read(spark, sf_dir, "documents")).drop("row")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact groups of ``documents``: which row stays, group size and digest of the normalised text."""
     out = exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
@@ -44,6 +49,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_near_dedup": op3_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
