@@ -8,14 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotpack.llm import decontam, exact_dedup, near_dup, packing, quality
-from slotpack.llm.common import read, remainder
-
-
-def vocabulary(name: str) -> str:
-    """Place of a public tokenizer's file."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+from slotpack.llm.common import read, remainder, vocabulary
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
