@@ -7,15 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotpack.llm import decontam, exact_dedup, near_dup, packing, quality
+from slotpack.llm import bpe_count, decontam, exact_dedup, near_dup, packing, quality
 from slotpack.llm.common import read, remainder, vocabulary
 
+TOKEN_LIMIT = 2048
+
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all ``documents`` packed into sequences of at most 2048 tokens."""
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text of ``documents``."""
+    out = bpe_count.token_counts(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return out.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate group of every document of ``documents``; one row of each group is kept."""
     return near_dup.near_groups(read(spark, sf_dir, "documents")).drop("row")
@@ -42,6 +50,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_token_counts": op2_token_counts,
     "op3_near_dedup": op3_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op8_decontamination": op8_decontamination,
