@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotpack.llm import bpe_count, decontam, exact_dedup, near_dup, packing, quality
+from slotpack.llm import arc_warc, bpe_count, decontam, exact_dedup, near_dup, packing, quality
 from slotpack.llm.common import read, remainder, vocabulary
 
 TOKEN_LIMIT = 2048
@@ -36,6 +36,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``pages`` as read back from WARC files that were converted from ARC files."""
+    return arc_warc.page_records(read(spark, sf_dir, "pages"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark item found in a document of ``documents``, with the number of shared windows."""
     return decontam.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_near_dedup": op3_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_arc_to_warc": op6_arc_to_warc,
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
 }
