@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotpack.llm import arc_warc, bpe_count, decontam, exact_dedup, near_dup, packing, quality
+from slotpack.llm import arc_warc, bpe_count, decontam, exact_dedup, near_dup, packing, quality, toxicity
 from slotpack.llm.common import read, remainder, vocabulary
 
 TOKEN_LIMIT = 2048
@@ -36,6 +36,13 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score and significant passages of every whole text of ``documents``."""
+    out = toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return out.select("doc_id", (remainder(toxicity.SPLIT_MODULUS) == toxicity.HELD_OUT).alias("held_out"), "score",
+                      (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "passages")
+
+
 def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of ``pages`` as read back from WARC files that were converted from ARC files."""
     return arc_warc.page_records(read(spark, sf_dir, "pages"))
@@ -58,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_near_dedup": op3_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_arc_to_warc": op6_arc_to_warc,
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,

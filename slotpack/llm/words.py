@@ -54,12 +54,8 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-def word_hashes(texts: list[str | None], separators: np.ndarray = WHITE, lower: bool = True
-                ) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word in text order, bounds): words of text i are hashes[bounds[i]:bounds[i+1]].
-
-    ``lower`` folds ASCII A-Z. Null counts as empty.
-    """
+def _letters(texts: list[str | None], separators: np.ndarray, lower: bool):
+    """(weighted bytes of all words, place of each byte in its word, first byte and size of words, bounds)."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     ends = np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
@@ -67,14 +63,39 @@ def word_hashes(texts: list[str | None], separators: np.ndarray = WHITE, lower:
         data = _LOWER[data]
     inside = ~separators[data]
     edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))
-    starts, stops = edge[::2], edge[1::2]
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(raw) + 1, np.int64)
-    sizes = stops - starts
+    starts, sizes = edge[::2], edge[1::2] - edge[::2]
     at = np.flatnonzero(inside)
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    first = np.cumsum(sizes) - sizes
     within = np.arange(len(at), dtype=np.int64) - np.repeat(first, sizes)
     with np.errstate(over="ignore"):
-        value = (data[at].astype(np.uint64) + np.uint64(1)) * _powers(int(sizes.max()) + 1)[within]
-        hashes = _mix(np.add.reduceat(value, first) + sizes.astype(np.uint64) * np.uint64(_BASE))
-    return hashes, np.concatenate([[0], np.searchsorted(starts, ends)]).astype(np.int64)
+        value = (data[at].astype(np.uint64) + np.uint64(1)) * _powers(int(sizes.max(initial=0)) + 1)[within]
+    bounds = np.concatenate([[0], np.searchsorted(starts, ends)]).astype(np.int64)
+    return value, within, first, sizes, bounds
+
+
+def word_hashes(texts: list[str | None], separators: np.ndarray = WHITE, lower: bool = True
+                ) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word in text order, bounds): words of text i are hashes[bounds[i]:bounds[i+1]].
+
+    ``lower`` folds ASCII A-Z. Null counts as empty.
+    """
+    stems, bounds = stem_hashes(texts, (), separators, lower)
+    return stems[0], bounds
+
+
+def stem_hashes(texts: list[str | None], lengths: tuple[int, ...], separators: np.ndarray = WHITE, lower: bool = True
+                ) -> tuple[np.ndarray, np.ndarray]:
+    """As word_hashes, with a row of hashes for whole words and one for their first n bytes, n in ``lengths``.
+
+    A word of at most n bytes has its whole hash there too.
+    """
+    value, within, first, sizes, bounds = _letters(texts, separators, lower)
+    if not len(first):
+        return np.zeros((1 + len(lengths), 0), np.uint64), bounds
+    with np.errstate(over="ignore"):
+        whole = _mix(np.add.reduceat(value, first) + sizes.astype(np.uint64) * np.uint64(_BASE))
+        out = [whole]
+        for n in lengths:
+            part = np.add.reduceat(np.where(within < n, value, np.uint64(0)), first)
+            out.append(np.where(sizes > n, _mix(part ^ np.uint64(0xC2B2AE3D27D4EB4F * n & (2**64 - 1))), whole))
+    return np.stack(out), bounds
