@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotpack.llm import arc_warc, bpe_count, decontam, exact_dedup, near_dup, packing, quality, toxicity
+from slotpack.llm import arc_warc, bpe_count, chat, decontam, exact_dedup, near_dup, packing, quality, toxicity
 from slotpack.llm.common import read, remainder, vocabulary
 
 TOKEN_LIMIT = 2048
@@ -48,6 +48,11 @@ def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arc_warc.page_records(read(spark, sf_dir, "pages"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal conversations of ``conversations``, rendered in parts of 256 turns."""
+    return chat.formatted(read(spark, sf_dir, "conversations"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark item found in a document of ``documents``, with the number of shared windows."""
     return decontam.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_arc_to_warc": op6_arc_to_warc,
+    "op7_chat_format": op7_chat_format,
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
 }
@@ -78,4 +84,20 @@ ORACLE_SQL: dict[str, str] = {
              g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
         FROM d JOIN g USING (norm)""",
+    "op7_chat_format": r"""
+        WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, 0) AS turn, coalesce(role, '') AS role,
+                          coalesce(text, '') AS text
+                   FROM conversations WHERE conv_id IS NOT NULL),
+             p AS (SELECT conv_id, row_number() OVER w - 1 AS position, role, text,
+                          string_agg(role || chr(31) || text || chr(30), '') OVER w AS prefix
+                   FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+             c AS (SELECT conv_id, max(position) + 1 AS n_turns, arg_max(prefix, position) AS whole
+                   FROM p GROUP BY conv_id),
+             g AS (SELECT whole, n_turns, min(conv_id) AS conv_id, count(*) AS copies FROM c GROUP BY whole, n_turns),
+             q AS (SELECT DISTINCT prefix FROM p JOIN c USING (conv_id) WHERE position + 1 < n_turns)
+        SELECT conv_id, CAST(floor(position / 256) AS BIGINT) AS part, n_turns, copies,
+               string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY position) AS rendered
+        FROM p JOIN g USING (conv_id) WHERE whole NOT IN (SELECT prefix FROM q)
+        GROUP BY conv_id, CAST(floor(position / 256) AS BIGINT), n_turns, copies""",
 }
