@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotpack.llm import arc_warc, bpe_count, chat, decontam, exact_dedup, near_dup, packing, quality, toxicity
+from slotpack.llm import arc_warc, bpe_count, chat, decontam, exact_dedup, hmm, near_dup, packing, quality, toxicity
 from slotpack.llm.common import read, remainder, vocabulary
 
 TOKEN_LIMIT = 2048
@@ -65,6 +65,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op10_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every whole text of ``documents`` under the hidden Markov model and its base."""
+    out = hmm.language_scores(read(spark, sf_dir, "documents"))
+    return out.withColumn("held_out", remainder(hmm.SPLIT_MODULUS) == hmm.HELD_OUT)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_token_counts": op2_token_counts,
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_chat_format": op7_chat_format,
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
+    "op10_hmm_score": op10_hmm_score,
 }
 
 ORACLE_SQL: dict[str, str] = {

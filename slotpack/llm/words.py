@@ -55,7 +55,7 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 
 def _letters(texts: list[str | None], separators: np.ndarray, lower: bool):
-    """(weighted bytes of all words, place of each byte in its word, first byte and size of words, bounds)."""
+    """(bytes of all words, the same weighted, their places in the word, first byte and size of words, bounds)."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     ends = np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
@@ -70,7 +70,7 @@ def _letters(texts: list[str | None], separators: np.ndarray, lower: bool):
     with np.errstate(over="ignore"):
         value = (data[at].astype(np.uint64) + np.uint64(1)) * _powers(int(sizes.max(initial=0)) + 1)[within]
     bounds = np.concatenate([[0], np.searchsorted(starts, ends)]).astype(np.int64)
-    return value, within, first, sizes, bounds
+    return data[at], value, within, first, sizes, bounds
 
 
 def word_hashes(texts: list[str | None], separators: np.ndarray = WHITE, lower: bool = True
@@ -89,7 +89,7 @@ def stem_hashes(texts: list[str | None], lengths: tuple[int, ...], separators: n
 
     A word of at most n bytes has its whole hash there too.
     """
-    value, within, first, sizes, bounds = _letters(texts, separators, lower)
+    _, value, within, first, sizes, bounds = _letters(texts, separators, lower)
     if not len(first):
         return np.zeros((1 + len(lengths), 0), np.uint64), bounds
     with np.errstate(over="ignore"):
@@ -99,3 +99,16 @@ def stem_hashes(texts: list[str | None], lengths: tuple[int, ...], separators: n
             part = np.add.reduceat(np.where(within < n, value, np.uint64(0)), first)
             out.append(np.where(sizes > n, _mix(part ^ np.uint64(0xC2B2AE3D27D4EB4F * n & (2**64 - 1))), whole))
     return np.stack(out), bounds
+
+
+def words_and_endings(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_hashes and, for each word, a number made of its last three bytes."""
+    letters, value, _, first, sizes, bounds = _letters(texts, WHITE, True)
+    if not len(first):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), bounds
+    with np.errstate(over="ignore"):
+        whole = _mix(np.add.reduceat(value, first) + sizes.astype(np.uint64) * np.uint64(_BASE))
+    last, ending = first + sizes - 1, np.zeros(len(first), np.int64)
+    for k in range(3):
+        ending = ending * 256 + np.where(sizes > k, letters[np.maximum(last - k, 0)], 0)
+    return whole, ending, bounds
