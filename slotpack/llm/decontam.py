@@ -35,7 +35,7 @@ SHORTEST = 5
 BLOCK = 1_000_000
 
 UNITS = ("%|percent|mm|cm|m|km|mg|g|kg|t|ml|l|s|ms|min|h|kb|mb|gb|mph|kmh|inch|inches|feet|foot|ft|yards|miles|mile|"
-         "meters|metres|kilometers|kilometres|grams|kilograms|pounds|ounces|liters|litres|gallons|seconds|minutes|"
+         "meters|metres|kilometers|kilometres|grams|kilograms|lb|lbs|pounds|oz|ounces|liters|litres|gallons|seconds|minutes|"
          "hours|days|weeks|months|years|dollars|cents|euros|degrees")
 _NUMBER = r"(?<![\p{L}\p{N}])\p{N}+"
 _UNIT = rf"(0num\p{{N}}+\s?)({UNITS})(?![\p{{L}}\p{{N}}])"

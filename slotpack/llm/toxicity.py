@@ -3,7 +3,7 @@
 A token is a word or one of its stems (its first STEMS bytes). A token's weight is its log-odds between toxic and clean labelled documents under a Dirichlet prior
 that grows with its document frequency in the whole corpus (Monroe et al. 2008); only weights that are
 significant count: a word scores the weight of itself or else of its longest weighted stem, and every
-word costs DRIFT. A linear scan finds all maximal scoring segments of a text
+word costs a small drift. A linear scan finds all maximal scoring segments of a text
 (Ruzzo and Tompa 1999). For clean text the best segment of n tokens follows an extreme-value law:
 E = K n exp(-lambda S) segments of score S are expected by chance, with lambda from the clean tokens'
 score distribution (Karlin and Altschul 1990) and K fitted to clean documents. Segments with E below
@@ -44,6 +44,7 @@ LEAST_Z = 3.5
 STEMS = (5, 7)
 #: Fewer toxic documents than this can't make a weight significant.
 LEAST_DOCUMENTS = 4
+#: Cost of every word; more where clean words would gain on average, which the law excludes.
 DRIFT = 0.02
 SIGNIFICANT = 0.05
 
@@ -55,6 +56,7 @@ class Model:
     base: float
     tokens: np.ndarray | None = None
     weights: np.ndarray | None = None
+    drift: float = DRIFT
     rate: float = 1.0
     scale: float = 1.0
     slope: float = 1.0
@@ -122,7 +124,7 @@ def passages(model: Model, texts: list[str | None]) -> Iterator[tuple[int, list[
         own = np.searchsorted(at, bounds)
         for i in range(end - begin):
             a, b = own[i], own[i + 1]
-            found = segments((at[a:b] - bounds[i]).tolist(), weight[a:b].tolist(), DRIFT) if a < b else []
+            found = segments((at[a:b] - bounds[i]).tolist(), weight[a:b].tolist(), model.drift) if a < b else []
             yield int(bounds[i + 1] - bounds[i]), found
 
 
@@ -179,25 +181,32 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     weight, spread = odds["toxic"] - odds["clean"], F.sqrt(1 / seen["toxic"] + 1 / seen["clean"])
     kept = (counts.where(F.col("toxic") >= LEAST_DOCUMENTS)
             .select("token", "clean", weight.alias("weight"), (weight / spread).alias("z"))
-            .where((F.col("z") >= LEAST_Z) & (F.col("weight") > DRIFT)).toPandas())  # bounded by the sample
+            .where((F.col("z") >= LEAST_Z) & (F.col("weight") > 0)).toPandas())  # bounded by the sample
     if not len(kept):
         return Model(base)
     token = kept["token"].to_numpy().view(np.uint64)
     order = np.argsort(token)
     weights = kept["weight"].to_numpy()[order]
-    rate = _rate(weights - DRIFT, (kept["clean"].to_numpy()[order] + 0.5) / total["clean"])
-    return _calibrated(docs, own, Model(base, token[order], weights, rate))
+    seen = (kept["clean"].to_numpy()[order] + 0.5) / total["clean"]
+    drift = max(DRIFT, 2 * float((seen * weights).sum()))
+    gain = weights > drift
+    token, weights, seen = token[order][gain], weights[gain], seen[gain]
+    if not len(token):
+        return Model(base)
+    return _calibrated(docs, own, Model(base, token, weights, drift, _rate(weights, seen, drift)))
+
 
+def _rate(weight: np.ndarray, share: np.ndarray, drift: float) -> float:
+    """The positive x at which a clean word's exp(x score) is 1 on average, by bisection."""
+    def mean(x: float) -> float:
+        return float((share * np.exp(np.minimum(x * (weight - drift), 700))).sum() + (1 - share.sum()) * np.exp(-x * drift))
 
-def _rate(gain: np.ndarray, share: np.ndarray) -> float:
-    """The positive root of sum share exp(x gain) + (1 - sum share) exp(-x DRIFT) = 1, by bisection."""
     low, high = 0.0, 1.0
-    value = lambda x: (share * np.exp(np.minimum(x * gain, 700))).sum() + (1 - share.sum()) * np.exp(-x * DRIFT)
-    while value(high) < 1 and high < 100:
+    while mean(high) < 1 and high < 100:
         low, high = high, 2 * high
     for _ in range(60):
         middle = (low + high) / 2
-        low, high = (middle, high) if value(middle) < 1 else (low, middle)
+        low, high = (middle, high) if mean(middle) < 1 else (low, middle)
     return max(high, 1e-3)
 
 
@@ -233,9 +242,9 @@ def _calibrated(docs: DataFrame, own: DataFrame, model: Model) -> Model:
     if not clean.any() or clean.all():
         return Model(model.base)
     chance = (np.maximum(n[clean], 1) * np.exp(-model.rate * s[clean])).sum()
-    fitted = Model(model.base, model.tokens, model.weights, model.rate, float(clean.sum() / max(chance, 1e-300)))
+    fitted = Model(model.base, model.tokens, model.weights, model.drift, model.rate, float(clean.sum() / max(chance, 1e-300)))
     slope, offset = logistic(fitted.strength(s, n), y, np.ones(len(y)))
-    return Model(model.base, model.tokens, model.weights, model.rate, fitted.scale, slope, offset)
+    return Model(model.base, model.tokens, model.weights, model.drift, model.rate, fitted.scale, slope, offset)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
