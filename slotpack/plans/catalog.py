@@ -1,8 +1,7 @@
 """Named queries: each takes (spark, sf_dir) and returns a DataFrame over the whole tables.
 
-Corpus per query: ``order`` contracts (one per order, the exact packer's domain), ``part``
-contracts (about 30 variables, mostly first-fit decreasing) or both. Report queries marked
-``order`` have a DuckDB oracle; their ``*_all`` twins run the same pipeline on both corpora.
+Every query reads the whole corpus: ``order`` contracts (one per order, few variables) and ``part``
+contracts (about 30 variables, on both sides of the exact packer's limit).
 """
 
 from __future__ import annotations
@@ -21,19 +20,19 @@ from slotpack.session import ensure_checkpoint_dir
 BOTH = ("order", "part")
 
 
-def _corpus(spark: SparkSession, sf_dir: str, corpora=BOTH) -> standin.Corpus:
-    return standin.Corpus(spark, sf_dir, corpora)
+def _corpus(spark: SparkSession, sf_dir: str) -> standin.Corpus:
+    return standin.Corpus(spark, sf_dir)
 
 
-def _analysis(spark: SparkSession, sf_dir: str, corpora=BOTH) -> Analysis:
-    c = _corpus(spark, sf_dir, corpora)
+def _analysis(spark: SparkSession, sf_dir: str) -> Analysis:
+    c = _corpus(spark, sf_dir)
     return Analysis(c.contracts, c.entries, c.structs, c.struct_fields)
 
 
 def q_declared_layout(spark, sf_dir):
     """slot/offset of every stand-in variable under the compiler's sequential rule."""
-    v = standin.variables(spark, sf_dir, BOTH)
-    st = standin.structs(standin.struct_fields(spark, sf_dir, BOTH, base=v))
+    v = standin.variables(spark, sf_dir)
+    st = standin.structs(standin.struct_fields(spark, sf_dir, base=v))
     typed = (v.join(st.select("contract_id", F.col("number_of_bytes").alias("_sb")), "contract_id", "left")
              .select("contract_id", "ordinal",
                      F.when(standin._lookup(F.col("_code"), 0) == standin.STRUCT_TYPE_ID, F.col("_sb"))
@@ -81,8 +80,8 @@ def q_strategy(spark, sf_dir):
 
 
 def q_pack_exact_count(spark, sf_dir):
-    """O25 count: bins of the exact packer per order contract (<= 20 packable variables)."""
-    a = _analysis(spark, sf_dir, ("order",))
+    """O25 count: slots of the exact packer per contract with 1 to 20 packable variables."""
+    a = _analysis(spark, sf_dir)
     b = a.bins()
     s = a.strategy().where(F.col("strategy") == packing.STRATEGY_EXACT).where(F.col("n_packable") > 0)
     return (b.join(s.select("contract_id"), "contract_id")
@@ -91,40 +90,42 @@ def q_pack_exact_count(spark, sf_dir):
 
 
 def q_pack_exact_bins(spark, sf_dir):
-    """O25 grouping: bin of every packable variable of the order contracts (reference tie-break)."""
-    a = _analysis(spark, sf_dir, ("order",))
-    first = a.bins().groupBy("contract_id", "bin").agg(F.min("ordinal").alias("first_ordinal"))
-    return (a.bins().join(first, ["contract_id", "bin"])
+    """O25 grouping: slot of every packable variable of contracts on the exact path (reference tie-break)."""
+    a = _analysis(spark, sf_dir)
+    exact = a.strategy().where(F.col("strategy") == packing.STRATEGY_EXACT).select("contract_id")
+    bins = a.bins().join(exact, "contract_id", "left_semi")
+    first = bins.groupBy("contract_id", "bin").agg(F.min("ordinal").alias("first_ordinal"))
+    return (bins.join(first, ["contract_id", "bin"])
             .select("contract_id", "ordinal", F.col("first_ordinal").cast("int").alias("group_first")))
 
 
 def q_pack_ffd(spark, sf_dir):
-    """First-fit decreasing bin (opening order) of every packable variable of the part contracts."""
-    c = _corpus(spark, sf_dir, ("part",))
+    """First-fit decreasing bin (opening order) of every packable variable of contracts with more than 20."""
+    c = _corpus(spark, sf_dir)
     p = packing.classify(c.entries).where(F.col("cls") == "packable").select("contract_id", "ordinal", "number_of_bytes")
     r = packing.pack_ffd(p, ["contract_id"], "ordinal", "number_of_bytes")
     return r.select("contract_id", F.col("ordinal").cast("int").alias("ordinal"), "bin")
 
 
 def q_recommended_slots(spark, sf_dir):
-    a = _analysis(spark, sf_dir, ("order",))
+    a = _analysis(spark, sf_dir)
     return a.recommended_slots().select("contract_id", "slot_index", "note_code", "used", "wasted",
                                         F.col("n_vars").cast("bigint").alias("n_vars"), "labels")
 
 
 def q_recommended_order(spark, sf_dir):
-    a = _analysis(spark, sf_dir, ("order",))
+    a = _analysis(spark, sf_dir)
     return a.recommended_order().select("contract_id", "position", "slot_index",
                                         F.col("ordinal").cast("int").alias("ordinal"), "label",
                                         "number_of_bytes", "note_code")
 
 
 def q_next_fit_estimate(spark, sf_dir):
-    return _analysis(spark, sf_dir, ("order",)).estimate()
+    return _analysis(spark, sf_dir).estimate()
 
 
 def q_struct_optimization(spark, sf_dir):
-    a = _analysis(spark, sf_dir, ("order",))
+    a = _analysis(spark, sf_dir)
     return a.struct_optimization().select("contract_id", "type_id", "n_fields", "current_slots", "optimal_slots",
                                           "direct_instances", "saved_per_instance", "total_saved_slots",
                                           "improved", "struct_strategy")
@@ -139,59 +140,59 @@ BULK_OUT = ["file", "contract", "status", "error", "current_slots", "recommended
             "struct_saved_slots"]
 
 
-def q_contract_report(spark, sf_dir, corpora=("order",)):
-    return _analysis(spark, sf_dir, corpora).report().select(*REPORT_COLUMNS)
+def q_contract_report(spark, sf_dir):
+    return _analysis(spark, sf_dir).report().select(*REPORT_COLUMNS)
 
 
-def q_bulk_rows(spark, sf_dir, corpora=("order",)):
+def q_bulk_rows(spark, sf_dir):
     """O35/O36 with the preprocessing counters of each row's source file (O49, O54 via the profile)."""
-    c = _corpus(spark, sf_dir, corpora)
+    c = _corpus(spark, sf_dir)
     a = Analysis(c.contracts, c.entries, c.structs, c.struct_fields)
     prof = profile.profile(standin.sources(c.contracts, c.entries))
     return a.bulk_rows(profile=prof).select(*BULK_OUT)
 
 
-def q_bulk_summary(spark, sf_dir, corpora=("order",)):
-    return corpus.bulk_summary(_analysis(spark, sf_dir, corpora).bulk_rows())
+def q_bulk_summary(spark, sf_dir):
+    return corpus.bulk_summary(_analysis(spark, sf_dir).bulk_rows())
 
 
-def q_dataset_report(spark, sf_dir, corpora=("order",)):
-    return corpus.dataset_report(_analysis(spark, sf_dir, corpora).bulk_rows())
+def q_dataset_report(spark, sf_dir):
+    return corpus.dataset_report(_analysis(spark, sf_dir).bulk_rows())
 
 
-def q_top_contracts(spark, sf_dir, corpora=("order",)):
-    return corpus.top_contracts_web(_analysis(spark, sf_dir, corpora).bulk_rows())
+def q_top_contracts(spark, sf_dir):
+    return corpus.top_contracts_web(_analysis(spark, sf_dir).bulk_rows())
 
 
-def q_top_contracts_cli(spark, sf_dir, corpora=("order",)):
-    return corpus.top_contracts_cli(_analysis(spark, sf_dir, corpora).bulk_rows())
+def q_top_contracts_cli(spark, sf_dir):
+    return corpus.top_contracts_cli(_analysis(spark, sf_dir).bulk_rows())
 
 
-def q_savings_preview(spark, sf_dir, corpora=("order",)):
-    a = _analysis(spark, sf_dir, corpora)
+def q_savings_preview(spark, sf_dir):
+    a = _analysis(spark, sf_dir)
     return corpus.savings_preview(a.report(), a.struct_optimization())
 
 
-def q_leaderboard(spark, sf_dir, corpora=("order",)):
-    """First page (15 rows) of the real-contract slice of the top list, by saved slots."""
-    top = corpus.top_contracts_web(_analysis(spark, sf_dir, corpora).bulk_rows())
-    return corpus.leaderboard(top, kind="real", page=0)
+def q_leaderboard(spark, sf_dir):
+    """First page (15 rows) of the synthetic slice of the top list, by saved slots."""
+    top = corpus.top_contracts_web(_analysis(spark, sf_dir).bulk_rows())
+    return corpus.leaderboard(top, kind="synthetic", page=0)
 
 
 def _ingested(spark, sf_dir):
-    c = _corpus(spark, sf_dir, ("order",))
+    c = _corpus(spark, sf_dir)
     docs = layout_json.to_documents(c.contracts, c.entries, c.struct_fields, c.structs)
     return layout_json.layout_tables(layout_json.parse_documents(docs))
 
 
 def q_first_contracts(spark, sf_dir):
     """The first contract (source unit, then contract order) of every corpus file."""
-    c = _corpus(spark, sf_dir, BOTH)
+    c = _corpus(spark, sf_dir)
     return layout_json.first_contract(c.contracts).select("file", "contract_name", "contract_id")
 
 
 def q_layout_ingest(spark, sf_dir):
-    """Layout documents of the order contracts parsed back into entries."""
+    """Layout documents of the whole corpus parsed back into entries."""
     return _ingested(spark, sf_dir)["entries"].select(
         "contract_id", "ordinal", "label", "offset", "slot_text", "slot", "type_id", "number_of_bytes",
         "type_label", "encoding")
@@ -209,14 +210,14 @@ def q_layout_structs(spark, sf_dir):
 def q_bulk_csv_report(spark, sf_dir):
     """Bulk rows written as CSV to the checkpoint folder, read back, dataset report."""
     import uuid
-    rows = _analysis(spark, sf_dir, ("order",)).bulk_rows()
+    rows = _analysis(spark, sf_dir).bulk_rows()
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bulk-csv-{uuid.uuid4().hex}"
     bulk_csv.write_bulk_csv(rows, path)
     return corpus.dataset_report(bulk_csv.read_bulk_csv(spark, path))
 
 
 def _sources(spark, sf_dir):
-    c = _corpus(spark, sf_dir, ("order",))
+    c = _corpus(spark, sf_dir)
     return standin.sources(c.contracts, c.entries)
 
 
@@ -242,14 +243,14 @@ def q_inheritance_edges(spark, sf_dir):
 
 def q_verified_source(spark, sf_dir):
     """Verified-source payloads normalised to Solidity text; addresses from link and file name."""
-    c = _corpus(spark, sf_dir, ("order",))
+    c = _corpus(spark, sf_dir)
     src = standin.sources(c.contracts, c.entries)
     return files.verified_sources(standin.payloads(src, c.contracts))
 
 
 def q_contract_sources(spark, sf_dir):
-    """Every order contract's source text looked up by its file path; size and line count."""
-    c = _corpus(spark, sf_dir, ("order",))
+    """Every contract's source text looked up by its file path; size and line count."""
+    c = _corpus(spark, sf_dir)
     src = standin.sources(c.contracts, c.entries)
     found = files.sources_for(c.contracts.select("contract_id", "file"), src)
     return found.select("contract_id", "file", F.length("text").cast("bigint").alias("n_chars"),
@@ -258,7 +259,7 @@ def q_contract_sources(spark, sf_dir):
 
 def q_examples(spark, sf_dir):
     """Example index joined to the source texts."""
-    c = _corpus(spark, sf_dir, ("order",))
+    c = _corpus(spark, sf_dir)
     src = standin.sources(c.contracts, c.entries)
     return files.examples(standin.example_index(src, c.contracts), src)
 
@@ -298,8 +299,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "verified_source": q_verified_source,
     "examples": q_examples,
     "contract_sources": q_contract_sources,
-    "contract_report_all": lambda s, d: q_contract_report(s, d, BOTH),
-    "bulk_summary_all": lambda s, d: q_bulk_summary(s, d, BOTH),
-    "dataset_report_all": lambda s, d: q_dataset_report(s, d, BOTH),
-    "top_contracts_all": lambda s, d: q_top_contracts(s, d, BOTH),
+    # earlier names of the same queries
+    "contract_report_all": q_contract_report,
+    "bulk_summary_all": q_bulk_summary,
+    "dataset_report_all": q_dataset_report,
+    "top_contracts_all": q_top_contracts,
 }

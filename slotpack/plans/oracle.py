@@ -2,9 +2,9 @@
 
 The stand-in corpus is rebuilt from ``lineitem`` / ``orders`` / ``part`` with the same fixed
 mapping as ``slotpack.sources.standin``; sequential placement and next-fit are recursive CTEs over
-positions; exact packing enumerates subset masks (order contracts: at most 14 packable variables)
-and computes the minimum bin count of every mask with a breadth-first recursion, from which the
-reference tie-break (largest optimal subset mask first) is read off directly.
+positions; exact packing tabulates the least number of slots of every multiset of at most 20 items
+once and then takes the largest subset mask whose rest still packs optimally, slot after slot;
+first-fit decreasing is an item-by-item recursion.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def _contracts(corpora) -> str:
                      "CAST(o_custkey AS VARCHAR) || '.sol' AS file, 'Order' || CAST(o_orderkey AS VARCHAR) AS contract_name, "
                      "'O' || CAST(o_orderkey AS VARCHAR) AS contract_id, o_orderkey AS k FROM orders")
     if "part" in corpora:
-        parts.append("SELECT 'synthetic/' || replace(p_brand, '#', '_') || '.sol' AS file, "
+        parts.append("SELECT 'synthetic/' || replace(p_brand, '#', '_') || '-' || CAST(p_partkey // 100 AS VARCHAR) || '.sol' AS file, "
                      "'Part' || CAST(p_partkey AS VARCHAR) AS contract_name, "
                      "'P' || CAST(p_partkey AS VARCHAR) AS contract_id, p_partkey AS k FROM part")
     return ("C0 AS (" + " UNION ALL ".join(parts) + "), "
@@ -116,40 +116,85 @@ def _sn(b: str) -> str:
     return f"(CASE WHEN {b} <= 0 THEN 1 ELSE ({b} + 31) // 32 END)"
 
 
+#: Sizes of the stand-in's packable types; a multiset of items is a number with 5 bits of count per size.
+SIZES = [1, 2, 4, 8, 12, 16, 20]
+
+
+def _digit(code: str, k: int) -> str:
+    return f"(({code} >> {5 * k}) & 31)"
+
+
+def packer() -> list[str]:
+    """Tables that hold for every group: FILL (item multisets that fit one slot) and BINS (least slots).
+
+    BINS covers every multiset of at most 20 items that some group can hold: adding one item to the best
+    (slots, bytes in the last slot) of the multiset without it, least first, gives the best one with it.
+    """
+    counts = ", ".join(f"range(0, {32 // b + 1}) AS r{k}(c{k})" for k, b in enumerate(SIZES))
+    total = " + ".join(f"{b} * c{k}" for k, b in enumerate(SIZES))
+    code = " + ".join(f"(c{k} << {5 * k})" for k in range(len(SIZES)))
+    sizes = ", ".join(f"({k}, {b}, {1 << 5 * k}::BIGINT)" for k, b in enumerate(SIZES))
+    return [
+        f"SZ(k, b, one) AS (VALUES {sizes})",
+        f"FILL AS MATERIALIZED (SELECT {code} AS code, {', '.join(f'c{k}' for k in range(len(SIZES)))} FROM {counts} "
+        f"WHERE {total} BETWEEN 1 AND 32 AND {' AND '.join(f'c{k} <= 20' for k in range(len(SIZES)))})",
+        "BEST(code, n, v) AS (SELECT 0::BIGINT, 0, 32 UNION ALL SELECT code, n, min(v) FROM ("
+        "SELECT x.code + z.one AS code, x.n + 1 AS n, CASE WHEN x.v % 64 + z.b <= 32 THEN x.v + z.b "
+        "ELSE (x.v // 64 + 1) * 64 + z.b END AS v FROM BEST x, SZ z WHERE x.n < 20) GROUP BY code, n)",
+        "BINS AS MATERIALIZED (SELECT code, v // 64 AS d FROM BEST)",
+    ]
+
+
 def exact(prefix: str, src: str) -> list[str]:
-    """Exact packing of the packable rows of ``src`` (contract_id, ordinal, number_of_bytes, cls).
+    """Bins of the packable rows of ``src`` (contract_id, ordinal, number_of_bytes, cls) of all groups.
 
-    Produces {prefix}PN (groups), {prefix}DP (min bins of every subset mask) and {prefix}IB (bin of
-    every item, bins numbered in the order the reference picks them).
+    {prefix}PN: groups of at most 20 items. {prefix}CH takes, slot after slot (at most 20), the fill whose rest still
+    packs into one slot less and whose items make the largest bit mask (bit i: i-th item in order). For
+    given counts per size that mask has the last items of each size, so the rest is a prefix of each
+    size's items and a group's state is its counts. {prefix}FR is first-fit decreasing, item by item, of
+    the larger groups. {prefix}IB has the bin of every item of both.
     """
     p = prefix
-    hb = "(1::BIGINT << CAST(floor(log2(r.mask)) AS INTEGER))"
-    return [
-        f"{p}P AS (SELECT contract_id, ordinal, number_of_bytes AS b, "
-        f"CAST(row_number() OVER (PARTITION BY contract_id ORDER BY ordinal) - 1 AS INTEGER) AS i "
-        f"FROM {src} WHERE cls = 'packable')",
-        f"{p}PN AS (SELECT contract_id, count(*) AS n, list(b ORDER BY i) AS sizes FROM {p}P GROUP BY 1 "
-        f"HAVING count(*) <= 20 AND min(b) > 0)",
-        f"{p}XF AS (SELECT contract_id, mask FROM (SELECT contract_id, m AS mask, "
-        f"list_sum(list_transform(range(n), lambda j: CASE WHEN (m >> j) & 1 = 1 THEN sizes[j + 1] ELSE 0 END)) AS tot "
-        f"FROM (SELECT contract_id, n, sizes, unnest(range(1, CAST(1::BIGINT << n AS BIGINT))) AS m FROM {p}PN)) "
-        f"WHERE tot <= 32)",
-        f"{p}DPR(contract_id, mask, d) AS (SELECT contract_id, 0::BIGINT, 0 FROM {p}PN UNION "
-        f"SELECT r.contract_id, r.mask | f.mask, r.d + 1 FROM {p}DPR r JOIN {p}XF f ON f.contract_id = r.contract_id "
-        f"WHERE (f.mask & r.mask) = 0 AND (r.mask = 0 OR f.mask >= 2 * {hb}))",
-        f"{p}DP AS (SELECT contract_id, mask, min(d) AS d FROM {p}DPR GROUP BY 1, 2)",
-        f"{p}CHO AS (SELECT d1.contract_id, d1.mask, max(f.mask) AS sub FROM {p}DP d1 "
-        f"JOIN {p}XF f ON f.contract_id = d1.contract_id AND (f.mask & d1.mask) = f.mask "
-        f"JOIN {p}DP d2 ON d2.contract_id = d1.contract_id AND d2.mask = xor(d1.mask, f.mask) AND d2.d = d1.d - 1 "
-        f"WHERE d1.mask <> 0 GROUP BY 1, 2)",
-        f"{p}CH(contract_id, rem, bin_no) AS (SELECT contract_id, (1::BIGINT << n) - 1, 0 FROM {p}PN UNION ALL "
-        f"SELECT c.contract_id, xor(c.rem, h.sub), c.bin_no + 1 FROM {p}CH c JOIN {p}CHO h "
-        f"ON h.contract_id = c.contract_id AND h.mask = c.rem WHERE xor(c.rem, h.sub) <> 0)",
-        f"{p}IB AS (SELECT q.contract_id, q.ordinal, c.bin_no FROM {p}CH c JOIN {p}CHO h "
-        f"ON h.contract_id = c.contract_id AND h.mask = c.rem JOIN {p}P q ON q.contract_id = c.contract_id "
-        f"AND ((h.sub >> q.i) & 1) = 1)",
-        f"{p}OPT AS (SELECT n.contract_id, n.n, d.d AS bins FROM {p}PN n JOIN {p}DP d "
-        f"ON d.contract_id = n.contract_id AND d.mask = (1::BIGINT << n.n) - 1)",
+    ks, far = range(len(SIZES)), 10**12
+    fits = " AND ".join(f"f.c{k} <= {_digit('c.rem', k)}" for k in ks)
+    mask = " + ".join(f"g.pb{k}[{_digit('c.rem', k)} + 1] - g.pb{k}[{_digit('c.rem', k)} - f.c{k} + 1]" for k in ks)
+    prefix_sums = ", ".join(
+        f"list_prepend(0::BIGINT, coalesce(list(upto ORDER BY j) FILTER (WHERE k = {k}), [])) AS pb{k}" for k in ks)
+    return (packer() if prefix == "X" else []) + [
+        f"{p}P AS MATERIALIZED (SELECT contract_id, ordinal, number_of_bytes AS b, "
+        f"CAST(row_number() OVER (PARTITION BY contract_id ORDER BY ordinal) - 1 AS INTEGER) AS i, "
+        f"count(*) OVER (PARTITION BY contract_id) AS n FROM {src} WHERE cls = 'packable')",
+        f"{p}PN AS (SELECT contract_id, count(*) AS n FROM {p}P GROUP BY 1 HAVING count(*) <= 20 AND min(b) > 0)",
+        f"{p}PK AS MATERIALIZED (SELECT q.*, z.k, z.one, "
+        f"row_number() OVER (PARTITION BY q.contract_id, z.k ORDER BY q.i) AS j, "
+        f"CAST(sum(1::BIGINT << q.i) OVER (PARTITION BY q.contract_id, z.k ORDER BY q.i) AS BIGINT) AS upto "
+        f"FROM {p}P q JOIN SZ z ON z.b = q.b WHERE q.n <= 20)",
+        f"{p}G AS MATERIALIZED (SELECT contract_id, CAST(sum(one) AS BIGINT) AS code, {prefix_sums} FROM {p}PK GROUP BY 1)",
+        f"{p}C0 AS (SELECT contract_id, g.code AS rem, -1 AS bin_no, 0::BIGINT AS fill, s.d FROM {p}G g "
+        "JOIN BINS s ON s.code = g.code)",
+        # the inner limits keep the join order: fills of each state, a lookup in BINS, then the masks
+        *[f"{p}C{step} AS MATERIALIZED (SELECT c.contract_id, any_value(c.rem) - arg_max(f.code, {mask}) AS rem, "
+          f"any_value(c.bin_no) + 1 AS bin_no, arg_max(f.code, {mask}) AS fill, any_value(c.d) - 1 AS d FROM ("
+          f"SELECT x.* FROM (SELECT c.contract_id, c.rem, c.bin_no, c.d, f.code AS fill, c.rem - f.code AS rest "
+          f"FROM {p}C{step - 1} c JOIN FILL f ON {fits} WHERE c.rem > 0 LIMIT {far}) x "
+          f"JOIN BINS s ON s.code = x.rest AND s.d = x.d - 1 LIMIT {far}) c "
+          f"JOIN {p}G g ON g.contract_id = c.contract_id JOIN FILL f ON f.code = c.fill GROUP BY c.contract_id)"
+          for step in range(1, 21)],
+        f"{p}CH AS (" + " UNION ALL ".join(f"SELECT * FROM {p}C{step}" for step in range(1, 21)) + ")",
+        f"{p}FO AS (SELECT contract_id, ordinal, b, CAST(row_number() OVER (PARTITION BY contract_id "
+        f"ORDER BY b DESC, ordinal) AS INTEGER) AS r FROM {p}P WHERE n > 20)",
+        f"{p}FR(contract_id, r, ordinal, bin, bins) AS ("
+        f"SELECT contract_id, r, ordinal, 0, [b] FROM {p}FO WHERE r = 1 UNION ALL "
+        "SELECT o.contract_id, o.r, o.ordinal, "
+        "coalesce(list_position(list_transform(x.bins, lambda v: v + o.b <= 32), true) - 1, len(x.bins)), "
+        "CASE WHEN list_position(list_transform(x.bins, lambda v: v + o.b <= 32), true) IS NULL "
+        "THEN list_append(x.bins, o.b) ELSE list_transform(x.bins, lambda v, k: CASE WHEN k = "
+        "list_position(list_transform(x.bins, lambda v2: v2 + o.b <= 32), true) THEN v + o.b ELSE v END) END "
+        f"FROM {p}FR x JOIN {p}FO o ON o.contract_id = x.contract_id AND o.r = x.r + 1)",
+        f"{p}XB AS (SELECT q.contract_id, q.ordinal, c.bin_no FROM {p}CH c JOIN {p}PK q ON q.contract_id = c.contract_id "
+        "AND q.j > ((c.rem >> (5 * q.k)) & 31) AND q.j <= ((c.rem >> (5 * q.k)) & 31) + ((c.fill >> (5 * q.k)) & 31))",
+        f"{p}IB AS MATERIALIZED (SELECT contract_id, ordinal, bin_no FROM {p}XB UNION ALL "
+        f"SELECT contract_id, ordinal, bin FROM {p}FR)",
     ]
 
 
@@ -158,11 +203,10 @@ def _with(ctes: list[str], body: str) -> str:
 
 
 BOTH = ("order", "part")
-ORDER = ("order",)
 
 
 def _recommended(ctes: list[str]) -> list[str]:
-    """Recommended slots/order of the order corpus (all contracts on the exact path)."""
+    """Recommended slots and order of all contracts."""
     return ctes + exact("X", "E") + [
         "BF AS (SELECT contract_id, bin_no, min(ordinal) AS first_ord, count(*) AS nb FROM XIB GROUP BY 1, 2)",
         "NC AS (SELECT contract_id, count(*) FILTER (WHERE cls = 'full') AS nf FROM E GROUP BY 1)",
@@ -194,8 +238,8 @@ def _recommended(ctes: list[str]) -> list[str]:
     ]
 
 
-def _structs(ctes: list[str]) -> list[str]:
-    return ctes + exact("M", "FL") + [
+def _structs(ctes: list[str], alone: bool = False) -> list[str]:
+    return ctes + (packer() if alone else []) + exact("M", "FL") + [
         "SC AS (SELECT contract_id, type_id, count(*) AS n_fields, "
         "sum(CASE WHEN cls = 'full' THEN (number_of_bytes + 31) // 32 ELSE 0 END) AS full_slots, "
         "count(*) FILTER (WHERE cls = 'dynamic') AS n_dyn, count(*) FILTER (WHERE cls = 'packable') AS n_pack "
@@ -216,7 +260,7 @@ def _structs(ctes: list[str]) -> list[str]:
     ]
 
 
-def _report(corpora=ORDER) -> list[str]:
+def _report(corpora=BOTH) -> list[str]:
     ctes = _structs(_recommended(base(corpora)))
     return ctes + [
         "CS AS (SELECT contract_id, max(slot + " + _sn("number_of_bytes") + ") AS cs FROM E GROUP BY 1)",
@@ -269,23 +313,6 @@ def _order_window() -> str:
             f"lag(label) {w} AS pl, lead(label) {w} AS nl FROM E")
 
 
-def _ffd(corpora) -> list[str]:
-    return base(corpora) + [
-        "FP AS (SELECT contract_id, ordinal, number_of_bytes AS b FROM E WHERE cls = 'packable')",
-        "FG AS (SELECT contract_id FROM FP GROUP BY 1 HAVING count(*) > 20)",
-        "FO AS (SELECT f.contract_id, f.ordinal, f.b, CAST(row_number() OVER (PARTITION BY f.contract_id "
-        "ORDER BY f.b DESC, f.ordinal) AS INTEGER) AS r FROM FP f JOIN FG USING (contract_id))",
-        "FR(contract_id, r, ordinal, bin, bins) AS ("
-        "SELECT contract_id, r, ordinal, 0, [b] FROM FO WHERE r = 1 UNION ALL "
-        "SELECT o.contract_id, o.r, o.ordinal, "
-        "coalesce(list_position(list_transform(x.bins, lambda v: v + o.b <= 32), true) - 1, len(x.bins)), "
-        "CASE WHEN list_position(list_transform(x.bins, lambda v: v + o.b <= 32), true) IS NULL "
-        "THEN list_append(x.bins, o.b) ELSE list_transform(x.bins, lambda v, k: CASE WHEN k = "
-        "list_position(list_transform(x.bins, lambda v2: v2 + o.b <= 32), true) THEN v + o.b ELSE v END) END "
-        "FROM FR x JOIN FO o ON o.contract_id = x.contract_id AND o.r = x.r + 1)",
-    ]
-
-
 def oracle_sql() -> dict[str, str]:
     b2 = base(BOTH)
     q: dict[str, str] = {}
@@ -323,14 +350,15 @@ def oracle_sql() -> dict[str, str]:
             "ELSE 'DP-bitmask (exact optimum)' END AS strategy FROM C c LEFT JOIN (SELECT contract_id, count(*) AS n_vars, "
             "count(*) FILTER (WHERE cls = 'packable') AS np, count(*) FILTER (WHERE cls = 'full') AS nf, "
             "count(*) FILTER (WHERE cls = 'dynamic') AS nd FROM E GROUP BY 1) s USING (contract_id)")
-    bo = base(ORDER)
-    q["pack_exact_count"] = _with(bo + exact("X", "E"),
-                                  "SELECT contract_id, CAST(n AS BIGINT) AS n_items, CAST(bins AS BIGINT) AS bins FROM XOPT")
-    q["pack_exact_bins"] = _with(bo + exact("X", "E"),
+    bo = b2 + exact("X", "E")
+    q["pack_exact_count"] = _with(bo, (
+        "SELECT n.contract_id, CAST(n.n AS BIGINT) AS n_items, CAST(s.d AS BIGINT) AS bins "
+        "FROM XPN n JOIN XG g USING (contract_id) JOIN BINS s ON s.code = g.code"))
+    q["pack_exact_bins"] = _with(bo,
                                  "SELECT contract_id, ordinal, CAST(min(ordinal) OVER (PARTITION BY contract_id, bin_no) "
-                                 "AS INTEGER) AS group_first FROM XIB")
-    q["pack_ffd"] = _with(_ffd(("part",)), "SELECT contract_id, ordinal, CAST(bin AS BIGINT) AS bin FROM FR")
-    rec = _recommended(base(ORDER))
+                                 "AS INTEGER) AS group_first FROM XXB")
+    q["pack_ffd"] = _with(bo, "SELECT contract_id, ordinal, CAST(bin AS BIGINT) AS bin FROM XFR")
+    rec = _recommended(b2)
     q["recommended_slots"] = _with(
         rec, "SELECT contract_id, slot_index, CASE WHEN cls = 'full' THEN 'full' WHEN cls = 'dynamic' THEN 'dynamic' "
              "WHEN s = 32 THEN 'group_full' ELSE 'group_partial' END AS note_code, "
@@ -342,14 +370,14 @@ def oracle_sql() -> dict[str, str]:
              "ELSE 'group_partial' END AS note_code FROM RO r JOIN RS s USING (contract_id, slot_index)")
     q["next_fit_estimate"] = _with(rec, "SELECT contract_id, recommended_slots, recommended_wasted FROM EST")
     q["struct_optimization"] = _with(
-        _structs(base(ORDER)),
+        _structs(base(BOTH), True),
         "SELECT contract_id, type_id, n_fields, current_slots, optimal_slots, direct_instances, "
         "CAST(saved_per_instance AS BIGINT) AS saved_per_instance, total_saved_slots, improved, struct_strategy FROM SOPT")
     rep = _report()
     q["contract_report"] = _with(rep, "SELECT contract_id, file, contract_name, status, n_vars, current_slots, "
                                       "recommended_slots, current_wasted, recommended_wasted, strategy, n_issues, "
                                       "structs_total, structs_improved, struct_saved_slots FROM REP")
-    prof_ctes = _sources_sql()[len(base(ORDER)):] + ["PROF AS (" + _profile_sql() + ")"]
+    prof_ctes = _sources_sql()[len(base(BOTH)):] + ["PROF AS (" + _profile_sql() + ")"]
     q["bulk_rows"] = _with(rep + prof_ctes, (
         "SELECT b.* EXCLUDE (contract_ord, imports_removed, types_replaced), "
         "coalesce(p.imports_removed, 0) AS imports_removed, coalesce(p.types_replaced, 0) AS types_replaced "
@@ -407,7 +435,7 @@ def oracle_sql() -> dict[str, str]:
         f"AS strategy, {kind} AS kind, saved_slots, saved_wasted AS saved_bytes, struct_saved_slots, "
         "CAST(saved_slots + struct_saved_slots AS BIGINT) AS total_saved FROM BR "
         "WHERE status = 'OK' AND saved_slots + struct_saved_slots > 0 "
-        "ORDER BY total_saved DESC, saved_wasted DESC, file, contract_ord LIMIT 30) WHERE kind = 'real' "
+        "ORDER BY total_saved DESC, saved_wasted DESC, file, contract_ord LIMIT 30) WHERE kind = 'synthetic' "
         "ORDER BY saved_slots DESC, total_saved DESC, saved_bytes DESC, file, contract LIMIT 15 OFFSET 0"))
     q["savings_preview"] = _with(rep, (
         "SELECT s.file, CAST(s.st + coalesce(t.sv, 0) AS BIGINT) AS slots_saved, "
@@ -415,7 +443,7 @@ def oracle_sql() -> dict[str, str]:
         "FROM (SELECT file, sum(current_slots - recommended_slots) AS st FROM REP WHERE status = 'OK' GROUP BY 1) s "
         "LEFT JOIN (SELECT r.file, sum(o.total_saved_slots) AS sv FROM SOPT o JOIN REP r USING (contract_id) "
         "WHERE o.saved_per_instance > 0 AND r.status = 'OK' GROUP BY 1) t USING (file)"))
-    ing = base(ORDER) + ["IDS AS (SELECT contract_id, 'layouts/' || contract_id || '.json:' || file || ':' "
+    ing = base(BOTH) + ["IDS AS (SELECT contract_id, 'layouts/' || contract_id || '.json:' || file || ':' "
                                       "|| contract_name AS doc_id FROM C)"]
     q["layout_ingest"] = _with(ing, "SELECT i.doc_id AS contract_id, e.ordinal, e.label, e.\"offset\", e.slot_text, e.slot, "
                                     "e.type_id, e.number_of_bytes, e.type_label, e.encoding FROM E e JOIN IDS i USING (contract_id)")
@@ -453,6 +481,8 @@ def oracle_sql() -> dict[str, str]:
         "SELECT 'ex-' || substr(sha1(s.file), 1, 8) AS id, f.title, upper(" + _kind("s.file") + ") AS tag, "
         + _kind("s.file") + " AS kind, 'Contracts of ' || s.file AS description, s.text AS source "
         "FROM SRC s JOIN (SELECT file, arg_min(contract_name, contract_ord) AS title FROM C GROUP BY 1) f USING (file)"))
+    for name in ("contract_report", "bulk_summary", "dataset_report", "top_contracts"):
+        q[f"{name}_all"] = q[name]
     return q
 
 
@@ -471,7 +501,7 @@ def _sources_sql() -> list[str]:
           "WHEN type_id = 't_uint128' AND ordinal % 2 = 1 THEN 'Vault[]' "
           f"WHEN type_id = '{STRUCT_TYPE_ID}' THEN 'Pair' ELSE type_label END")
     prelude = " || chr(10) || ".join(_lit(x) for x in FILE_PRELUDE)
-    return base(ORDER) + [
+    return base(BOTH) + [
         f"DL AS (SELECT contract_id, string_agg('    ' || ({dt}) || ' public ' || label || ';', {nl} ORDER BY ordinal) AS decls, "
         "count(*) AS n, max(CASE WHEN starts_with(type_id, 't_mapping') THEN 1 ELSE 0 END) AS hm FROM E GROUP BY 1)",
         "CT AS (SELECT c.file, c.contract_ord, 'contract ' || c.contract_name || ' is Base' || "

@@ -13,8 +13,8 @@ Mapping (fixed, also written in the oracle SQL):
 * ordinal = position under the unique key (l_orderkey, l_linenumber, l_partkey, l_suppkey,
   l_extendedprice) inside the contract;
 * slot/offset of variables and members: the compiler's sequential rule (``declared_layout``);
-* file: ``real/c<custkey>.sol`` (``pending/`` for status P) for orders, ``synthetic/<brand>.sol``
-  for parts.
+* file: ``real/c<custkey>.sol`` (``pending/`` for status P) for orders, ``synthetic/<brand>-<partkey
+  div 100>.sol`` for parts (a bounded number of contracts per file).
 """
 
 from __future__ import annotations
@@ -152,7 +152,8 @@ def contracts(spark: SparkSession, sf_dir: str, corpora=("order", "part")) -> Da
     if "part" in corpora:
         p = _read(spark, sf_dir, "part").select("p_partkey", "p_brand")
         outs.append(p.select(
-            F.concat(F.lit("synthetic/"), F.regexp_replace("p_brand", "#", "_"), F.lit(".sol")).alias("file"),
+            F.concat(F.lit("synthetic/"), F.regexp_replace("p_brand", "#", "_"), F.lit("-"),
+                     F.expr("p_partkey div 100").cast("string"), F.lit(".sol")).alias("file"),
             F.concat(F.lit("Part"), F.col("p_partkey").cast("string")).alias("contract_name"),
             F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("contract_id"),
             F.col("p_partkey").alias("_k"),
