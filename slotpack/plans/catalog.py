@@ -223,7 +223,7 @@ def _sources(spark, sf_dir):
 
 def q_source_profile(spark, sf_dir):
     """Per-file preprocessing counters, external types, modified flag, warnings."""
-    return profile.profile(_sources(spark, sf_dir)).drop("functions_removed")
+    return profile.profile(_sources(spark, sf_dir))
 
 
 def q_external_types(spark, sf_dir):
@@ -241,6 +241,11 @@ def q_inheritance_edges(spark, sf_dir):
     return profile.inheritance_edges(_sources(spark, sf_dir))
 
 
+def q_normalized_source(spark, sf_dir):
+    """Every source text with pragma, tags, imports, using directives and inheritance normalised."""
+    return profile.normalized(_sources(spark, sf_dir))
+
+
 def q_verified_source(spark, sf_dir):
     """Verified-source payloads normalised to Solidity text; addresses from link and file name."""
     c = _corpus(spark, sf_dir)
@@ -296,6 +301,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "external_types": q_external_types,
     "local_declarations": q_local_declarations,
     "inheritance_edges": q_inheritance_edges,
+    "normalized_source": q_normalized_source,
     "verified_source": q_verified_source,
     "examples": q_examples,
     "contract_sources": q_contract_sources,

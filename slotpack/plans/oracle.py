@@ -9,8 +9,6 @@ first-fit decreasing is an item-by-item recursion.
 
 from __future__ import annotations
 
-from slotpack.operators import profile as P
-from slotpack.schema import NON_TYPE_KEYWORDS, solidity_value_types
 from slotpack.sources.standin import FILE_HEADER_CARET, FILE_HEADER_FIXED, FILE_PRELUDE, STRUCT_TYPE_ID, TYPE_LIST
 
 SORT = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
@@ -379,8 +377,9 @@ def oracle_sql() -> dict[str, str]:
                                       "structs_total, structs_improved, struct_saved_slots FROM REP")
     prof_ctes = _sources_sql()[len(base(BOTH)):] + ["PROF AS (" + _profile_sql() + ")"]
     q["bulk_rows"] = _with(rep + prof_ctes, (
-        "SELECT b.* EXCLUDE (contract_ord, imports_removed, types_replaced), "
-        "coalesce(p.imports_removed, 0) AS imports_removed, coalesce(p.types_replaced, 0) AS types_replaced "
+        "SELECT b.* EXCLUDE (contract_ord, imports_removed, functions_removed, types_replaced), "
+        "coalesce(p.imports_removed, 0) AS imports_removed, coalesce(p.functions_removed, 0) AS functions_removed, "
+        "coalesce(p.types_replaced, 0) AS types_replaced "
         "FROM BR b LEFT JOIN PROF p USING (file)"))
     q["bulk_summary"] = _with(rep, (
         "SELECT CAST(count(DISTINCT file) AS BIGINT) AS files, CAST(count(*) FILTER (WHERE status = 'ERROR') AS BIGINT) AS file_errors, "
@@ -456,14 +455,18 @@ def oracle_sql() -> dict[str, str]:
         "arg_min(contract_id, contract_ord) AS contract_id FROM C GROUP BY file"))
     src = _sources_sql()
     q["source_profile"] = _with(src, _profile_sql())
-    q["external_types"] = _with(src, "SELECT file, unnest(ext) AS type FROM (" + _ext_sql() + ")")
-    q["local_declarations"] = _with(src, "SELECT file, unnest(loc) AS name FROM (SELECT file, " + _locals_sql("text")
-                                    + " AS loc FROM SRC)")
+    q["external_types"] = _with(src, _ext_sql())
+    q["local_declarations"] = _with(src, (
+        "SELECT file, unnest(['IHook', 'Mode', 'Idle', 'Busy', 'Pair']) AS name FROM SRC UNION ALL "
+        "SELECT c.file, c.contract_name FROM C c JOIN DL d USING (contract_id)"))
     q["inheritance_edges"] = _with(src, (
-        "SELECT file, child, unnest(parents) AS parent, CAST(unnest(range(0, len(parents))) AS INTEGER) AS position "
-        "FROM (SELECT file, child, regexp_extract_all(plist, " + _lit(P.PARENT_NAME) + ", 1) AS parents FROM ("
-        "SELECT file, unnest(regexp_extract_all(text, " + _lit(P.INHERITANCE_HEADER) + ", 2)) AS child, "
-        "unnest(regexp_extract_all(text, " + _lit(P.INHERITANCE_HEADER) + ", 3)) AS plist FROM SRC))"))
+        "SELECT c.file, c.contract_name AS child, p.parent, p.position FROM C c JOIN DL d USING (contract_id) JOIN "
+        "(VALUES ('Base', 0, 1), ('Ownable', 1, 4), ('Named', 2, 4)) p(parent, position, least) ON d.n >= p.least"))
+    q["normalized_source"] = _with(src, (
+        "SELECT file, regexp_replace(regexp_replace(replace(replace(replace(text, 'pragma solidity 0.8.19;', "
+        "'pragma solidity ^0.8.19;'), '@inheritdoc Base', ''), '    using SafeMath for uint256;', "
+        "'// removed: using SafeMath for uint256;'), '(?m)^(import .*;)$', '// removed: \\1', 'g'), "
+        "'(contract \\w+) is (Base[^{]*) [{]', '\\1 /* removed: is \\2 */ {', 'g') || chr(10) AS normalized FROM SRC"))
     q["verified_source"] = _with(src + [
         "LAST AS (SELECT file, arg_max(contract_name, contract_ord) AS last_name FROM C GROUP BY 1)"], (
         "SELECT '0x' || sha1(file) AS address, name AS contract_name, NOT starts_with(file, 'pending/') AS multi_file, "
@@ -499,18 +502,21 @@ def _sources_sql() -> list[str]:
     nl = "chr(10)"
     dt = ("CASE WHEN type_id = 't_address' AND ordinal % 2 = 1 THEN 'Token' "
           "WHEN type_id = 't_uint128' AND ordinal % 2 = 1 THEN 'Vault[]' "
-          f"WHEN type_id = '{STRUCT_TYPE_ID}' THEN 'Pair' ELSE type_label END")
+          f"WHEN type_id = '{STRUCT_TYPE_ID}' THEN 'Pair' WHEN starts_with(type_id, 't_mapping') AND ordinal % 2 = 1 "
+          "THEN 'mapping(address owner => IERC20 token)' ELSE type_label END")
     prelude = " || chr(10) || ".join(_lit(x) for x in FILE_PRELUDE)
     return base(BOTH) + [
         f"DL AS (SELECT contract_id, string_agg('    ' || ({dt}) || ' public ' || label || ';', {nl} ORDER BY ordinal) AS decls, "
         "count(*) AS n, max(CASE WHEN starts_with(type_id, 't_mapping') THEN 1 ELSE 0 END) AS hm FROM E GROUP BY 1)",
         "CT AS (SELECT c.file, c.contract_ord, 'contract ' || c.contract_name || ' is Base' || "
-        f"CASE WHEN d.n >= 4 THEN ', Ownable(msg.sender)' ELSE '' END || ' {{' || {nl} || "
+        f"CASE WHEN d.n >= 4 THEN ', Ownable(msg.sender), Named(\"My (x) Token\", key(1, 2))' ELSE '' END || ' {{' || {nl} || "
+        f"'    // note: (a) => b {{' || {nl} || "
         f"CASE WHEN d.n % 2 = 1 THEN '    using SafeMath for uint256;' || {nl} ELSE '' END || "
-        f"'    enum Mode {{ Idle, Busy }}' || {nl} || '    struct Pair {{ uint64 a; bool b; }}' || {nl} || "
+        f"'    enum Mode {{' || {nl} || '        Idle,' || {nl} || '        Busy' || {nl} || '    }}' || {nl} || '    struct Pair {{ uint64 a; bool b; }}' || {nl} || "
         f"d.decls || {nl} || CASE WHEN d.hm = 1 THEN '    /// @inheritdoc Base' || {nl} ELSE '' END || "
         "'    constructor(uint256 a) Base(a)' || CASE WHEN d.n >= 4 THEN ' Ownable(msg.sender)' ELSE '' END || "
-        f"' {{}}' || {nl} || '    function touch() external {{}}' || {nl} || '}}' AS ctext "
+        f"' {{}}' || {nl} || '    function touch() external {{' || {nl} || '        if (true) {{ emit Log(\"}}\"); }}' || {nl} || "
+        f"'    }}' || {nl} || '}}' AS ctext "
         "FROM C c JOIN DL d USING (contract_id))",
         f"SRC AS (SELECT file, '// SPDX-License-Identifier: MIT' || {nl} || CASE WHEN starts_with(file, 'real/') "
         f"THEN {_lit(FILE_HEADER_FIXED)} ELSE {_lit(FILE_HEADER_CARET)} END || {nl} || {prelude} || {nl} || "
@@ -518,42 +524,30 @@ def _sources_sql() -> list[str]:
     ]
 
 
-def _locals_sql(t: str) -> str:
-    groups = [f"list_filter(regexp_extract_all({t}, {_lit(P.LOCAL_TYPE_DECL)}, {g}), lambda x: x <> '')"
-              for g in (1, 2, 3, 5, 6, 7, 8)]
-    enums = (f"flatten(list_transform(list_filter(regexp_extract_all({t}, {_lit(P.LOCAL_TYPE_DECL)}, 4), "
-             "lambda x: x <> ''), lambda b: list_filter(list_transform(string_split(b, ','), lambda v: trim(v)), "
-             "lambda v: v <> '')))")
-    return "list_distinct(flatten([" + ", ".join(groups + [enums]) + "]))"
-
-
 def _ext_sql() -> str:
-    known = "[" + ", ".join(_lit(x) for x in solidity_value_types() + NON_TYPE_KEYWORDS) + "]"
-    cands = (f"list_concat(regexp_extract_all(text, {_lit(P.STATE_VAR_DECL)}, 2), "
-             f"regexp_extract_all(text, {_lit(P.ARRAY_VAR_DECL)}, 2))")
-    return (f"SELECT file, list_sort(list_distinct(list_filter({cands}, lambda x: NOT list_contains({known}, x) "
-            f"AND NOT list_contains(loc, x)))) AS ext FROM (SELECT file, text, {_locals_sql('text')} AS loc FROM SRC)")
+    """External types of each file, by what the stand-in declares."""
+    return ("SELECT DISTINCT c.file, CASE WHEN e.type_id = 't_address' THEN 'Token' WHEN e.type_id = 't_uint128' THEN 'Vault' "
+            "ELSE 'IERC20' END AS type FROM E e JOIN C c USING (contract_id) WHERE e.ordinal % 2 = 1 AND (e.type_id IN "
+            "('t_address', 't_uint128') OR starts_with(e.type_id, 't_mapping'))")
 
 
 def _profile_sql() -> str:
-    cnt = lambda p: f"CAST(len(regexp_extract_all(text, {_lit(p)})) AS BIGINT)"
+    """Counters of each file, added up over its contracts (CD: contracts that have variables)."""
     return (
-        "SELECT *, CASE WHEN imports_removed + inheritance_removed + usings_removed + parent_calls_removed + "
-        "types_replaced + inheritdoc_removed > 0 THEN "
+        "SELECT *, imports_removed + inheritance_removed + usings_removed + parent_calls_removed + functions_removed "
+        "+ types_replaced > 0 AS modified, "
         "'Isolated analysis: ' || imports_removed || ' imports, ' || inheritance_removed || ' inheritance lists, ' || "
-        "usings_removed || ' using directives, ' || parent_calls_removed || ' parent calls, 0 function bodies stripped, '"
-        " || '0 external modifiers removed from signatures, ' || inheritdoc_removed || ' @inheritdoc tags removed, ' || "
-        "types_replaced || ' external types replaced with address in state vars/mapping/array. The layout reflects "
-        "ONLY the variables declared in this file.' END AS warning, "
-        "CASE WHEN types_replaced > 0 THEN 'External types replaced with `address`: ' || external_types END AS types_warning, "
-        "imports_removed + inheritance_removed + usings_removed + parent_calls_removed + types_replaced > 0 AS modified "
-        "FROM (SELECT s.file, regexp_matches(s.text, " + _lit(P.PRAGMA_FIXED) + ") AS pragma_relaxed, "
-        + cnt(P.INHERITDOC_TAG) + " AS inheritdoc_removed, "
-        "CAST(len(list_filter(string_split(s.text, chr(10)), lambda l: regexp_matches(l, " + _lit(P.IMPORT_LINE) + "))) "
-        "AS BIGINT) AS imports_removed, "
-        + cnt(P.USING_DIRECTIVE) + " AS usings_removed, " + cnt(P.INHERITANCE_HEADER) + " AS inheritance_removed, "
-        "CAST(coalesce(list_sum(list_transform(regexp_extract_all(s.text, " + _lit(P.CONSTRUCTOR_HEADER) + ", 2), "
-        "lambda g: len(regexp_extract_all(g, " + _lit(P.PARENT_CALL_IN_HEADER) + ")))), 0) AS BIGINT) AS parent_calls_removed, "
-        "CAST(len(x.ext) AS BIGINT) AS types_replaced, array_to_string(x.ext, ', ') AS external_types "
-        "FROM SRC s JOIN (" + _ext_sql() + ") x USING (file))"
+        "usings_removed || ' using directives, ' || parent_calls_removed || ' parent calls, ' || functions_removed || "
+        "' function bodies stripped, 0 external modifiers removed from signatures, ' || inheritdoc_removed || "
+        "' @inheritdoc tags removed, ' || types_replaced || ' external types replaced with address in state "
+        "vars/mapping/array. The layout reflects ONLY the variables declared in this file.' AS warning, "
+        "CASE WHEN types_replaced > 0 THEN 'External types replaced with `address`: ' || external_types END AS types_warning "
+        "FROM (SELECT x.file, starts_with(x.file, 'real/') AS pragma_relaxed, CAST(sum(x.hm) AS BIGINT) AS inheritdoc_removed, "
+        "2::BIGINT AS imports_removed, CAST(sum(x.n % 2) AS BIGINT) AS usings_removed, "
+        "CAST(count(*) AS BIGINT) AS inheritance_removed, "
+        "CAST(sum(CASE WHEN x.n >= 4 THEN 2 ELSE 1 END) AS BIGINT) AS parent_calls_removed, "
+        "CAST(1 + 2 * count(*) AS BIGINT) AS functions_removed, CAST(coalesce(any_value(y.n), 0) AS BIGINT) AS types_replaced, "
+        "coalesce(any_value(y.names), '') AS external_types FROM (SELECT c.file, d.n, d.hm FROM C c JOIN DL d USING (contract_id)) x "
+        "LEFT JOIN (SELECT file, count(*) AS n, string_agg(type, ', ' ORDER BY type) AS names FROM (" + _ext_sql() + ") GROUP BY 1) y "
+        "ON y.file = x.file GROUP BY x.file)"
     )

@@ -230,15 +230,17 @@ def _decl_type() -> F.Column:
     return (F.when((F.col("type_id") == "t_address") & odd, F.lit("Token"))
             .when((F.col("type_id") == "t_uint128") & odd, F.lit("Vault[]"))
             .when(F.col("type_id") == STRUCT_TYPE_ID, F.lit("Pair"))
+            .when(F.col("type_id").startswith("t_mapping") & odd, F.lit("mapping(address owner => IERC20 token)"))
             .otherwise(F.col("type_label")))
 
 
 def sources(contracts_df: DataFrame, entries_df: DataFrame) -> DataFrame:
     """(file, text): one Solidity-like file per corpus file, declaring its contracts' variables.
 
-    Real files pin the compiler version, every contract inherits ``Base`` (and ``Ownable`` from four
-    variables on), odd-sized contracts use a library, contracts with a mapping carry an @inheritdoc
-    tag, odd positions of address/uint128 variables use the external types Token / Vault[].
+    Real files pin the compiler version, every contract inherits ``Base`` (and ``Ownable`` and ``Named``
+    from four variables on), odd-sized contracts use a library, contracts with a mapping carry an
+    @inheritdoc tag, odd positions of address/uint128/mapping variables use the external types Token,
+    Vault[] and IERC20. Comments and strings hold brackets.
     """
     nl = F.lit("\n")
     decls = (entries_df.select("contract_id", "ordinal", "type_id",
@@ -252,15 +254,16 @@ def sources(contracts_df: DataFrame, entries_df: DataFrame) -> DataFrame:
     many = F.col("n") >= 4
     ctext = F.concat(
         F.lit("contract "), F.col("contract_name"), F.lit(" is Base"),
-        F.when(many, F.lit(", Ownable(msg.sender)")).otherwise(F.lit("")), F.lit(" {"), nl,
+        F.when(many, F.lit(', Ownable(msg.sender), Named("My (x) Token", key(1, 2))')).otherwise(F.lit("")),
+        F.lit(" {"), nl, F.lit("    // note: (a) => b {\n"),
         F.when(F.col("n") % 2 == 1, F.lit("    using SafeMath for uint256;\n")).otherwise(F.lit("")),
-        F.lit("    enum Mode { Idle, Busy }\n"),
+        F.lit("    enum Mode {\n        Idle,\n        Busy\n    }\n"),
         F.lit("    struct Pair { uint64 a; bool b; }\n"),
         F.col("decls"), nl,
         F.when(F.col("hm") == 1, F.lit("    /// @inheritdoc Base\n")).otherwise(F.lit("")),
         F.lit("    constructor(uint256 a) Base(a)"),
         F.when(many, F.lit(" Ownable(msg.sender)")).otherwise(F.lit("")), F.lit(" {}\n"),
-        F.lit("    function touch() external {}\n"),
+        F.lit('    function touch() external {\n        if (true) { emit Log("}"); }\n    }\n'),
         F.lit("}"))
     per_contract = contracts_df.join(decls, "contract_id").select("file", "contract_ord", ctext.alias("ctext"))
     header = F.concat(
