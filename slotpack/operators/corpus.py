@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from slotpack.functions import columns as C
 from slotpack.schema import CLI_TOP_N, LEADERBOARD_PAGE, STATUS_EMPTY, STATUS_ERROR, STATUS_OK, WEB_TOP_N
 
-# Fixed detail formats of the CLI top list.
+# Detail formats of the CLI top list (translated).
 DETAIL_BOTH = "-%d slots (%d state + %d struct)"
 DETAIL_STRUCT = "-%d slots (internal struct)"
 DETAIL_STATE = "-%d slots, -%d bytes"
@@ -73,6 +73,11 @@ def dataset_report(rows: DataFrame) -> DataFrame:
     ).withColumn("gas_saved", C.gas("total_saved_slots"))
 
 
+def _place(rows: DataFrame) -> str:
+    """Last key of a top list: document order, or the name for rows read from a CSV report."""
+    return "contract_ord" if "contract_ord" in rows.columns else "contract"
+
+
 def _ranked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("total_saved", (F.col("saved_slots") + F.col("struct_saved_slots")).cast("bigint"))
 
@@ -81,7 +86,7 @@ def top_contracts_cli(rows: DataFrame, n: int = CLI_TOP_N) -> DataFrame:
     """CLI top list: winners (state > 0 or struct > 0) by total desc, saved bytes desc."""
     w = _ranked(rows).where((F.col("status") == STATUS_OK)
                             & ((F.col("saved_slots") > 0) | (F.col("struct_saved_slots") > 0)))
-    top = w.orderBy(F.desc("total_saved"), F.desc("saved_wasted"), "file", "contract_ord").limit(n)
+    top = w.orderBy(F.desc("total_saved"), F.desc("saved_wasted"), "file", _place(rows)).limit(n)
     detail = (F.when((F.col("struct_saved_slots") > 0) & (F.col("saved_slots") > 0),
                      F.format_string(DETAIL_BOTH, "total_saved", "saved_slots", "struct_saved_slots"))
               .when(F.col("struct_saved_slots") > 0, F.format_string(DETAIL_STRUCT, "struct_saved_slots"))
@@ -94,7 +99,7 @@ def top_contracts_cli(rows: DataFrame, n: int = CLI_TOP_N) -> DataFrame:
 def top_contracts_web(rows: DataFrame, n: int = WEB_TOP_N) -> DataFrame:
     """Web top list: OK rows with state + struct savings > 0."""
     w = _ranked(rows).where((F.col("status") == STATUS_OK) & (F.col("total_saved") > 0))
-    top = w.orderBy(F.desc("total_saved"), F.desc("saved_wasted"), "file", "contract_ord").limit(n)
+    top = w.orderBy(F.desc("total_saved"), F.desc("saved_wasted"), "file", _place(rows)).limit(n)
     return top.select(
         "file", "contract",
         F.when(F.col("strategy").startswith("First"), F.lit("FFD")).otherwise(F.lit("DP-bitmask")).alias("strategy"),

@@ -26,7 +26,7 @@ def contract_errors(stats: DataFrame, struct_summary: DataFrame | None) -> DataF
     out = slot_bad.unionByName(size_bad)
     if struct_summary is not None:
         out = out.unionByName(struct_summary.where(F.col("_struct_invalid") == 1)
-                              .select("contract_id", F.format_string(ERR_INVALID_SIZE, F.lit(0)).alias("error")))
+                              .select("contract_id", F.format_string(ERR_INVALID_SIZE, F.col("_struct_invalid_size")).alias("error")))
     return out.groupBy("contract_id").agg(F.min("error").alias("error"))
 
 
@@ -40,7 +40,7 @@ def contract_report(contracts: DataFrame, strategy: DataFrame, cur_slots: DataFr
          .join(cur_waste, "contract_id", "left")
          .join(estimate, "contract_id", "left")
          .join(issue_counts, "contract_id", "left")
-         .join(struct_summary.drop("_struct_invalid"), "contract_id", "left")
+         .join(struct_summary.drop("_struct_invalid", "_struct_invalid_size"), "contract_id", "left")
          .join(errors, "contract_id", "left"))
     zero = ["n_vars", "n_packable", "current_slots", "current_wasted", "recommended_slots", "recommended_wasted",
             "n_issues", "structs_total", "structs_improved", "struct_saved_slots"]
@@ -73,33 +73,28 @@ def bulk_rows(report: DataFrame, file_errors: DataFrame | None = None, profile:
     failed = failed_contracts if file_errors is None else failed_contracts.unionByName(
         file_errors.select("file", "error")).groupBy("file").agg(F.min("error").alias("error"))
     ok = report.join(failed.select("file"), "file", "left_anti")
-    prof = profile if profile is not None else None
+    counters = ["imports_removed", "functions_removed", "types_replaced"]
+    if profile is not None:  # counters of the source files; error rows have none
+        ok = ok.join(profile.select("file", *counters), "file", "left")
+    else:
+        ok = ok.select("*", *[F.lit(None).cast("bigint").alias(c) for c in counters])
     ok_rows = ok.select(
         "file", F.col("contract_name").alias("contract"), F.lit(STATUS_OK).alias("status"), F.lit("").alias("error"),
         "current_slots", "recommended_slots",
         (F.col("current_slots") - F.col("recommended_slots")).alias("saved_slots"),
         "current_wasted", "recommended_wasted",
         (F.col("current_wasted") - F.col("recommended_wasted")).alias("saved_wasted"),
-        "strategy", "structs_total", "structs_improved", "struct_saved_slots",
-        "source_ord", "contract_ord")
+        "strategy", *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in counters],
+        "structs_total", "structs_improved", "struct_saved_slots", "source_ord", "contract_ord")
     err_rows = failed.select(
         "file", F.lit("").alias("contract"), F.lit(STATUS_ERROR).alias("status"),
         C.short_error(F.col("error")).alias("error"),
         *[F.lit(0).cast("bigint").alias(c) for c in ["current_slots", "recommended_slots", "saved_slots",
                                                      "current_wasted", "recommended_wasted", "saved_wasted"]],
         F.lit("").alias("strategy"),
-        *[F.lit(0).cast("bigint").alias(c) for c in ["structs_total", "structs_improved", "struct_saved_slots"]],
+        *[F.lit(0).cast("bigint").alias(c) for c in [*counters, "structs_total", "structs_improved", "struct_saved_slots"]],
         F.lit(0).alias("source_ord"), F.lit(-1).alias("contract_ord"))
-    rows = ok_rows.unionByName(err_rows)
-    if prof is not None:
-        rows = rows.join(prof.select("file", "imports_removed", "functions_removed", "types_replaced"), "file", "left")
-    else:
-        rows = (rows.withColumn("imports_removed", F.lit(None)).withColumn("functions_removed", F.lit(None))
-                .withColumn("types_replaced", F.lit(None)))
-    rows = (rows.withColumn("imports_removed", F.coalesce(F.col("imports_removed").cast("bigint"), F.lit(0).cast("bigint")))
-            .withColumn("functions_removed", F.coalesce(F.col("functions_removed").cast("bigint"), F.lit(0).cast("bigint")))
-            .withColumn("types_replaced", F.coalesce(F.col("types_replaced").cast("bigint"), F.lit(0).cast("bigint")))
-            .withColumn("modifiers_removed", F.lit(0).cast("bigint")))  # Q9: never assigned in the reference
+    rows = ok_rows.unionByName(err_rows).withColumn("modifiers_removed", F.lit(0).cast("bigint"))  # Q9: never assigned
     ints = [c for c in BULK_COLUMNS if c not in ("file", "contract", "status", "error", "strategy")]
     return rows.select("file", "contract", "status", "error",
                        *[F.col(c).cast("bigint").alias(c) if c in ints else F.col(c) for c in BULK_COLUMNS[4:]],

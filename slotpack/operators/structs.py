@@ -63,7 +63,8 @@ def struct_optimization(structs: DataFrame, fields: DataFrame, entries: DataFram
                        & F.coalesce(F.col("_min_packable") <= 0, F.lit(False))))
     return out.select("contract_id", "type_id", "label", "struct_ord", "n_fields", "current_slots", "optimal_slots",
                       F.col("direct_instances").cast("bigint").alias("direct_instances"),
-                      "saved_per_instance", "total_saved_slots", "improved", "struct_strategy", "invalid_size")
+                      "saved_per_instance", "total_saved_slots", "improved", "struct_strategy", "invalid_size",
+                      F.col("_min_packable").alias("min_packable_size"))
 
 
 def struct_field_order(fields: DataFrame, bins: DataFrame | None = None) -> DataFrame:
@@ -84,4 +85,5 @@ def contract_struct_summary(opt: DataFrame) -> DataFrame:
         F.count_if("improved").alias("structs_improved"),
         F.coalesce(F.sum(F.when(F.col("improved"), F.col("total_saved_slots"))), F.lit(0)).cast("bigint")
         .alias("struct_saved_slots"),
-        F.max(F.col("invalid_size").cast("int")).alias("_struct_invalid"))
+        F.max(F.col("invalid_size").cast("int")).alias("_struct_invalid"),
+        F.min(F.when(F.col("invalid_size"), F.col("min_packable_size"))).alias("_struct_invalid_size"))

@@ -117,7 +117,7 @@ class Analysis:
         if self.structs_df is None:
             spark = self.entries.sparkSession
             return spark.createDataFrame([], "contract_id string, structs_total bigint, structs_improved bigint, "
-                                             "struct_saved_slots bigint, _struct_invalid int")
+                                             "struct_saved_slots bigint, _struct_invalid int, _struct_invalid_size int")
         return self._get("struct_summary", lambda: structs.contract_struct_summary(self.struct_optimization()))
 
     # --- report -----------------------------------------------------------------------------

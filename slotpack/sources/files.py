@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,22 +14,17 @@ from slotpack.functions import columns as C
 def scan_sources(spark: SparkSession, root: str) -> DataFrame:
     """Every ``*.sol`` file under ``root`` (recursive, ``*.preprocessed.sol`` excluded) as
     (file, text) with ``file`` relative to ``root`` using ``/``."""
-    base = root.rstrip("/")
+    base = re.sub(r"^file:/*(?=/)", "", root.rstrip("/"))
     df = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.sol")
-          .option("wholetext", True).text(base))
-    path = F.col("_metadata.file_path")
-    rel = F.regexp_replace(F.regexp_replace(path, r"^file:(//)?", ""), "^" + _quote(base.replace("file:", "")) + "/", "")
+          .option("wholetext", True).text(root))
+    # the scan reports URL-encoded paths; a plus sign is one there
+    path = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
+    plain = F.regexp_replace(path, r"^file:/*(?=/)", "")
+    rel = F.when(plain.startswith(base + "/"), plain.substr(F.lit(len(base) + 2), F.length(plain))).otherwise(plain)
     return (df.select(F.translate(rel, "\\", "/").alias("file"), F.col("value").alias("text"))
             .where(~F.col("file").endswith(".preprocessed.sol")))
 
 
-def _quote(s: str) -> str:
-    out = []
-    for ch in s:
-        out.append("\\" + ch if ch in r".^$*+?()[]{}|\\" else ch)
-    return "".join(out)
-
-
 def source_at(sources: DataFrame, path: str) -> DataFrame:
     """The source of one relative path (0 rows when missing)."""
     return sources.where(F.col("file") == F.lit(path.replace("\\", "/")))
@@ -59,8 +56,14 @@ def examples(index: DataFrame, sources: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Verified-source payloads
 # ---------------------------------------------------------------------------
-_SOURCES_OBJ = "struct<sources: map<string, struct<content: string>>>"
-_SOURCES_MAP = "map<string, struct<content: string>>"
+_SOURCES_OBJ = "struct<sources: map<string, string>>"
+_SOURCES_MAP = "map<string, string>"
+_CONTENT = "struct<content: string>"
+
+
+def _stripped(text: Column) -> Column:
+    """Without leading and trailing control characters and white space."""
+    return F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
 
 
 def normalize_payload(source_code: Column, contract_name: Column) -> Column:
@@ -68,20 +71,22 @@ def normalize_payload(source_code: Column, contract_name: Column) -> Column:
 
     Plain text is returned as is. JSON (optionally wrapped in a second pair of braces, optionally
     under a ``sources`` key) yields the content of the last file containing ``contract <Name>``,
-    else every non-empty content followed by a newline, in document order.
+    else every non-empty content followed by a newline, in document order. Entries that are no
+    objects have no content.
     """
-    trimmed = F.trim(source_code)
+    trimmed = _stripped(source_code)
     inner = F.when(trimmed.startswith("{{") & trimmed.endswith("}}"),
                    trimmed.substr(F.lit(2), F.length(trimmed) - 2))
     json_text = F.coalesce(inner, trimmed)
     by_key = F.from_json(json_text, _SOURCES_OBJ)["sources"]
     has_key = F.get_json_object(json_text, "$.sources").isNotNull()
     files = F.when(has_key, by_key).otherwise(F.from_json(json_text, _SOURCES_MAP))
-    contents = F.filter(F.transform(F.map_entries(files), lambda e: F.coalesce(e["value"]["content"], F.lit(""))),
-                        lambda c: c != "")
+    contents = F.filter(
+        F.transform(F.map_entries(files), lambda e: F.coalesce(F.from_json(e["value"], _CONTENT)["content"], F.lit(""))),
+        lambda c: c != "")
     name = F.coalesce(contract_name, F.lit(""))
     matches = F.filter(contents, lambda c: c.contains(F.concat(F.lit("contract "), name)))
-    main = F.when((F.trim(name) != "") & (F.size(matches) > 0), F.element_at(matches, -1))
+    main = F.when((_stripped(name) != "") & (F.size(matches) > 0), F.element_at(matches, -1))
     every = F.array_join(F.transform(contents, lambda c: F.concat(c, F.lit("\n"))), "")
     return F.when(~trimmed.startswith("{"), source_code).otherwise(F.coalesce(main, every))
 
@@ -90,7 +95,7 @@ def verified_sources(payloads: DataFrame) -> DataFrame:
     """O06/O07 over (address, contract_name, source_code[, link, file_name])."""
     out = payloads.select(
         "address", "contract_name",
-        F.trim("source_code").startswith("{").alias("multi_file"),
+        _stripped(F.col("source_code")).startswith("{").alias("multi_file"),
         normalize_payload(F.col("source_code"), F.col("contract_name")).alias("solidity"),
         *([C.address_from_text("link").alias("link_address")] if "link" in payloads.columns else []),
         *([C.address_from_path("file_name").alias("path_address")] if "file_name" in payloads.columns else []),

@@ -2,8 +2,8 @@
 
 The analysis is stateless per document, so each micro-batch runs the same batch operators
 (parse -> layout tables -> analysis -> bulk rows) in ``foreachBatch`` and appends to a Parquet
-table; the stream's progress lives under the cluster's checkpoint folder so a restarted driver or a
-lost executor resumes without re-emitting rows.
+table. The caller names the folder of the stream's progress; with the same folder a restarted driver
+resumes without re-emitting rows.
 """
 
 from __future__ import annotations
@@ -13,19 +13,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotpack.plans.analysis import Analysis
-from slotpack.session import ensure_checkpoint_dir
+from slotpack.session import materialize
 from slotpack.sources import layout_json
 
 
 def _batch_rows(batch: DataFrame) -> DataFrame:
     docs = layout_json.parse_documents(batch, text="json", file="file")
-    t = layout_json.layout_tables(docs)
+    t = layout_json.layout_tables(docs, keep=lambda d: materialize(d, "batch"))
     a = Analysis(t["contracts"], t["entries"], t["structs"], t["struct_fields"])
     failed = t["file_status"].where(F.col("status") == "ERROR").select("file", "error")
     return a.bulk_rows(file_errors=failed)
 
 
-def start(spark: SparkSession, source_dir: str, sink_dir: str, trigger_once: bool = False,
+def start(spark: SparkSession, source_dir: str, sink_dir: str, progress_dir: str, trigger_once: bool = False,
           max_files_per_trigger: int = 1000):
     """Watch ``source_dir`` for layout JSON files; append bulk rows to Parquet at ``sink_dir``."""
     stream = (spark.readStream.schema(T.StructType([T.StructField("value", T.StringType())]))
@@ -38,7 +38,6 @@ def start(spark: SparkSession, source_dir: str, sink_dir: str, trigger_once: boo
         (_batch_rows(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(sink_dir))
 
-    ckpt = ensure_checkpoint_dir(spark).rstrip("/") + "/stream-" + sink_dir.strip("/").replace("/", "_")
-    writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
+    writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", progress_dir)
     writer = writer.trigger(availableNow=True) if trigger_once else writer.trigger(processingTime="30 seconds")
     return writer.start()

@@ -95,7 +95,7 @@ def test_streaming_available_now(spark):
         json.dump(layout, fh)
     with open(d + "/in/bad.json", "w") as fh:
         fh.write("{")
-    q = layouts.start(spark, d + "/in", d + "/out", trigger_once=True)
+    q = layouts.start(spark, d + "/in", d + "/out", d + "/progress", trigger_once=True)
     q.awaitTermination(120)
     rows = {r.status: r for r in spark.read.parquet(d + "/out").collect()}
     assert rows["OK"].current_slots == 3 and rows["OK"].recommended_slots == 2
