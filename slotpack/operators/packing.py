@@ -14,7 +14,7 @@ its group. Groups with at most 20 items go to the exact packer, larger ones to f
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,13 +26,20 @@ from slotpack.schema import (MAX_EXACT_ITEMS, SLOT_SIZE, STRATEGY_EXACT, STRATEG
 
 ORDER_CHUNK = 1024
 
-# Fixed note texts of a recommended slot (English; note_code is the stable key).
-NOTE_TEXT = {
-    "full": "Occupies its own slot (>= 32 bytes)",
-    "dynamic": "Dynamic type ({encoding}) - own slot handle",
-    "group_full": "Slot completely filled by grouping ({tag})",
-    "group_partial": "{tag} grouping ({used}/32 bytes used)",
-}
+# Note formats of a recommended slot (translated; note_code is the stable key).
+NOTE_FULL = "Occupies its own slot (>= 32 bytes)"
+NOTE_DYNAMIC = "Dynamic type (%s) - own slot handle"
+NOTE_GROUP_FULL = "Slot completely filled by grouping (%s)"
+NOTE_GROUP_PARTIAL = "%s grouping (%d/32 bytes used)"
+
+
+def note_text(strategy: str = "strategy", used: str = "used", encoding: str = "encoding") -> Column:
+    """Text of a slot's ``note_code``."""
+    tag = F.when(F.col(strategy) == STRATEGY_FFD, F.lit(STRATEGY_TAG_FFD)).otherwise(F.lit(STRATEGY_TAG_EXACT))
+    return (F.when(F.col("note_code") == "full", F.lit(NOTE_FULL))
+            .when(F.col("note_code") == "dynamic", F.format_string(NOTE_DYNAMIC, F.col(encoding)))
+            .when(F.col("note_code") == "group_full", F.format_string(NOTE_GROUP_FULL, tag))
+            .otherwise(F.format_string(NOTE_GROUP_PARTIAL, tag, F.col(used))))
 
 
 def _solve_exact_batches(batches):
@@ -219,6 +226,7 @@ def recommended_slots(entries: DataFrame, items: DataFrame | None = None) -> Dat
         "contract_id", "slot_index", note.alias("note_code"),
         F.when(grouped, F.col("_sum")).otherwise(F.lit(SLOT_SIZE)).cast("bigint").alias("used"),
         F.when(grouped, F.lit(SLOT_SIZE) - F.col("_sum")).otherwise(F.lit(0)).cast("bigint").alias("wasted"),
+        F.when(F.col("_rank") == 0, C.slots_needed("_sum")).otherwise(F.lit(1)).cast("bigint").alias("slots_spanned"),
         "n_vars",
         F.array_join(F.col("_v.label"), ",").alias("labels"),
     )

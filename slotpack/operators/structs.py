@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotpack.functions import columns as C
+from slotpack.functions import ordered
 from slotpack.operators import packing
 from slotpack.schema import MAX_EXACT_ITEMS, STRATEGY_EXACT, STRATEGY_FFD
 
@@ -68,14 +69,18 @@ def struct_optimization(structs: DataFrame, fields: DataFrame, entries: DataFram
 
 
 def struct_field_order(fields: DataFrame, bins: DataFrame | None = None) -> DataFrame:
-    """Recommended member order: full members, packed groups (by first member), dynamic members."""
+    """Recommended member order: full members, packed groups (by first member), dynamic members.
+
+    ``position`` counts from 0 inside each struct.
+    """
     bins = bins if bins is not None else member_bins(fields)
-    f = packing.classify(fields).join(bins, [*KEYS, "ordinal"], "left")
+    f = packing.classify(fields).join(bins.select(*KEYS, "ordinal", "bin"), [*KEYS, "ordinal"], "left")
     first = bins.groupBy(*KEYS, "bin").agg(F.min("ordinal").alias("_first"))
     f = f.join(first, [*KEYS, "bin"], "left")
-    group_key = F.when(F.col("cls") == "packable", F.col("_first")).otherwise(F.col("ordinal"))
-    return f.select(*KEYS, "ordinal", "label", "type_label", "number_of_bytes", "cls", "bin",
-                    F.struct(F.col("cls_rank"), group_key.alias("g"), F.col("ordinal")).alias("order_key"))
+    group = F.when(F.col("cls") == "packable", F.col("_first")).otherwise(F.col("ordinal"))
+    f = f.select(*KEYS, "ordinal", "label", "type_label", "number_of_bytes", "cls", "cls_rank", group.alias("group"))
+    chunk = F.col("cls_rank").cast("bigint") * F.lit(1 << 40) + ordered.chunk_of("group")
+    return ordered.dense_position(f, KEYS, ["cls_rank", "group", "ordinal"], chunk, "position")
 
 
 def contract_struct_summary(opt: DataFrame) -> DataFrame:

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotpack.functions import nextfit
-from slotpack.operators import corpus, metrics, packing, profile
+from slotpack.operators import corpus, metrics, packing, profile, structs
 from slotpack.plans.analysis import Analysis
-from slotpack.sources import bulk_csv, files, layout_json, standin
-from slotpack.session import ensure_checkpoint_dir
+from slotpack.session import materialize, table_path
+from slotpack.sources import bulk_csv, files, layout_json, report_json, standin
 
 BOTH = ("order", "part")
 
@@ -109,7 +109,7 @@ def q_pack_ffd(spark, sf_dir):
 
 def q_recommended_slots(spark, sf_dir):
     a = _analysis(spark, sf_dir)
-    return a.recommended_slots().select("contract_id", "slot_index", "note_code", "used", "wasted",
+    return a.recommended_slots().select("contract_id", "slot_index", "note_code", "used", "wasted", "slots_spanned",
                                         F.col("n_vars").cast("bigint").alias("n_vars"), "labels")
 
 
@@ -208,14 +208,66 @@ def q_layout_structs(spark, sf_dir):
 
 
 def q_bulk_csv_report(spark, sf_dir):
-    """Bulk rows written as CSV to the checkpoint folder, read back, dataset report."""
-    import uuid
+    """Bulk rows written as CSV to the shared folder, read back, dataset report."""
     rows = _analysis(spark, sf_dir).bulk_rows()
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bulk-csv-{uuid.uuid4().hex}"
+    path = table_path(spark, "bulk-csv")
     bulk_csv.write_bulk_csv(rows, path)
     return corpus.dataset_report(bulk_csv.read_bulk_csv(spark, path))
 
 
+def _documents(spark, sf_dir):
+    """Layout documents of the corpus, some faulty, parsed."""
+    c = _corpus(spark, sf_dir)
+    docs = layout_json.to_documents(c.contracts, c.entries, c.struct_fields, c.structs)
+    return layout_json.parse_documents(materialize(standin.faulty_documents(docs, c.contracts), "documents"))
+
+
+def q_file_status(spark, sf_dir):
+    """Status and error of every layout document."""
+    status = layout_json.file_status(_documents(spark, sf_dir))
+    return status.select("file", "status", F.coalesce("error", F.lit("")).alias("error"))
+
+
+def _document_rows(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    t = layout_json.layout_tables(docs, keep=lambda d: materialize(d, "layouts"))
+    a = Analysis(t["contracts"], t["entries"], t["structs"], t["struct_fields"])
+    return a.bulk_rows(file_errors=t["file_status"].where(F.col("status") == "ERROR").select("file", "error"))
+
+
+def q_document_bulk_rows(spark, sf_dir):
+    """Bulk rows of the layout documents, with one error row per rejected document."""
+    return _document_rows(spark, sf_dir).select(*BULK_OUT)
+
+
+def q_document_bulk_summary(spark, sf_dir):
+    """O38 over the bulk rows of the layout documents."""
+    return corpus.bulk_summary(_document_rows(spark, sf_dir))
+
+
+def q_csv_top_contracts(spark, sf_dir):
+    """The web top list of a CSV report read back."""
+    rows = _analysis(spark, sf_dir).bulk_rows()
+    path = table_path(spark, "bulk-csv")
+    bulk_csv.write_bulk_csv(rows, path)
+    return corpus.top_contracts_web(bulk_csv.read_bulk_csv(spark, path))
+
+
+def q_report_documents(spark, sf_dir):
+    """The nested report documents, their recommended layouts flattened back to rows."""
+    a = _analysis(spark, sf_dir)
+    docs = report_json.report_documents(a.report(), a.issues(), a.items(), a.struct_optimization(),
+                                        structs.struct_field_order(a.fields, a.member_bins()))
+    return report_json.document_variables(docs)
+
+
+def q_struct_field_order(spark, sf_dir):
+    """Recommended position of every struct member."""
+    a = _analysis(spark, sf_dir)
+    return structs.struct_field_order(a.fields, a.member_bins()).select(
+        "contract_id", "type_id", "position", "ordinal", "label")
+
+
 def _sources(spark, sf_dir):
     c = _corpus(spark, sf_dir)
     return standin.sources(c.contracts, c.entries)
@@ -297,6 +349,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "layout_ingest": q_layout_ingest,
     "layout_structs": q_layout_structs,
     "bulk_csv_report": q_bulk_csv_report,
+    "file_status": q_file_status,
+    "document_bulk_rows": q_document_bulk_rows,
+    "document_bulk_summary": q_document_bulk_summary,
+    "csv_top_contracts": q_csv_top_contracts,
+    "report_documents": q_report_documents,
+    "struct_field_order": q_struct_field_order,
     "source_profile": q_source_profile,
     "external_types": q_external_types,
     "local_declarations": q_local_declarations,

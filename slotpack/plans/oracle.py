@@ -361,7 +361,8 @@ def oracle_sql() -> dict[str, str]:
         rec, "SELECT contract_id, slot_index, CASE WHEN cls = 'full' THEN 'full' WHEN cls = 'dynamic' THEN 'dynamic' "
              "WHEN s = 32 THEN 'group_full' ELSE 'group_partial' END AS note_code, "
              "CAST(CASE WHEN cls = 'packable' THEN s ELSE 32 END AS BIGINT) AS used, "
-             "CAST(CASE WHEN cls = 'packable' THEN 32 - s ELSE 0 END AS BIGINT) AS wasted, n_vars, labels FROM RS")
+             "CAST(CASE WHEN cls = 'packable' THEN 32 - s ELSE 0 END AS BIGINT) AS wasted, "
+             "CAST(CASE WHEN cls = 'full' THEN (s + 31) // 32 ELSE 1 END AS BIGINT) AS slots_spanned, n_vars, labels FROM RS")
     q["recommended_order"] = _with(
         rec, "SELECT r.contract_id, r.position, r.slot_index, r.ordinal, r.label, r.number_of_bytes, "
              "CASE WHEN r.cls = 'full' THEN 'full' WHEN r.cls = 'dynamic' THEN 'dynamic' WHEN s.s = 32 THEN 'group_full' "
@@ -381,7 +382,7 @@ def oracle_sql() -> dict[str, str]:
         "coalesce(p.imports_removed, 0) AS imports_removed, coalesce(p.functions_removed, 0) AS functions_removed, "
         "coalesce(p.types_replaced, 0) AS types_replaced "
         "FROM BR b LEFT JOIN PROF p USING (file)"))
-    q["bulk_summary"] = _with(rep, (
+    summary = (
         "SELECT CAST(count(DISTINCT file) AS BIGINT) AS files, CAST(count(*) FILTER (WHERE status = 'ERROR') AS BIGINT) AS file_errors, "
         "CAST(count(*) FILTER (WHERE status = 'OK') AS BIGINT) AS contracts_ok, "
         "CAST(count(*) FILTER (WHERE status = 'ERROR') AS BIGINT) AS contracts_error, "
@@ -394,7 +395,8 @@ def oracle_sql() -> dict[str, str]:
         "CAST(coalesce(sum(structs_improved) FILTER (WHERE status = 'OK'), 0) AS BIGINT) AS structs_improved, "
         "CAST(coalesce(sum(struct_saved_slots) FILTER (WHERE status = 'OK'), 0) AS BIGINT) AS struct_saved_slots, "
         "CAST(count(*) FILTER (WHERE status = 'OK' AND (saved_slots > 0 OR struct_saved_slots > 0)) AS BIGINT) AS winners "
-        "FROM BR"))
+        )
+    q["bulk_summary"] = _with(rep, summary + "FROM BR")
     kind = ("CASE WHEN starts_with(replace(file, '\\', '/'), 'real/') THEN 'real' "
             "WHEN starts_with(replace(file, '\\', '/'), 'synthetic/') THEN 'synthetic' ELSE 'other' END")
     q["dataset_report"] = _with(rep, (
@@ -453,6 +455,45 @@ def oracle_sql() -> dict[str, str]:
     q["first_contracts"] = _with([_contracts(BOTH)], (
         "SELECT file, arg_min(contract_name, contract_ord) AS contract_name, "
         "arg_min(contract_id, contract_ord) AS contract_id FROM C GROUP BY file"))
+    docs = [
+        "DOC AS (SELECT c.contract_id, 'layouts/' || c.contract_id || '.json' AS file, c.contract_name, "
+        "CAST(substr(c.contract_id, 2) AS BIGINT) % 40 AS m, EXISTS (SELECT 1 FROM V WHERE V.contract_id = c.contract_id) AS filled "
+        "FROM C c)",
+        "BAD AS (SELECT contract_id, file, CASE m WHEN 7 THEN 'Stand-in message for ' || contract_name || chr(10) || 'second line' "
+        "WHEN 8 THEN 'Unreadable compiler output (corrupt JSON).' WHEN 9 THEN 'No contracts returned by the compiler.' "
+        "WHEN 10 THEN 'No storageLayout in the compiler output.' END AS error, m = 12 AND filled AS huge FROM DOC)"]
+    q["file_status"] = _with([_vars(BOTH), _contracts(BOTH), *docs], (
+        "SELECT file, CASE WHEN error IS NULL THEN 'OK' ELSE 'ERROR' END AS status, coalesce(error, '') AS error FROM BAD"))
+    zeros = ", ".join(f"0::BIGINT AS {c}" for c in (
+        "current_slots", "recommended_slots", "saved_slots", "current_wasted", "recommended_wasted", "saved_wasted"))
+    counters = ", ".join(f"0::BIGINT AS {c}" for c in (
+        "imports_removed", "functions_removed", "modifiers_removed", "types_replaced"))
+    doc_rows = [*rep, *docs, "DBR AS (SELECT d.file, r.contract_name AS contract, 'OK' AS status, '' AS error, r.current_slots, "
+                "r.recommended_slots, r.current_slots - r.recommended_slots AS saved_slots, r.current_wasted, "
+                "r.recommended_wasted, r.current_wasted - r.recommended_wasted AS saved_wasted, r.strategy, " + counters +
+                ", r.structs_total, r.structs_improved, r.struct_saved_slots FROM REP r JOIN DOC d USING (contract_id) "
+                "JOIN BAD b USING (contract_id) WHERE b.error IS NULL AND NOT b.huge UNION ALL SELECT file, '', 'ERROR', "
+                "split_part(coalesce(error, 'SLOT_OUT_OF_RANGE: slot 99999999999999999999 does not fit a 64-bit integer'), "
+                "chr(10), 1), " + zeros + ", '', " + counters + ", 0, 0, 0 FROM BAD WHERE error IS NOT NULL OR huge)"]
+    q["document_bulk_rows"] = _with(doc_rows, "SELECT * FROM DBR")
+    q["document_bulk_summary"] = _with(doc_rows, summary + "FROM DBR")
+    q["csv_top_contracts"] = q["top_contracts"].replace("file, contract_ord LIMIT", "file, contract LIMIT")
+    q["report_documents"] = _with(rep, (
+        "SELECT r.contract_id, r.slot_index, CASE WHEN r.cls = 'full' THEN 'Occupies its own slot (>= 32 bytes)' "
+        "WHEN r.cls = 'dynamic' THEN 'Dynamic type (' || e.encoding || ') - own slot handle' "
+        "WHEN s.s = 32 THEN 'Slot completely filled by grouping (' || t.tag || ')' "
+        "ELSE t.tag || ' grouping (' || s.s || '/32 bytes used)' END AS note, "
+        "CAST(row_number() OVER (PARTITION BY r.contract_id, r.slot_index ORDER BY r.ordinal) - 1 AS INTEGER) AS place, "
+        "r.label, e.type_label, r.number_of_bytes FROM RI r JOIN RS s USING (contract_id, slot_index) "
+        "JOIN E e ON e.contract_id = r.contract_id AND e.ordinal = r.ordinal JOIN (SELECT contract_id, "
+        "CASE WHEN starts_with(strategy, 'First') THEN 'FFD' ELSE 'DP-bitmask' END AS tag FROM REP) t "
+        "ON t.contract_id = r.contract_id"))
+    q["struct_field_order"] = _with(_structs(base(BOTH), True), (
+        "SELECT f.contract_id, f.type_id, CAST(row_number() OVER (PARTITION BY f.contract_id, f.type_id ORDER BY "
+        "CASE f.cls WHEN 'full' THEN 0 WHEN 'packable' THEN 1 ELSE 2 END, coalesce(b.first_ord, f.ordinal), f.ordinal) - 1 "
+        "AS BIGINT) AS position, f.ordinal, f.label FROM FL f LEFT JOIN (SELECT contract_id, ordinal, "
+        "min(ordinal) OVER (PARTITION BY contract_id, bin_no) AS first_ord FROM MIB) b "
+        "ON b.contract_id = f.contract_id AND b.ordinal = f.ordinal"))
     src = _sources_sql()
     q["source_profile"] = _with(src, _profile_sql())
     q["external_types"] = _with(src, _ext_sql())

@@ -300,6 +300,34 @@ def payloads(sources_df: DataFrame, contracts_df: DataFrame) -> DataFrame:
                     F.concat(F.sha1(F.col("file")), F.lit("_"), name, F.lit(".sol")).alias("file_name"))
 
 
+#: Remainders (contract key modulo FAULT_MODULUS) of documents with a planted fault.
+FAULT_MODULUS = 40
+COMPILE_ERROR, CORRUPT, NO_CONTRACTS, NO_LAYOUT, WARNING, HUGE_SLOT = 7, 8, 9, 10, 11, 12
+
+
+def faulty_documents(docs: DataFrame, contracts_df: DataFrame) -> DataFrame:
+    """Layout documents (one per contract, ``layouts/<contract_id>.json``) some of which are faulty.
+
+    By the contract's key: a compile error, a text cut in half, no contracts, no layout, a mere warning,
+    and slot numbers beyond 64 bits.
+    """
+    d = docs.join(contracts_df.select(F.concat(F.lit("layouts/"), F.col("contract_id"), F.lit(".json")).alias("file"),
+                                      "contract_id", "contract_name"), "file")
+    case = F.substring("contract_id", 2, 30).cast("bigint") % FAULT_MODULUS
+    message = F.concat(F.lit('{"severity":"%s","formattedMessage":"Stand-in message for '), F.col("contract_name"),
+                       F.lit('\\nsecond line"}'))
+    errors = lambda kind: F.concat(F.lit('"errors":['), F.replace(message, F.lit("%s"), F.lit(kind)), F.lit("]"))
+    none = F.lit('"errors":[]')
+    text = (F.when(case == COMPILE_ERROR, F.replace("json", none, errors("error")))
+            .when(case == CORRUPT, F.substring("json", F.lit(1), F.floor(F.length("json") / 2).cast("int")))
+            .when(case == NO_CONTRACTS, F.lit('{"contracts":{},"errors":[]}'))
+            .when(case == NO_LAYOUT, F.lit('{"contracts":{"A.sol":{"A":{}}},"errors":[]}'))
+            .when(case == WARNING, F.replace("json", none, errors("warning")))
+            .when(case == HUGE_SLOT, F.replace("json", F.lit('"slot":"0"'), F.lit('"slot":"99999999999999999999"')))
+            .otherwise(F.col("json")))
+    return d.select("file", text.alias("json"))
+
+
 def example_index(sources_df: DataFrame, contracts_df: DataFrame) -> DataFrame:
     """Example index rows (id, title, tag, kind, description, file), one per source file."""
     from slotpack.functions.columns import kind_of

@@ -104,11 +104,13 @@ def test_streaming_available_now(spark):
 
 def test_report_json_sink(spark):
     from fixture_contracts import tables
+    from slotpack.operators import structs
     from slotpack.plans.analysis import Analysis
     from slotpack.sources import report_json
     c, e, s, f = tables(spark)
     a = Analysis(c, e, s, f)
-    docs = report_json.report_documents(a.report(), a.issues(), a.recommended_slots(), a.struct_optimization())
+    docs = report_json.report_documents(a.report(), a.issues(), a.items(), a.struct_optimization(),
+                                        structs.struct_field_order(a.fields, a.member_bins()))
     d = tempfile.mkdtemp(prefix="slotpack-json-")
     report_json.write_reports(docs, d + "/reports", buckets=4)
     back = spark.read.json(d + "/reports")
