@@ -146,13 +146,15 @@ def encoded(docs: DataFrame, words: Vocabulary) -> DataFrame:
             texts = b.column("text").to_pylist()
             for begin, end in pieces(texts):
                 hashes, endings, bounds = _tokens(texts[begin:end])
-                held.append((b.slice(begin, end - begin), hashes, endings, bounds))
+                word, first, slot = np.unique(hashes, return_index=True, return_inverse=True)
+                held.append((b.slice(begin, end - begin), word, words.classes(word, endings[first]), words.counts(word),
+                             slot, bounds))
                 size += len(hashes)
                 if size >= BLOCK:
-                    yield from _block(words, (part << 32) + number, held)
+                    yield from _block((part << 32) + number, held)
                     number, held, size = number + 1, [], 0
         if held:
-            yield from _block(words, (part << 32) + number, held)
+            yield from _block((part << 32) + number, held)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id",
                        (remainder(SPLIT_MODULUS) != HELD_OUT).alias("train"), "text")
@@ -161,17 +163,16 @@ def encoded(docs: DataFrame, words: Vocabulary) -> DataFrame:
              "common_known long, rare binary, number int, token long"), "encoded")
 
 
-def _block(words: Vocabulary, block: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+def _block(block: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
     names = ["block", "row", "doc_id", "train", "n_tokens", "classes", "common_sum", "common_known", "rare", "number",
              "token"]
-    known = [words.counts(h) for _, h, _, _ in held]
-    rare = np.unique(np.concatenate([h[c < 0] for (_, h, _, _), c in zip(held, known, strict=True)]))
-    for (b, hashes, endings, bounds), count in zip(held, known, strict=True):
-        classes = words.classes(hashes, endings).astype(np.uint16)
-        is_rare = count < 0
-        place = np.searchsorted(rare, hashes[is_rare]).astype(np.int32)
+    rare = np.unique(np.concatenate([word[count < 0] for _, word, _, count, _, _ in held]))
+    for b, word, own_class, count, slot, bounds in held:
+        classes = own_class.astype(np.uint16)[slot]
+        is_rare = (count < 0)[slot]
+        place = np.searchsorted(rare, word).astype(np.int32)[slot[is_rare]]
         cut = np.concatenate([[0], np.cumsum(is_rare)])[bounds]
-        value = np.concatenate([[0.0], np.cumsum(np.where(is_rare, 0.0, np.log10(np.maximum(count, 0) + 1.0)))])
+        value = np.concatenate([[0.0], np.cumsum(np.where(count < 0, 0.0, np.log10(np.maximum(count, 0) + 1.0))[slot])])
         n = b.num_rows
         none = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())]
         yield pa.RecordBatch.from_arrays(
@@ -261,15 +262,15 @@ def expected(chain: Chain, lat: Lattice, classes: int) -> tuple[np.ndarray, np.n
     return gamma[:lat.begins[1]].sum(axis=0), moved * chain.step, emitted
 
 
-def _lattices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Lattice]]:
-    """(first row, row after the last, lattice) of consecutive texts with about BATCH tokens together."""
+def _lattices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, Lattice]]:
+    """(rows, lattice) of texts with about BATCH tokens together; texts of like length share a lattice."""
     texts = [np.frombuffer(x, np.uint16) for x in batch.column("classes").to_pylist()]
-    begin, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= BATCH or i + 1 == len(texts):
-            yield begin, i + 1, Lattice.of(texts[begin:i + 1])
-            begin, size = i + 1, 0
+    sizes = np.array([len(t) for t in texts], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    cut = np.cumsum(sizes[order]) // BATCH
+    for rows in np.split(order, np.flatnonzero(np.diff(cut)) + 1):
+        if len(rows):
+            yield rows, Lattice.of([texts[i] for i in rows])
 
 
 def baum_welch(texts: DataFrame, chain: Chain, mass: np.ndarray) -> Chain:
@@ -279,7 +280,7 @@ def baum_welch(texts: DataFrame, chain: Chain, mass: np.ndarray) -> Chain:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((n + STATES + 1, STATES))  # classes, transitions, initial
         for b in batches:
-            for _, _, lat in _lattices(b):
+            for _, lat in _lattices(b):
                 initial, moved, emitted = expected(chain, lat, n)
                 table += np.vstack([emitted, moved, initial])
         own = np.flatnonzero(table.any(axis=1))
@@ -307,10 +308,10 @@ def class_scores(texts: DataFrame, chain: Chain, mass: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         less = np.log10(mass)
         for b in batches:
-            for begin, end, lat in _lattices(b):
+            for rows, lat in _lattices(b):
                 value = np.log10(forward(chain, lat)[1]) - less[lat.classes]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("row").slice(begin, end - begin), pa.array(np.bincount(lat.owner, value, end - begin))],
+                    [b.column("row").take(pa.array(rows)), pa.array(np.bincount(lat.owner, value, len(rows)))],
                     ["row", "class_score"])
 
     return texts.select("row", "classes").mapInArrow(run, "row long, class_score double")
