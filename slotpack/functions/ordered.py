@@ -50,30 +50,23 @@ def neighbours(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
                cols: list[str]) -> DataFrame:
     """Attach ``prev_<c>`` / ``next_<c>`` (the adjacent rows in ``order`` within ``keys``).
 
-    ``chunk`` must be non-decreasing in ``order``. Adjacent rows inside a chunk come from lag/lead
-    over the chunk. Only the first and last rows of chunks of groups spanning several chunks miss a
-    neighbour there; they alone are summarised per chunk, matched to the neighbouring non-empty
-    chunks and joined back.
+    ``chunk`` must be non-decreasing in ``order``. Adjacent rows inside a chunk come from lag/lead over
+    the chunk. The first and last rows of each chunk are summarised in one row per chunk; a window over
+    these gives every chunk the last row before and the first row after it, which meets the chunk's
+    rows under the partitioning they already have.
     """
     d = df.withColumn("_ck", chunk)
     w = Window.partitionBy(*keys, "_ck").orderBy(*order)
     d = (d.withColumn("_row", F.struct(*[F.col(c) for c in cols]))
          .withColumn("_prev", F.lag("_row").over(w))
          .withColumn("_next", F.lead("_row").over(w)))
-    spanning = _spanning(d, keys)
-    edge = F.col("_prev").isNull() | F.col("_next").isNull()
-    settled = d.join(spanning, keys, "left_anti").unionByName(d.join(spanning, keys, "left_semi").where(~edge))
-    rim = d.join(spanning, keys, "left_semi").where(edge)
-    summ = rim.groupBy(*keys, "_ck").agg(
+    ends = d.groupBy(*keys, "_ck").agg(
         F.max(F.when(F.col("_prev").isNull(), F.col("_row"))).alias("_first"),
         F.max(F.when(F.col("_next").isNull(), F.col("_row"))).alias("_last"))
     cw = Window.partitionBy(*keys).orderBy("_ck")
-    summ = summ.select(*keys, "_ck", F.lag("_last").over(cw).alias("_pcl"), F.lead("_first").over(cw).alias("_ncf"))
-    rim = (rim.join(summ, [*keys, "_ck"])
-           .withColumn("_prev", F.coalesce(F.col("_prev"), F.col("_pcl")))
-           .withColumn("_next", F.coalesce(F.col("_next"), F.col("_ncf")))
-           .drop("_pcl", "_ncf"))
-    out = settled.unionByName(rim)
+    beside = ends.select(*keys, "_ck", F.lag("_last").over(cw).alias("_before"), F.lead("_first").over(cw).alias("_after"))
+    out = (d.join(beside, [*keys, "_ck"])
+           .withColumn("_prev", F.coalesce("_prev", "_before")).withColumn("_next", F.coalesce("_next", "_after")))
     for c in cols:
         out = out.withColumn(f"prev_{c}", F.col(f"_prev.{c}")).withColumn(f"next_{c}", F.col(f"_next.{c}"))
-    return out.drop("_ck", "_row", "_prev", "_next")
+    return out.drop("_ck", "_row", "_prev", "_next", "_before", "_after")

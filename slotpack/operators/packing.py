@@ -4,17 +4,19 @@ Generic entry point ``pack(items, keys, pos, size)`` returns one row per item wi
 its group. Groups with at most 20 items go to the exact packer, larger ones to first-fit decreasing:
 
 * exact: items are gathered per (group, pos div 32) chunk; only groups whose total count is <= 20
-  are assembled into one vector, so no gather is larger than 20 items. Each distinct vector is
-  solved once by an Arrow-batched UDF and joined back on the vector.
-* FFD: a (group, size) histogram (<= 32 rows per group, combined map-side) is solved once per
-  distinct histogram into runs of bins; an item's bin follows from its rank among the equal-size
-  items of its group, computed with chunked row numbers, joined to the runs.
+  are assembled into one vector, so no gather is larger than 20 items. An Arrow-batched UDF solves
+  the vector in its own row.
+* FFD: a (group, size) histogram (<= 32 rows per group, combined map-side) is solved in its row into
+  runs of bins; an item's bin follows from its rank among the equal-size items of its group, computed
+  with chunked row numbers and joined to the runs by stretches of ranks.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +27,7 @@ from slotpack.schema import (MAX_EXACT_ITEMS, SLOT_SIZE, STRATEGY_EXACT, STRATEG
                              STRATEGY_TAG_EXACT, STRATEGY_TAG_FFD)
 
 ORDER_CHUNK = 1024
+RANK_STRETCH = 4096
 
 # Note formats of a recommended slot (translated; note_code is the stable key).
 NOTE_FULL = "Occupies its own slot (>= 32 bytes)"
@@ -42,33 +45,21 @@ def note_text(strategy: str = "strategy", used: str = "used", encoding: str = "e
             .otherwise(F.format_string(NOTE_GROUP_PARTIAL, tag, F.col(used))))
 
 
-def _solve_exact_batches(batches):
-    """mapInPandas body: (_vkey) -> (_vkey, _bins), one exact solve per distinct size vector."""
-    for pdf in batches:
-        bins = [binpack.exact_bins([int(x) for x in k.split(",")]) for k in pdf["_vkey"]]
-        yield pd.DataFrame({"_vkey": pdf["_vkey"], "_bins": bins})
-
+@lru_cache(maxsize=100_000)
+def _exact(sizes: tuple[int, ...]) -> list[int]:
+    return binpack.exact_bins(sizes)
 
-def _solve_ffd_batches(batches):
-    """mapInPandas body: (_hkey, _s, _n) -> (_hkey, _flat), FFD runs flattened 5 per run."""
-    for pdf in batches:
-        flat = []
-        for s, n in zip(pdf["_s"], pdf["_n"]):
-            out: list[int] = []
-            for run in binpack.ffd_runs(list(s), list(n)):
-                out.extend(run)
-            flat.append(out)
-        yield pd.DataFrame({"_hkey": pdf["_hkey"], "_flat": flat})
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _exact_bins(sizes: pd.Series) -> pd.Series:
+    """Bin of every item of each size vector; vectors met before are remembered per worker."""
+    return sizes.map(lambda v: _exact(tuple(int(x) for x in v)))
 
-_EXACT_OUT = T.StructType([T.StructField("_vkey", T.StringType()),
-                           T.StructField("_bins", T.ArrayType(T.IntegerType()))])
-_FFD_OUT = T.StructType([T.StructField("_hkey", T.StringType()),
-                         T.StructField("_flat", T.ArrayType(T.LongType()))])
 
-
-def _solver_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
+def _ffd_runs(sizes: pd.Series, counts: pd.Series) -> pd.Series:
+    """First-fit decreasing runs (size, bin_from, per, k_from, k_to) of each size histogram."""
+    return pd.Series([[list(run) for run in binpack.ffd_runs(list(s), list(n))] for s, n in zip(sizes, counts, strict=True)])
 
 
 def classify(df: DataFrame, encoding: str = "encoding", size: str = "number_of_bytes") -> DataFrame:
@@ -94,15 +85,8 @@ def pack_exact(items: DataFrame, keys: list[str], pos: str, size: str,
                                            F.col(size).cast("int").alias("b"))).alias("_it")))
     vectors = (chunks.join(small, keys, "left_semi")
                .groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("_it"))).alias("_it"))
-               .select(*keys, F.col("_it.p").alias("_pos"), F.col("_it.b").alias("_sz"),
-                       F.array_join(F.col("_it.b"), ",").alias("_vkey")))
-    # Spread the distinct vectors over all task slots before the Python solver (a small distinct set
-    # would otherwise be coalesced into one or two partitions; the hash expression keeps the optimizer from
-    # treating it as the distinct's own partitioning).
-    solved = (vectors.select("_vkey").distinct()
-              .repartition(_solver_partitions(items), F.xxhash64("_vkey"))
-              .mapInPandas(_solve_exact_batches, _EXACT_OUT))
-    return (vectors.join(solved, "_vkey")
+               .select(*keys, F.col("_it.p").alias("_pos"), F.col("_it.b").alias("_sz")))
+    return (vectors.withColumn("_bins", _exact_bins("_sz"))
             .select(*keys, F.inline(F.arrays_zip(F.col("_pos").alias("p"), F.col("_sz").alias("z"),
                                                  F.col("_bins").alias("b"))))
             .select(*keys, F.col("p").cast("int").alias(pos), F.col("z").cast("int").alias(size),
@@ -116,22 +100,17 @@ def pack_ffd(items: DataFrame, keys: list[str], pos: str, size: str,
     large = counts.where(F.col("n_items") > MAX_EXACT_ITEMS).select(*keys)
     hist = (items.groupBy(*keys, F.col(size).cast("int").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
             .join(large, keys, "left_semi")
-            .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_s", "_n"))).alias("_h"))
-            .withColumn("_hkey", F.to_json("_h")))
-    solved = (hist.select("_hkey", "_h").distinct()  # _hkey is the JSON of _h: a hash aggregation
-              .repartition(_solver_partitions(items), F.xxhash64("_hkey"))
-              .select("_hkey", F.col("_h._s").alias("_s"), F.col("_h._n").alias("_n"))
-              .mapInPandas(_solve_ffd_batches, _FFD_OUT)
-              .select("_hkey", F.expr("transform(sequence(0, size(_flat) div 5 - 1), i -> named_struct("
-                                      "'_s', cast(_flat[5*i] as int), 'bin_from', _flat[5*i+1], "
-                                      "'per', _flat[5*i+2], 'k_from', _flat[5*i+3], 'k_to', _flat[5*i+4]))")
-                      .alias("_runs")))
-    runs = (hist.select(*keys, "_hkey").join(solved, "_hkey")
-            .select(*keys, F.inline("_runs")))
+            .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_s", "_n"))).alias("_h")))
+    runs = (hist.select(*keys, F.explode(_ffd_runs("_h._s", "_h._n")).alias("r"))
+            .select(*keys, F.col("r")[0].cast("int").alias("_s"), F.col("r")[1].alias("bin_from"), F.col("r")[2].alias("per"),
+                    F.col("r")[3].alias("k_from"), F.col("r")[4].alias("k_to")))
+    # a run meets its items by stretches of ranks, so very many items of one size spread over tasks
+    runs = runs.withColumn("_kc", F.explode(F.expr(f"sequence(k_from div {RANK_STRETCH}, k_to div {RANK_STRETCH})")))
     ranked = ordered.dense_position(
         items.select(*keys, F.col(pos), F.col(size).cast("int").alias("_s")),
         [*keys, "_s"], [pos], ordered.chunk_of(pos, ORDER_CHUNK), out="_k")
-    joined = ranked.join(runs, [*keys, "_s"]).where(F.col("_k").between(F.col("k_from"), F.col("k_to")))
+    ranked = ranked.withColumn("_kc", F.expr(f"_k div {RANK_STRETCH}"))
+    joined = ranked.join(runs, [*keys, "_s", "_kc"]).where(F.col("_k").between(F.col("k_from"), F.col("k_to")))
     return joined.select(*keys, F.col(pos).cast("int").alias(pos), F.col("_s").alias(size),
                          (F.col("bin_from") + F.floor((F.col("_k") - F.col("k_from")) / F.col("per"))).cast("bigint")
                          .alias("bin"))
@@ -182,33 +161,28 @@ def recommended_items(entries: DataFrame, binned: DataFrame | None = None) -> Da
     """Every variable with its recommended ``slot_index``, class, bin and note_code.
 
     Slots are the full variables (by position), then the packed groups (by first member), then the
-    dynamic variables (by position): one dense rank over those "slot rows" numbers them all.
+    dynamic variables (by position). A variable's slot is named by (class, first member): slots are
+    ranked inside chunks of first members, and a chunk is offset by the slots of the chunks before it.
+    Contracts with a variable that the packer rejects are rows of the report's errors; their variables
+    without a bin have no slot and are left out here.
     """
-    c = classify(entries)
     keys = ["contract_id"]
     binned = binned if binned is not None else contract_bins(entries)
-    bins = binned.groupBy(*keys, "bin").agg(F.min("ordinal").alias("_g"),
-                                            F.sum("number_of_bytes").cast("bigint").alias("_used"))
-    singles = c.where(F.col("cls") != "packable")
-    slot_rows = (singles.select(*keys, "cls_rank", F.col("ordinal").alias("_g"), "ordinal",
-                                F.lit(None).cast("bigint").alias("bin"))
-                 .unionByName(bins.select(*keys, F.lit(1).alias("cls_rank"), "_g",
-                                          F.lit(None).cast("int").alias("ordinal"), "bin")))
-    chunk = F.col("cls_rank").cast("bigint") * F.lit(1 << 40) + ordered.chunk_of("_g", ORDER_CHUNK)
-    ranked = ordered.dense_position(slot_rows, keys, ["cls_rank", "_g"], chunk, "slot_index")
-    single_items = (singles.join(ranked.where(F.col("ordinal").isNotNull()).select(*keys, "ordinal", "slot_index"),
-                                 [*keys, "ordinal"])
-                    .withColumn("bin", F.lit(None).cast("bigint"))
-                    .withColumn("note_code", F.col("cls")))
-    bin_idx = ranked.where(F.col("bin").isNotNull()).select(*keys, "bin", "slot_index").join(
-        bins.select(*keys, "bin", "_used"), [*keys, "bin"])
-    packed_items = (c.where(F.col("cls") == "packable")
-                    .join(binned.select(*keys, "ordinal", "bin"), [*keys, "ordinal"])
-                    .join(bin_idx, [*keys, "bin"])
-                    .withColumn("note_code", F.when(F.col("_used") == SLOT_SIZE, F.lit("group_full"))
-                                .otherwise(F.lit("group_partial")))
-                    .drop("_used"))
-    return single_items.unionByName(packed_items)
+    c = (classify(entries).join(binned.select(*keys, "ordinal", "bin"), [*keys, "ordinal"], "left")
+         .where((F.col("cls") != "packable") | F.col("bin").isNotNull()))
+    slot = Window.partitionBy(*keys, "cls_rank", F.coalesce("bin", F.col("ordinal").cast("bigint")))
+    c = c.withColumn("_g", F.min("ordinal").over(slot)).withColumn("_used", F.sum("number_of_bytes").over(slot))
+    c = c.withColumn("_ck", ordered.chunk_of("_g", ORDER_CHUNK))
+    chunk = [*keys, "cls_rank", "_ck"]
+    c = c.withColumn("_r", F.dense_rank().over(Window.partitionBy(*chunk).orderBy("_g")).cast("bigint") - 1)
+    slots = c.groupBy(*chunk).agg((F.max("_r") + 1).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("cls_rank", "_ck").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = slots.select(*chunk, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    grouped = F.when(F.col("_used") == SLOT_SIZE, F.lit("group_full")).otherwise(F.lit("group_partial"))
+    return (c.join(offsets, chunk)
+            .withColumn("slot_index", (F.col("_off") + F.col("_r")).cast("bigint"))
+            .withColumn("note_code", F.when(F.col("cls") == "packable", grouped).otherwise(F.col("cls")))
+            .drop("_g", "_used", "_ck", "_r", "_off"))
 
 
 def recommended_slots(entries: DataFrame, items: DataFrame | None = None) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotpack.functions import columns as C
-from slotpack.schema import BULK_COLUMNS, STATUS_ERROR, STATUS_OK
+from slotpack.schema import (BULK_COLUMNS, MAX_EXACT_ITEMS, STATUS_ERROR, STATUS_OK, STRATEGY_EXACT,
+                             STRATEGY_FFD)
 
 # Fixed error texts of contracts the packer rejects.
 ERR_INVALID_SIZE = "INVALID_SIZE: a packable variable has %d bytes (must be in [1, 32])"
@@ -34,17 +37,19 @@ def contract_report(contracts: DataFrame, strategy: DataFrame, cur_slots: DataFr
                     estimate: DataFrame, issue_counts: DataFrame, struct_summary: DataFrame,
                     errors: DataFrame) -> DataFrame:
     """One row per contract with the report scalars and its status."""
+    # every figure is one number per contract: stacked and added up in one aggregation
+    figures = ["n_vars", "n_packable", "current_slots", "current_wasted", "recommended_slots", "recommended_wasted",
+               "n_issues", "structs_total", "structs_improved", "struct_saved_slots"]
+    parts = [strategy.select("contract_id", "n_vars", "n_packable"), cur_slots, cur_waste, estimate, issue_counts,
+             struct_summary.select("contract_id", "structs_total", "structs_improved", "struct_saved_slots")]
+    stacked = reduce(DataFrame.unionByName, [
+        p.select("contract_id", *[(F.col(c) if c in p.columns else F.lit(None)).cast("bigint").alias(c) for c in figures])
+        for p in parts])
+    sums = stacked.groupBy("contract_id").agg(*[F.sum(c).alias(c) for c in figures])
     r = (contracts.select("contract_id", "file", "source_unit", "contract_name", "source_ord", "contract_ord")
-         .join(strategy.select("contract_id", "n_vars", "n_packable", "strategy"), "contract_id", "left")
-         .join(cur_slots, "contract_id", "left")
-         .join(cur_waste, "contract_id", "left")
-         .join(estimate, "contract_id", "left")
-         .join(issue_counts, "contract_id", "left")
-         .join(struct_summary.drop("_struct_invalid", "_struct_invalid_size"), "contract_id", "left")
-         .join(errors, "contract_id", "left"))
-    zero = ["n_vars", "n_packable", "current_slots", "current_wasted", "recommended_slots", "recommended_wasted",
-            "n_issues", "structs_total", "structs_improved", "struct_saved_slots"]
-    r = r.fillna(0, zero).fillna({"strategy": "DP-bitmask (exact optimum)"})
+         .join(sums, "contract_id", "left").join(errors, "contract_id", "left").fillna(0, figures))
+    r = r.withColumn("strategy", F.when(F.col("n_packable") > MAX_EXACT_ITEMS, F.lit(STRATEGY_FFD))
+                     .otherwise(F.lit(STRATEGY_EXACT)))
     return r.select(
         "contract_id", "file", "source_unit", "contract_name", "source_ord", "contract_ord",
         F.when(F.col("error").isNull(), F.lit(STATUS_OK)).otherwise(F.lit(STATUS_ERROR)).alias("status"),

@@ -9,7 +9,7 @@ re-reads them instead of re-solving) and keeps the solver UDFs from running once
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotpack.functions import columns as C
@@ -93,7 +93,10 @@ class Analysis:
         return self._get("bins", lambda: self.all_bins().where(F.col("type_id") == "").drop("type_id"))
 
     def items(self) -> DataFrame:
-        return self._get("items", lambda: self._mat(packing.recommended_items(self.entries, self.bins())))
+        """Variables with their recommended slot; contracts that the packer rejects have none."""
+        rejected = self.stats().where("invalid_size").select("contract_id")
+        return self._get("items", lambda: self._mat(packing.recommended_items(
+            self.entries.join(rejected, "contract_id", "left_anti"), self.bins())))
 
     def recommended_slots(self) -> DataFrame:
         return self._get("rec_slots", lambda: packing.recommended_slots(self.entries, self.items()))
@@ -132,8 +135,3 @@ class Analysis:
     def bulk_rows(self, file_errors: DataFrame | None = None, profile: DataFrame | None = None) -> DataFrame:
         return report.bulk_rows(self.report(), file_errors, profile)
 
-
-def from_standin(spark: SparkSession, sf_dir: str, corpora=("order", "part"), materialized: bool = True) -> Analysis:
-    from slotpack.sources import standin
-    c = standin.Corpus(spark, sf_dir, corpora)
-    return Analysis(c.contracts, c.entries, c.structs, c.struct_fields, materialized)
