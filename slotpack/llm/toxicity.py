@@ -2,7 +2,7 @@
 
 A token is a word or one of its stems (its first STEMS bytes). A token's weight is its log-odds between toxic and clean labelled documents under a Dirichlet prior
 that grows with its document frequency in the whole corpus (Monroe et al. 2008); only weights that are
-significant count: a word scores the weight of itself or else of its longest weighted stem, and every
+large and significant count: a word scores the weight of itself or else of its longest weighted stem, and every
 word costs a small drift. A linear scan finds all maximal scoring segments of a text
 (Ruzzo and Tompa 1999). For clean text the best segment of n tokens follows an extreme-value law:
 E = K n exp(-lambda S) segments of score S are expected by chance, with lambda from the clean tokens'
@@ -40,6 +40,8 @@ SAMPLE = 50_000
 #: dealt to the classes by their size.
 FLAT, PRIOR = 1.0, 500.0
 LEAST_Z = 3.5
+#: Smaller weights (odds ratios below about 7) tell a language or topic with more toxic texts, not toxicity.
+LEAST_WEIGHT = 2.0
 #: Stems: first bytes of longer words, longest last.
 STEMS = (5, 7)
 #: Fewer toxic documents than this can't make a weight significant.
@@ -181,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     weight, spread = odds["toxic"] - odds["clean"], F.sqrt(1 / seen["toxic"] + 1 / seen["clean"])
     kept = (counts.where(F.col("toxic") >= LEAST_DOCUMENTS)
             .select("token", "clean", weight.alias("weight"), (weight / spread).alias("z"))
-            .where((F.col("z") >= LEAST_Z) & (F.col("weight") > 0)).toPandas())  # bounded by the sample
+            .where((F.col("z") >= LEAST_Z) & (F.col("weight") >= LEAST_WEIGHT)).toPandas())  # bounded by the sample
     if not len(kept):
         return Model(base)
     token = kept["token"].to_numpy().view(np.uint64)
