@@ -25,8 +25,20 @@ def test_csv_round_trip_and_lenient_scan(spark):
         fh.write(",".join(["short"] + ["1"] * 16) + "\n")            # 17 fields: dropped
         fh.write(",".join(["long"] + ["x"] * 17 + ["extra"]) + "\n")  # 19 fields: kept, ints -> 0
         fh.write("\n")
-    rows = bulk_csv.read_bulk_csv(spark, d + "/manual.csv").collect()
-    assert [r.file for r in rows] == ["long"] and rows[0].current_slots == 0
+        fh.write(",".join(["last empty"] + ["1"] * 16 + [""]) + "\n")  # 18 fields, last one empty: kept
+        fh.write('"quoted, short",' + ",".join(["1"] * 16) + "\n")      # 17 fields, one with a comma: dropped
+    rows = {r.file: r for r in bulk_csv.read_bulk_csv(spark, d + "/manual.csv").collect()}
+    assert set(rows) == {"long", "last empty"} and rows["long"].current_slots == 0
+    assert rows["last empty"].struct_saved_slots == 0 and rows["last empty"].structs_improved == 1
+
+
+def test_top_lists_on_rows_without_document_order(spark):
+    from slotpack.operators import corpus
+    row = ["real/a.sol", "C", "OK", "", 3, 2, 1, 10, 5, 5, "DP-bitmask (exact optimum)", 0, 0, 0, 0, 1, 1, 2]
+    df = spark.createDataFrame([tuple(row)], ", ".join(
+        f"{c} {'string' if isinstance(v, str) else 'bigint'}" for c, v in zip(BULK_COLUMNS, row)))
+    assert corpus.top_contracts_web(df).collect()[0].total_saved == 3
+    assert corpus.top_contracts_cli(df).collect()[0].contract == "C"
 
 
 def test_verified_payloads(spark):
@@ -41,6 +53,16 @@ def test_verified_payloads(spark):
     assert out["0x4"] == "A\nB\n"
 
 
+def test_payloads_with_outer_white_space_and_odd_entries(spark):
+    src = json.dumps({"sources": {"a.sol": {"content": "contract Foo {}"}, "n.sol": "text", "m.sol": 7, "k.sol": None}})
+    rows = [("0x1", "Foo", "{" + src + "}\r\n"), ("0x2", "Foo", "\n\t" + src), ("0x3", "Foo", "\ncontract Foo {}\n"),
+            ("0x4", None, None)]
+    df = spark.createDataFrame(rows, "address string, contract_name string, source_code string")
+    out = {r.address: r for r in files.verified_sources(df).collect()}
+    assert out["0x1"].solidity == out["0x2"].solidity == "contract Foo {}"
+    assert out["0x3"].solidity == "\ncontract Foo {}\n" and not out["0x3"].multi_file and out["0x4"].solidity is None
+
+
 SAMPLE = """// SPDX-License-Identifier: MIT
 pragma solidity 0.8.20;
 import "./Ownable.sol";
@@ -71,6 +93,54 @@ def test_profile_sample(spark):
     assert edges == [("Vault", "Ownable"), ("Vault", "Pausable")]
 
 
+ODD = """pragma solidity ^0.8.0;
+/* function ghost() {} */
+string constant NOTE = "function { in } a string";
+contract A is B(f(x), y), ERC20("My (x) Token", "TKN") {
+    enum Mode {
+        Idle,
+        Busy
+    }
+    mapping(address owner => mapping(uint256 => IERC20 token)) public held;
+    Mode public mode;
+    modifier only() { require(msg.sender != address(0), "}"); _; }
+    function run(uint a) external returns (uint) { if (a > 0) { return a; } Local public x; }
+    function open() external;
+    receive() external payable {}
+}
+"""
+
+
+def test_profile_of_odd_source(spark):
+    df = spark.createDataFrame([("a.sol", ODD)], "file string, text string")
+    p = profile.profile(df).collect()[0]
+    assert p.functions_removed == 4 and p.modified and "4 function bodies stripped" in p.warning
+    assert p.external_types == "IERC20"
+    assert {r.name for r in profile.declarations(df).collect()} == {"A", "Mode", "Idle", "Busy", "only"}
+    assert [r.parent for r in profile.inheritance_edges(df).orderBy("position").collect()] == ["B", "ERC20"]
+    plain = spark.createDataFrame([("f.sol", "contract F { function f() external {} }")], "file string, text string")
+    q = profile.profile(plain).collect()[0]
+    assert q.modified and q.functions_removed == 1 and q.warning
+
+
+def test_normalized_source(spark):
+    df = spark.createDataFrame([("v.sol", SAMPLE)], "file string, text string")
+    text = profile.normalized(df).collect()[0].normalized
+    assert "pragma solidity ^0.8.20;" in text and "@inheritdoc" not in text
+    assert '// removed: import "./Ownable.sol";' in text and "// removed: using SafeERC20 for IERC20;" in text
+    assert 'contract Vault /* removed: is Ownable, Pausable("x") */ {' in text
+
+
+def test_scan_paths_with_spaces(spark):
+    d = tempfile.mkdtemp(prefix="slotpack src ")
+    os.makedirs(d + "/real")
+    for name in ("a b.sol", "c+d%20e.sol"):
+        with open(f"{d}/real/{name}", "w") as fh:
+            fh.write("contract A {}")
+    for root in (d, "file:" + d, "file://" + d + "/"):
+        assert sorted(r.file for r in files.scan_sources(spark, root).collect()) == ["real/a b.sol", "real/c+d%20e.sol"]
+
+
 def test_scan_sources(spark):
     d = tempfile.mkdtemp(prefix="slotpack-src-")
     os.makedirs(d + "/real/sub")
