@@ -91,6 +91,17 @@ ORACLE_SQL: dict[str, str] = {
              g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
         FROM d JOIN g USING (norm)""",
+    "op6_arc_to_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+             k AS (SELECT html, max(page_id) AS kept, sha1(html) AS hex FROM p GROUP BY html),
+             d AS (SELECT html, kept, array_to_string(flatten(list_transform(range(0, 8), lambda i: list_transform(
+                       [15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                       ((CAST('0x' || substr(hex, 5 * i + 1, 5) AS BIGINT) >> b) & 31) + 1, 1)))), '') AS payload_digest
+                   FROM k)
+        SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> kept THEN kept END AS refers_to
+        FROM p JOIN d USING (html)""",
     "op7_chat_format": r"""
         WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, 0) AS turn, coalesce(role, '') AS role,
                           coalesce(text, '') AS text
