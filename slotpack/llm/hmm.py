@@ -47,7 +47,7 @@ BASE_SHARE, UNIFORM_SHARE = 0.02, 0.001
 STICKY = 0.9
 #: Tokens of the texts whose rare words are counted together, and that are recursed together.
 BLOCK = 4_000_000
-BATCH = 500_000
+BATCH = 250_000
 END = np.uint64(0x5BD1E9955BD1E995)
 END_CODE = -1
 
