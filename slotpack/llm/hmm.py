@@ -232,7 +232,7 @@ class Lattice:
 def forward(chain: Chain, lat: Lattice) -> tuple[np.ndarray, np.ndarray]:
     """(scaled forward probabilities, scale) of each token; a text's likelihood is the product of its scales."""
     emit = chain.emit[lat.classes]
-    alpha, scale = np.empty_like(emit), np.empty(len(emit))
+    alpha, scale, ones = np.empty_like(emit), np.empty(len(emit)), np.ones(STATES)
     for k in range(len(lat.begins) - 1):
         a, b = lat.begins[k], lat.begins[k + 1]
         if k:
@@ -240,8 +240,8 @@ def forward(chain: Chain, lat: Lattice) -> tuple[np.ndarray, np.ndarray]:
             now = (alpha[before:before + b - a] @ chain.step) * emit[a:b]
         else:
             now = chain.initial * emit[a:b]
-        total = now.sum(axis=1)
-        alpha[a:b] = now / total[:, None]
+        total = now @ ones
+        np.divide(now, total[:, None], out=alpha[a:b])
         scale[a:b] = total
     return alpha, scale
 
@@ -250,13 +250,15 @@ def expected(chain: Chain, lat: Lattice, classes: int) -> tuple[np.ndarray, np.n
     """Expected (initial, transition, emission) counts of a batch."""
     alpha, scale = forward(chain, lat)
     emit = chain.emit[lat.classes]
-    beta, moved = np.ones_like(alpha), np.zeros_like(chain.step)
+    ahead = emit / scale[:, None]  # turned into emission times backward probability, scaled
+    beta, back = np.ones_like(alpha), np.ascontiguousarray(chain.step.T)
     for k in range(len(lat.begins) - 2, 0, -1):
         a, b = lat.begins[k], lat.begins[k + 1]
         before = lat.begins[k - 1]
-        ahead = emit[a:b] * beta[a:b] / scale[a:b, None]
-        beta[before:before + b - a] = ahead @ chain.step.T
-        moved += alpha[before:before + b - a].T @ ahead
+        ahead[a:b] *= beta[a:b]
+        np.matmul(ahead[a:b], back, out=beta[before:before + b - a])
+    sizes, second = np.diff(lat.begins), lat.begins[1]
+    moved = alpha[np.arange(second, len(alpha)) - np.repeat(sizes[:-1], sizes[1:])].T @ ahead[second:]
     gamma = alpha * beta
     emitted = np.column_stack([np.bincount(lat.classes, gamma[:, s], classes) for s in range(STATES)])
     return gamma[:lat.begins[1]].sum(axis=0), moved * chain.step, emitted
