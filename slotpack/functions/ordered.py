@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotpack.session import materialize
+
 DEFAULT_CHUNK = 1024
 
 
@@ -70,3 +72,23 @@ def neighbours(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
     for c in cols:
         out = out.withColumn(f"prev_{c}", F.col(f"_prev.{c}")).withColumn(f"next_{c}", F.col(f"_next.{c}"))
     return out.drop("_ck", "_row", "_prev", "_next", "_before", "_after")
+
+
+def sequence(df: DataFrame, order: list[str | Column], out: str = "position", name: str = "sequence") -> DataFrame:
+    """Stored ``df`` with ``out``, its 0-based dense position in the whole table ordered by ``order``.
+
+    One range exchange deals the rows to tasks by ``order`` alone, so no group of rows, however large, is
+    one task's; a row's position is its place in its own sorted partition plus the rows of the partitions
+    before it (one count per partition is broadcast). Rows that tie in ``order`` go to one task: add a
+    column that tells them apart where many can tie. With a total order the positions do not depend on
+    the number of partitions. The range bounds come from a sample of ``order``: keep it to short values.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    placed = materialize(placed, name)
+    part = F.shiftright("_id", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = F.col("_id") - F.shiftleft("_part", 33)
+    return (placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+            .withColumn(out, (F.col("_off") + inside).cast("bigint")).drop("_id", "_part", "_off"))

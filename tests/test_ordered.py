@@ -38,3 +38,16 @@ def test_neighbours(df, size):
     want = {(r.k, r.ord): (r.p, r.n) for r in
             df.select("k", "ord", F.lag("label").over(w).alias("p"), F.lead("label").over(w).alias("n")).collect()}
     assert got == want
+
+
+def test_sequence_does_not_depend_on_partitions(spark):
+    rows = [("big", i % 7, i) for i in range(3000)] + [(f"k{i}", None, i) for i in range(200)] + [(None, 1, 5)]
+    df = spark.createDataFrame(rows, "k string, v int, i int")
+    order = [F.col("k").asc_nulls_last(), F.col("v").asc_nulls_first(), "i"]
+    want = sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[1] is not None, r[1] or 0, r[2]))
+    for parts in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = {r.p: (r.k, r.v, r.i) for r in ordered.sequence(df.repartition(5), order, "p").collect()}
+        assert got == dict(enumerate(want))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert ordered.sequence(df.limit(0), order, "p").count() == 0
