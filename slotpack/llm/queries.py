@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotpack.llm import arc_warc, bpe_count, chat, decontam, exact_dedup, hmm, near_dup, packing, quality, toxicity
+from slotpack.llm import (arc_warc, bpe_count, chat, decontam, exact_dedup, hmm, mixing, near_dup, packing, quality,
+                          toxicity, whitening)
 from slotpack.llm.common import read, remainder, vocabulary
 
 TOKEN_LIMIT = 2048
@@ -71,6 +72,16 @@ def op10_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("held_out", remainder(hmm.SPLIT_MODULUS) == hmm.HELD_OUT)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened leading components of every usable row of ``embeddings``."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every row of ``documents``."""
+    return mixing.mix(read(spark, sf_dir, "documents")).drop("source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_token_counts": op2_token_counts,
@@ -82,6 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
     "op10_hmm_score": op10_hmm_score,
+    "op11_whitening": op11_whitening,
+    "op13_mixing": op13_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
