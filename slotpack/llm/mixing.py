@@ -14,6 +14,9 @@ problem (at most 64 documents a source) is solved as a subset sum: whole documen
 nearest to what is open. Where that misses the target by more than LANDING_MISS, documents of the
 landing may be taken 0, 1 or 2 times.
 
+In a source of over LANDING documents, those with over 1 / HEAVY of its words (fewer than HEAVY) fly and
+land first, and the rate of the others makes up for what their landing took too much or too little.
+
 Blocks are cut by the position in (source, size, id) order, so a source with a third of all rows spreads
 over tasks, and results depend neither on partitions nor on the run (directions come from a generator
 seeded with the block).
@@ -30,7 +33,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotpack.functions.ordered import sequence
@@ -47,6 +50,8 @@ NEAR = 1e-9
 #: Relative miss of a source's target from which the landing may take documents 0, 1 or 2 times.
 LANDING_MISS = 0.001
 LANDING_STATES = 1 << 15
+LANDING = 40
+HEAVY = 32
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -139,6 +144,33 @@ def _flown(block: pa.Table) -> pa.Table:
     return block.set_column(block.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
 
 
+def _heavy(source: pa.Table) -> pa.Table:
+    """The heavy documents of one source with their copies as ``base``; the others can make up for the rest.
+
+    After the flight each open document is taken with its probability. Where the others cannot make up for
+    that (0 to MOST_COPIES times their words), all heavy documents are landed so that they can, or nearly.
+    """
+    source = source.sort_by([("size", "descending"), ("position", "ascending")])
+    size, p, base = (source[c].to_pylist() for c in ("size", "p", "base"))
+    target, whole = source["target"][0].as_py(), source["source_size"][0].as_py()
+    wanted, others = sum(s * (b + x) for s, b, x in zip(size, base, p, strict=True)), whole - sum(size)
+    rng = random.Random(zlib.crc32(source["skey"][0].as_py().encode("utf-8", "surrogatepass")))
+    flight(p, size, rng)
+    copies = [b + (rng.random() < x) for b, x in zip(base, p, strict=True)]
+
+    def miss(own: list[int]) -> float:
+        left = target - sum(s * c for s, c in zip(size, own, strict=True))
+        return max(-left, left - MOST_COPIES * others, 0.0)
+
+    if miss(copies) > 0:
+        every = [tuple(range(MOST_COPIES + 1))] * len(size)
+        copies = min([landing(size, goal, every)[0] for goal in (wanted, target, target - MOST_COPIES * others)], key=miss)
+    columns = {"base": pa.array(copies, pa.int32()), "p": pa.array([0.0] * len(size), pa.float64())}
+    for name, values in columns.items():
+        source = source.set_column(source.schema.get_field_index(name), name, values)
+    return source
+
+
 def _landed(source: pa.Table) -> pa.Table:
     """The open documents of one source with 0 or 1 as their ``p`` (-1 to 2 where that misses the target)."""
     source = source.sort_by([("size", "descending"), ("position", "ascending")])
@@ -150,16 +182,29 @@ def _landed(source: pa.Table) -> pa.Table:
     return source.set_column(source.schema.get_field_index("p"), "p", pa.array([float(c) for c in copies], pa.float64()))
 
 
+def _with_rate(rows: DataFrame, target: Column, words: Column) -> DataFrame:
+    """Certain copies, probability of one more and size class of every document."""
+    rate = F.least(F.when(words > 0, target / words).otherwise(0.0), F.lit(float(MOST_COPIES)))
+    return (rows.withColumn("rate", rate).withColumn("base", F.floor("rate").cast("int"))
+            .withColumn("p", F.col("rate") - F.col("base")).drop("rate")
+            .withColumn("class", F.floor(F.log2(F.col("size") + 1)).cast("int")))
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) of every row of ``docs``."""
     sizes = store(sized(docs), "sizes")
     aims = targets(sizes)
     order = ["skey", F.col("size").desc(), F.col("doc_id").asc_nulls_first(), F.rand(13)]
     placed = store(sequence(sizes.withColumn("salt", order.pop()), [*order, "salt"], "position").drop("salt"), "placed")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = lookup(placed, aims, ["skey"], size="n").withColumn("base", F.floor(rate).cast("int"))
-    rows = rows.withColumn("p", rate - F.col("base")).withColumn("class", F.floor(F.log2(F.col("size") + 1)).cast("int"))
-    schema, span, done = rows.schema, BLOCK, []
+    rows = store(_with_rate(lookup(placed, aims, ["skey"], size="n"), F.col("target"), F.col("source_size")), "rows")
+    large = (F.col("n") > LANDING) & (F.col("size") * HEAVY > F.col("source_size"))
+    heavy = store(rows.where(large).groupBy("skey").applyInArrow(_heavy, rows.schema), "heavy")
+    taken = store(heavy.groupBy("skey", "n").agg(F.sum("size").alias("heavy_size"), F.sum(F.col("size") * F.col("base")).alias(
+        "heavy_taken")).withColumnRenamed("n", "many"), "heavy-sums")
+    met = lookup(rows.where(~large), taken, ["skey"], "left", size="many")
+    target = F.greatest(F.col("target") - F.coalesce("heavy_taken", F.lit(0)), F.lit(0.0))
+    rows = _with_rate(met, target, F.col("source_size") - F.coalesce("heavy_size", F.lit(0))).select(rows.columns)
+    schema, span, done = rows.schema, BLOCK, [heavy]
     level, many = store(rows, "level"), placed.count()
     while True:
         settled = F.col("p").isin(0.0, 1.0)

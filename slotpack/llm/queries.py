@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotpack.llm import (arc_warc, bpe_count, chat, decontam, exact_dedup, hmm, mixing, near_dup, packing, quality,
-                          toxicity, whitening)
+                          repair, toxicity, whitening)
 from slotpack.llm.common import read, remainder, vocabulary
 
 TOKEN_LIMIT = 2048
@@ -77,6 +77,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation of the damaged ``conversations``."""
+    return repair.repaired(read(spark, sf_dir, "conversations"))
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every row of ``documents``."""
     return mixing.mix(read(spark, sf_dir, "documents")).drop("source")
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_hmm_score": op10_hmm_score,
     "op11_whitening": op11_whitening,
+    "op12_repair": op12_repair,
     "op13_mixing": op13_mixing,
 }
 
