@@ -7,12 +7,14 @@ with f(j) the best cost of a stream that is cut at j, and i running over cuts at
 before j, f(j) = min f(i) + window - (j - i) + penalty(j). The minimum of f(i) + i slides with j and
 is kept in a monotone queue, so the work is linear in the number of possible cuts.
 
-Each partition packs on its own and without a shuffle: its last, shorter window is split into powers
-of two, which need no padding. The stream is handled in blocks; what follows the last complete
-window of a block goes on into the next one.
-
-Defined results: null text counts as empty, whose only id is the end id; repeated rows and null ids
-are packed like any other row; an empty table gives no rows.
+Each partition packs on its own and without a shuffle. The stream is handled in blocks; the ids after
+the last cut of a block, up to one window of them, cost nothing: they go on into the next block, and at
+the end of the partition they are split into powers of two, which need no padding. So the last cut is the
+one with the least f among those from which one window reaches the end.
+
+Defined results: null text counts as empty, whose only id is the end id; a text of any length is cut into
+as many windows as it needs; repeated rows and null ids are packed like any other row; other columns are
+not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,9 +40,11 @@ BLOCK = 1 << 20
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def best_cuts(at: list[int], penalty: list[int], window: int) -> list[int]:
+def best_cuts(at: list[int], penalty: list[int], window: int, open_end: bool = False) -> list[int]:
     """Cuts of the cheapest path from 0 to at[-1]; ``at`` ascends with steps of at most ``window``.
 
+    With ``open_end`` what follows the last cut is free as long as it is at most one window, and at[-1] is
+    no cut unless the path that ends there is the cheapest; of equally cheap paths the longest counts.
     The queue holds candidates with ascending f(i) + i; candidates that fall out of the window leave
     in front, candidates that a newer one beats leave at the back.
     """
@@ -56,6 +60,9 @@ def best_cuts(at: list[int], penalty: list[int], window: int) -> list[int]:
             queue.pop()
         queue.append(j)
     cuts, j = [], len(at)
+    if open_end:
+        reach = [k for k in range(len(pos)) if pos[k] >= pos[-1] - window]
+        j = min(reversed(reach), key=lambda k: total[k] - pos[k])
     while j:
         cuts.append(pos[j])
         j = origin[j]
@@ -93,13 +100,10 @@ class Stream:
         cost[ends] = 0
         cost[0] = 255
         at = np.flatnonzero(cost < 255)
-        cuts = best_cuts(at.tolist(), cost[at].tolist(), self.window)
-        rest = cuts[-2] if len(cuts) > 1 else 0
+        cuts = best_cuts(at.tolist(), cost[at].tolist(), self.window, open_end=True)
+        rest = cuts[-1] if cuts else 0
         if last:
-            if len(ids) - rest < self.window:
-                cuts[-1:] = (rest + np.cumsum(powers(len(ids) - rest))).tolist()
-        else:
-            cuts.pop()
+            cuts += (rest + np.cumsum(powers(len(ids) - rest), dtype=np.int64)).tolist()
         yield from self._pieces(ids, ends, cuts)
         if last:
             self.docs, self.size = [], 0
@@ -123,11 +127,14 @@ class Stream:
 
     def _drop(self, ends: np.ndarray, rest: int) -> None:
         """Forget the ids before ``rest``."""
+        self.size = int(ends[-1]) - rest
         k = int(np.searchsorted(ends, rest, side="right"))
+        if k == len(self.docs):
+            self.docs = []
+            return
         doc_id, start, total, own = self.docs[k]
         gone = rest - (int(ends[k]) - len(own))
-        self.docs = [(doc_id, start + gone, total, own[gone:]), *self.docs[k + 1:]]
-        self.size = int(ends[-1]) - rest
+        self.docs = [(doc_id, start + gone, total, own[gone:].copy()), *self.docs[k + 1:]]
 
 
 def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:

@@ -29,6 +29,39 @@ def test_cuts_are_the_cheapest():
         assert cost == _cheapest(at, penalty, window)
 
 
+def test_open_end_cuts_are_the_cheapest():
+    r = random.Random(5)
+    for _ in range(300):
+        window = r.randint(3, 12)
+        at = list(itertools.accumulate(r.randint(1, window) for _ in range(r.randint(1, 25))))
+        penalty = [r.choice([0, 1, 4]) for _ in at]
+        cuts = packing.best_cuts(at, penalty, window, open_end=True)
+        best = {0: 0}
+        for j, p in zip(at, penalty, strict=True):
+            best[j] = min(c + window - (j - i) + p for i, c in best.items() if j - i <= window)
+        last = cuts[-1] if cuts else 0
+        assert at[-1] - last <= window
+        cost = sum(window - (b - a) for a, b in zip([0, *cuts], cuts)) + sum(penalty[at.index(c)] for c in cuts)
+        assert cost == best[last] == min(c for i, c in best.items() if at[-1] - i <= window)
+
+
+@pytest.mark.parametrize("many", [1, 700, 2047, 2048, 2049, 2330, 4108, 9000, 14107, 20000])
+def test_partitions_of_any_size_pad_little(many):
+    r = random.Random(many)
+    closing = np.zeros(1000, bool)
+    closing[:30] = True
+    stream, left, doc = packing.Stream(packing.WINDOW, 0, closing), many, 0
+    while left:
+        n = min(left, r.choice([1, 20, 300, 5000]))
+        stream.add(doc, np.array([r.randint(0, 999) for _ in range(n)], np.uint32))
+        left, doc = left - n, doc + 1
+    fill = {}
+    for piece in stream.take(last=True):
+        fill[piece[5]] = piece[6] + piece[2]
+    padding = sum(0 if n & (n - 1) == 0 else packing.WINDOW - n for n in fill.values())
+    assert sum(fill.values()) == many and padding <= 0.01 * many
+
+
 def _check(rows, pieces, window=packing.WINDOW):
     from tokenizers import Tokenizer
 
