@@ -7,8 +7,11 @@ pieces of about PIECE_BYTES, so memory follows the longest single text, not the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 PIECE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -23,16 +26,20 @@ _PLAIN[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(o
 NOT_ALNUM = _PLAIN
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
-_POWERS = np.ones(1, np.uint64)
+_FEW_POWERS = 1 << 16
 
 
 def _powers(n: int) -> np.ndarray:
-    """1, B, B^2, ... modulo 2^64, at least ``n`` of them."""
-    global _POWERS
-    if len(_POWERS) < n:
-        with np.errstate(over="ignore"):
-            _POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * n, _BASE, np.uint64)]), dtype=np.uint64)
-    return _POWERS
+    """1, B, B^2, ... modulo 2^64, at least ``n`` of them; only the first ones are kept between calls."""
+    if n <= _FEW_POWERS:
+        return _first_powers()
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE, np.uint64)]), dtype=np.uint64)
+
+
+@cache
+def _first_powers() -> np.ndarray:
+    return _powers(_FEW_POWERS + 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -54,6 +61,17 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def text_pieces(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """(place of the first, texts) of consecutive texts of about PIECE_BYTES, taken from Arrow piece by piece."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin = 0
+    while begin < len(column):
+        before = ends[begin - 1] if begin else 0
+        end = min(int(np.searchsorted(ends, before + PIECE_BYTES)) + 1, len(column))
+        yield begin, column.slice(begin, end - begin).to_pylist()
+        begin = end
+
+
 def _letters(texts: list[str | None], separators: np.ndarray, lower: bool):
     """(bytes of all words, the same weighted, their places in the word, first byte and size of words, bounds)."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
