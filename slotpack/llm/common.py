@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +45,20 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, name)
 
 
+def map_batches(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` whose worker hands memory back when a task ends, as it lives on for other stages."""
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return rows.mapInArrow(whole, schema)
+
+
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", size: str | None = None) -> DataFrame:
     """Join ``rows`` with ``table`` (at most one row per key) although a few keys may hold most rows.
 
