@@ -75,8 +75,6 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner
     else:
         hot = table.where(F.col(size) > least)
     found = hot.select(*keys).collect()  # fewer than HOT_SHARE
-    if not found:
-        return rows.join(table, keys, how)
     warm = F.broadcast(rows.sparkSession.createDataFrame(found, rows.select(*keys).schema))
     hot_rows = rows.join(warm, keys, "left_semi").join(F.broadcast(table.join(warm, keys, "left_semi")), keys, how)
     rest = rows.join(warm, keys, "left_anti").join(table, keys, how)
