@@ -28,7 +28,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from slotpack.llm.common import map_batches
 from slotpack.llm.tokens import tokens
+from slotpack.llm.words import text_pieces
 
 WINDOW = 2048
 END_ID = 1
@@ -151,14 +153,16 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
         end = np.array([end_id], np.uint32)
         for b in batches:
             own = b.column("doc_id").type
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                stream.add(doc_id, np.concatenate([encode.ids(text), end]))
-                if stream.size >= BLOCK:
-                    yield _table(list(stream.take(last=False)), own)
+            for begin, texts in text_pieces(b.column("text")):
+                names = b.column("doc_id").slice(begin, len(texts)).to_pylist()
+                for doc_id, text in zip(names, texts, strict=True):
+                    stream.add(doc_id, np.concatenate([encode.ids(text), end]))
+                    if stream.size >= BLOCK:
+                        yield _table(list(stream.take(last=False)), own)
         if stream.docs:
             yield _table(list(stream.take(last=True)), own)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return map_batches(docs.select("doc_id", "text"), run, schema)
 
 
 def _table(pieces: list[tuple], doc_id: pa.DataType) -> pa.RecordBatch:

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotpack.llm.common import remainder, store
-from slotpack.llm.words import _mix, pieces, word_hashes
+from slotpack.llm.common import MOST_BROADCAST_IDS, map_batches, remainder, store, with_ids
+from slotpack.llm.words import _mix, pieces, text_pieces, word_hashes
 
 SPLIT_MODULUS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
@@ -136,11 +136,12 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, x) with x the statistics of the whole text; one pass, no shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = statistics(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "x"])
+            for begin, texts in text_pieces(b.column("text")):
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").slice(begin, len(texts)), pa.array(list(statistics(texts)), pa.list_(pa.float64()))],
+                    ["doc_id", "x"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {_kind(docs)}, x array<double>")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {_kind(docs)}, x array<double>")
 
 
 def _kind(docs: DataFrame) -> str:
@@ -221,13 +222,21 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents with a score of at least ``threshold``; columns unchanged."""
-    stored = store(with_statistics(docs), "statistics")
+    """The documents with a score of at least ``threshold``; columns unchanged.
+
+    Statistics of the labelled documents are computed first, those of all documents in the pass that
+    filters them; with more labels than can be broadcast the first pass is over all documents as well.
+    """
+    own = docs.select("doc_id", "text")
+    if labels.count() <= MOST_BROADCAST_IDS:
+        own = with_ids(own, store(labels.select("doc_id").distinct(), "ids"), "left_semi")
+    stored = store(with_statistics(own), "statistics")
     model = fit(store(labelled(stored, labels, "quality").select("x", "label"), "training"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = model.score(statistics(b.column("text").to_pylist())) >= threshold
-            yield b.filter(pa.array(good))
+            for begin, texts in text_pieces(b.column("text")):
+                good = model.score(statistics(texts)) >= threshold
+                yield b.slice(begin, len(texts)).filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

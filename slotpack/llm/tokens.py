@@ -33,9 +33,8 @@ class ByteTokens:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self._whole = Tokenizer.from_file(path)
+        self._path, self._whole = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self._special = [t["content"] for t in spec["added_tokens"]]
@@ -52,6 +51,10 @@ class ByteTokens:
             return np.zeros(0, np.uint32)
         if _PLAIN.fullmatch(text) and not any(s in text for s in self._special):
             return np.array(self._fast.encode_ordinary(text), np.uint32)
+        if self._whole is None:  # opened for the first text that needs it
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self._path)
         return np.array(self._whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
