@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotpack.functions import columns as C
-from slotpack.operators import metrics, packing, report, structs
+from slotpack.operators import colocated, metrics, packing, report, structs
 from slotpack.session import materialize as write_table
 
 
@@ -22,6 +22,10 @@ def materialize(df: DataFrame) -> DataFrame:
     return write_table(df, "analysis")
 
 
+#: Large contracts that one broadcast may hold.
+MOST_BROADCAST_IDS = 1_000_000
+
+
 class Analysis:
     """All analysis tables of one layout corpus (contracts, entries, structs, struct_fields)."""
 
@@ -127,10 +131,26 @@ class Analysis:
     def errors(self) -> DataFrame:
         return self._get("errors", lambda: report.contract_errors(self.stats(), self.struct_summary()))
 
-    def report(self) -> DataFrame:
-        return self._get("report", lambda: self._mat(report.contract_report(
+    def chunked_report(self) -> DataFrame:
+        """The report of contracts of any size, from the chunked operators above."""
+        return report.contract_report(
             self.contracts, self.strategy(), self.current_slots(), self.current_waste(), self.estimate(),
-            self.issue_counts(), self.struct_summary(), self.errors())))
+            self.issue_counts(), self.struct_summary(), self.errors())
+
+    def report(self) -> DataFrame:
+        """Contracts of at most ``colocated.SMALL`` rows meet in one exchange, larger ones are chunked."""
+        def build():
+            tables = [self.contracts, self.entries, self.structs_df, self.fields]
+            large = write_table(colocated.large_contracts(*tables), "large")
+            many = large.count()
+            if not many:
+                return self._mat(colocated.report(colocated.stacked(*tables)))
+            side = F.broadcast(large) if many <= MOST_BROADCAST_IDS else large
+            small, rest = ([None if t is None else t.join(side, "contract_id", how) for t in tables]
+                           for how in ("left_anti", "left_semi"))
+            chunked = Analysis(rest[0], rest[1], rest[2], rest[3]).chunked_report()
+            return self._mat(colocated.report(colocated.stacked(*small)).unionByName(chunked))
+        return self._get("report", build)
 
     def bulk_rows(self, file_errors: DataFrame | None = None, profile: DataFrame | None = None) -> DataFrame:
         return report.bulk_rows(self.report(), file_errors, profile)
