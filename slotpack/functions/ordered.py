@@ -53,21 +53,20 @@ def neighbours(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
     """Attach ``prev_<c>`` / ``next_<c>`` (the adjacent rows in ``order`` within ``keys``).
 
     ``chunk`` must be non-decreasing in ``order``. Adjacent rows inside a chunk come from lag/lead over
-    the chunk. The first and last rows of each chunk are summarised in one row per chunk; a window over
-    these gives every chunk the last row before and the first row after it, which meets the chunk's
-    rows under the partitioning they already have.
+    the chunk. Only groups that span several chunks need more: their first and last rows, one row per
+    chunk, meet in a window that gives every chunk the last row before and the first row after it, which
+    joins the chunk's rows under the partitioning they already have.
     """
     d = df.withColumn("_ck", chunk)
     w = Window.partitionBy(*keys, "_ck").orderBy(*order)
-    d = (d.withColumn("_row", F.struct(*[F.col(c) for c in cols]))
-         .withColumn("_prev", F.lag("_row").over(w))
-         .withColumn("_next", F.lead("_row").over(w)))
-    ends = d.groupBy(*keys, "_ck").agg(
-        F.max(F.when(F.col("_prev").isNull(), F.col("_row"))).alias("_first"),
-        F.max(F.when(F.col("_next").isNull(), F.col("_row"))).alias("_last"))
+    row = F.struct(*[F.col(c) for c in cols])
+    placed = F.struct(*[F.col(c) for c in order], row.alias("_row"))
+    ends = (d.join(_spanning(d, keys), keys, "left_semi").groupBy(*keys, "_ck")
+            .agg(F.min(placed).alias("_first"), F.max(placed).alias("_last")))
     cw = Window.partitionBy(*keys).orderBy("_ck")
-    beside = ends.select(*keys, "_ck", F.lag("_last").over(cw).alias("_before"), F.lead("_first").over(cw).alias("_after"))
-    out = (d.join(beside, [*keys, "_ck"])
+    beside = ends.select(*keys, "_ck", F.lag("_last._row").over(cw).alias("_before"), F.lead("_first._row").over(cw).alias("_after"))
+    out = (d.withColumn("_row", row).withColumn("_prev", F.lag("_row").over(w)).withColumn("_next", F.lead("_row").over(w))
+           .join(beside, [*keys, "_ck"], "left")
            .withColumn("_prev", F.coalesce("_prev", "_before")).withColumn("_next", F.coalesce("_next", "_after")))
     for c in cols:
         out = out.withColumn(f"prev_{c}", F.col(f"_prev.{c}")).withColumn(f"next_{c}", F.col(f"_next.{c}"))

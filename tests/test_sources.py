@@ -4,6 +4,7 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from slotpack.operators import profile
@@ -188,3 +189,62 @@ def test_report_json_sink(spark):
     loan = back.where(F.col("contract_name") == "StructLoan").collect()[0]
     assert len(loan.recommended_layout) == 3 and loan.struct_optimizations[0].optimal_slots == 2
     assert {r.bucket for r in back.select("bucket").distinct().collect()} <= {0, 1, 2, 3}
+
+
+def _nested_source(depth):
+    body = "{ if (a) " * (depth - 1) + "{ x(); }" + " }" * (depth - 1)
+    return (f"contract C is A, B(f({'(' * depth}1{')' * depth})) {{\n    Token public t;\n"
+            f"    function f(uint a) external {body}\n    modifier m() {body}\n    constructor(uint a) A(a) {body}\n"
+            f"    function g() external;\n    Vault public v;\n    receive() external payable {{ }}\n}}\n")
+
+
+@pytest.mark.parametrize("depth", [1, 13, 200])
+def test_bodies_of_any_depth(spark, depth):
+    src = spark.createDataFrame([("a", _nested_source(depth))], "file string, text string")
+    p = profile.profile(src).first()
+    assert (p.functions_removed, p.types_replaced, p.external_types) == (5, 2, "Token, Vault")
+    assert [(r.child, r.parent) for r in profile.inheritance_edges(src).collect()] == [("C", "A"), ("C", "B")]
+    assert {r.name for r in profile.declarations(src).collect()} == {"C", "m"}
+
+
+def _by_scan(code):
+    """Number of bodies and the rest of the code, by one scan over the characters."""
+    import re
+    out, cursor, count = [], 0, 0
+    for _ in range(10 ** 6):
+        m = re.compile(r"\b(?:function|constructor|modifier|fallback|receive)\b").search(code, cursor)
+        if not m:
+            break
+        depth, at = 0, m.end()
+        while at < len(code) and not (depth == 0 and code[at] in "{;"):
+            depth += (code[at] == "(") - (code[at] == ")")
+            at += 1
+        if at == len(code):
+            break
+        end, level = at, 0
+        if code[at] == "{":
+            while end < len(code):
+                level += (code[end] == "{") - (code[end] == "}")
+                if level == 0:
+                    break
+                end += 1
+            if end == len(code):
+                break
+        whole = m.group() == "function"
+        if code[at] == ";" and not whole:
+            out.append(code[cursor:at + 1])
+        else:
+            out.append(code[cursor:m.start()] + " " if whole else code[cursor:at + 1] + "}")
+            count += 1
+        cursor = end + 1
+    return count, "".join(out) + code[cursor:]
+
+
+def test_bodies_equal_a_scan(spark):
+    import random
+    r = random.Random(8)
+    bits = ["function f", "constructor", "modifier m", "receive", "(", ")", "{", "}", ";", " x ", "functional", "uint public a;", "{ }"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 25))) for _ in range(400)]
+    src = spark.createDataFrame(list(enumerate(texts)), "file int, text string")
+    got = {x.file: (x._bodies, x._declared) for x in profile.staged(src).collect()}
+    assert all(got[k] == _by_scan(t) for k, t in enumerate(texts))
