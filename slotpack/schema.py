@@ -32,7 +32,7 @@ PARTIAL_RECOMMENDATION = "Check whether the small variables can be packed more e
 STATUS_OK, STATUS_ERROR, STATUS_EMPTY = "OK", "ERROR", "EMPTY"
 KIND_REAL, KIND_SYNTHETIC, KIND_OTHER = "real", "synthetic", "other"
 
-# Solidity names that are never external types (value types, keywords).
+# Solidity names that are never external types (value types, keywords).
 SOLIDITY_BASE_TYPES = ["bool", "address", "string", "bytes", "byte", "fixed", "ufixed",
                        "uint", "int", "mapping"]
 NON_TYPE_KEYWORDS = ["function", "constructor", "modifier", "event", "error", "struct", "enum",
@@ -51,39 +51,24 @@ def solidity_value_types() -> list[str]:
 # ---------------------------------------------------------------------------
 # Schemas
 # ---------------------------------------------------------------------------
-_MEMBER = T.StructType([
-    T.StructField("label", T.StringType()),
-    T.StructField("offset", T.IntegerType()),
-    T.StructField("slot", T.StringType()),
-    T.StructField("type", T.StringType()),
-])
-_TYPE_INFO = T.StructType([
-    T.StructField("encoding", T.StringType()),
-    T.StructField("label", T.StringType()),
-    T.StructField("numberOfBytes", T.StringType()),
-    T.StructField("members", T.ArrayType(_MEMBER)),
-])
-_STORAGE_ITEM = T.StructType([
-    T.StructField("astId", T.IntegerType()),
-    T.StructField("contract", T.StringType()),
-    T.StructField("label", T.StringType()),
-    T.StructField("offset", T.IntegerType()),
-    T.StructField("slot", T.StringType()),
-    T.StructField("type", T.StringType()),
-])
+def _texts(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
+# Compiler standard-JSON output, read with an explicit schema (never inferred). Scalars are read as text
+# and converted leniently; ``errors`` is parsed on its own, as its shape varies.
+LAYOUT_MEMBER = _texts("label", "offset", "slot", "type")
+LAYOUT_TYPE = T.StructType([*_texts("encoding", "label", "numberOfBytes").fields,
+                            T.StructField("members", T.ArrayType(LAYOUT_MEMBER))])
+LAYOUT_ITEM = _texts("astId", "contract", "label", "offset", "slot", "type")
 STORAGE_LAYOUT = T.StructType([
-    T.StructField("storage", T.ArrayType(_STORAGE_ITEM)),
-    T.StructField("types", T.MapType(T.StringType(), _TYPE_INFO)),
+    T.StructField("storage", T.ArrayType(LAYOUT_ITEM)),
+    T.StructField("types", T.MapType(T.StringType(), LAYOUT_TYPE)),
 ])
 CONTRACT_OUTPUT = T.StructType([T.StructField("storageLayout", STORAGE_LAYOUT)])
-
-# Compiler standard-JSON output, read with an explicit schema (never inferred).
 LAYOUT_DOCUMENT = T.StructType([
     T.StructField("contracts", T.MapType(T.StringType(), T.MapType(T.StringType(), CONTRACT_OUTPUT))),
-    T.StructField("errors", T.ArrayType(T.StructType([
-        T.StructField("severity", T.StringType()),
-        T.StructField("formattedMessage", T.StringType()),
-    ]))),
+    T.StructField("errors", T.StringType()),
 ])
 
 BULK_COLUMNS = ["file", "contract", "status", "error", "current_slots", "recommended_slots",
@@ -91,8 +76,3 @@ BULK_COLUMNS = ["file", "contract", "status", "error", "current_slots", "recomme
                 "imports_removed", "functions_removed", "modifiers_removed", "types_replaced",
                 "structs_total", "structs_improved", "struct_saved_slots"]
 BULK_INT_COLUMNS = [c for c in BULK_COLUMNS if c not in ("file", "contract", "status", "error", "strategy")]
-
-ENTRY_COLUMNS = ["contract_id", "ordinal", "ast_id", "contract", "label", "offset", "slot_text",
-                 "slot", "type_id", "number_of_bytes", "type_label", "encoding"]
-FIELD_COLUMNS = ["contract_id", "type_id", "ordinal", "label", "member_type_id", "type_label",
-                 "number_of_bytes", "encoding", "slot", "offset"]

@@ -302,14 +302,14 @@ def payloads(sources_df: DataFrame, contracts_df: DataFrame) -> DataFrame:
 
 #: Remainders (contract key modulo FAULT_MODULUS) of documents with a planted fault.
 FAULT_MODULUS = 40
-COMPILE_ERROR, CORRUPT, NO_CONTRACTS, NO_LAYOUT, WARNING, HUGE_SLOT = 7, 8, 9, 10, 11, 12
+COMPILE_ERROR, CORRUPT, NO_CONTRACTS, NO_LAYOUT, WARNING, HUGE_SLOT, TEXT_NUMBERS, OTHER_SHAPES = 7, 8, 9, 10, 11, 12, 13, 14
 
 
 def faulty_documents(docs: DataFrame, contracts_df: DataFrame) -> DataFrame:
     """Layout documents (one per contract, ``layouts/<contract_id>.json``) some of which are faulty.
 
     By the contract's key: a compile error, a text cut in half, no contracts, no layout, a mere warning,
-    and slot numbers beyond 64 bits.
+    slot numbers beyond 64 bits, and two harmless ones: numbers as text or beyond 32 bits, objects for lists.
     """
     d = docs.join(contracts_df.select(F.concat(F.lit("layouts/"), F.col("contract_id"), F.lit(".json")).alias("file"),
                                       "contract_id", "contract_name"), "file")
@@ -324,6 +324,10 @@ def faulty_documents(docs: DataFrame, contracts_df: DataFrame) -> DataFrame:
             .when(case == NO_LAYOUT, F.lit('{"contracts":{"A.sol":{"A":{}}},"errors":[]}'))
             .when(case == WARNING, F.replace("json", none, errors("warning")))
             .when(case == HUGE_SLOT, F.replace("json", F.lit('"slot":"0"'), F.lit('"slot":"99999999999999999999"')))
+            .when(case == TEXT_NUMBERS, F.regexp_replace(F.regexp_replace("json", r'"offset":(\d+)', '"offset":"$1"'),
+                                                         r'"astId":\d+', '"astId":99999999999'))
+            .when(case == OTHER_SHAPES, F.regexp_replace(F.replace("json", none, F.lit('"errors":{}')),
+                                                         r'"storage":\[(\{[^\[\]]*\})\]', '"storage":{"only":$1}'))
             .otherwise(F.col("json")))
     return d.select("file", text.alias("json"))
 
