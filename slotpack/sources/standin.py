@@ -309,7 +309,7 @@ def faulty_documents(docs: DataFrame, contracts_df: DataFrame) -> DataFrame:
     """Layout documents (one per contract, ``layouts/<contract_id>.json``) some of which are faulty.
 
     By the contract's key: a compile error, a text cut in half, no contracts, no layout, a mere warning,
-    slot numbers beyond 64 bits, and two harmless ones: numbers as text or beyond 32 bits, objects for lists.
+    slot numbers beyond 64 bits, and two harmless ones: numbers as text or beyond 32 bits, parts of other shapes.
     """
     d = docs.join(contracts_df.select(F.concat(F.lit("layouts/"), F.col("contract_id"), F.lit(".json")).alias("file"),
                                       "contract_id", "contract_name"), "file")
@@ -326,8 +326,8 @@ def faulty_documents(docs: DataFrame, contracts_df: DataFrame) -> DataFrame:
             .when(case == HUGE_SLOT, F.replace("json", F.lit('"slot":"0"'), F.lit('"slot":"99999999999999999999"')))
             .when(case == TEXT_NUMBERS, F.regexp_replace(F.regexp_replace("json", r'"offset":(\d+)', '"offset":"$1"'),
                                                          r'"astId":\d+', '"astId":99999999999'))
-            .when(case == OTHER_SHAPES, F.regexp_replace(F.replace("json", none, F.lit('"errors":{}')),
-                                                         r'"storage":\[(\{[^\[\]]*\})\]', '"storage":{"only":$1}'))
+            .when(case == OTHER_SHAPES, F.replace(F.replace("json", none, F.lit('"errors":{}')), F.lit('"types":{'),
+                                                  F.lit('"types":{"t_odd":7,')))
             .otherwise(F.col("json")))
     return d.select("file", text.alias("json"))
 
