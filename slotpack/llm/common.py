@@ -74,11 +74,13 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner
         hot = rows.where(known).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
     else:
         hot = table.where(F.col(size) > least)
-    found = hot.select(*keys).collect()  # fewer than HOT_SHARE
-    warm = F.broadcast(rows.sparkSession.createDataFrame(found, rows.select(*keys).schema))
-    hot_rows = rows.join(warm, keys, "left_semi").join(F.broadcast(table.join(warm, keys, "left_semi")), keys, how)
-    rest = rows.join(warm, keys, "left_anti").join(table, keys, how)
-    return hot_rows.unionByName(rest)
+    mark = F.xxhash64(*keys)
+    found = [r[0] for r in hot.select(mark).collect()]  # fewer than HOT_SHARE
+    if not found:
+        return rows.join(table, keys, how)
+    warm = mark.isin(found)  # a key that shares a hot key's hash may go with it: both sides deal it alike
+    hot_rows = rows.where(warm).join(F.broadcast(table.where(warm)), keys, how)
+    return hot_rows.unionByName(rows.where(~warm).join(table.where(~warm), keys, how))
 
 
 def with_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
