@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotpack.functions import nextfit
-from slotpack.operators import corpus, metrics, packing, profile, structs
+from slotpack.operators import corpus, metrics, packing, profile, structs, widepack
 from slotpack.plans.analysis import Analysis
 from slotpack.session import materialize, table_path
 from slotpack.sources import bulk_csv, files, layout_json, report_json, standin
@@ -107,6 +107,40 @@ def q_pack_ffd(spark, sf_dir):
     return r.select("contract_id", F.col("ordinal").cast("int").alias("ordinal"), "bin")
 
 
+#: Orders as shipments: units packed into containers of these capacities.
+CONTAINER, PALLET = 5000, 1000
+
+
+def _items(spark, sf_dir):
+    q = F.col("l_quantity").cast("bigint")
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", (q * 97).alias("volume"), (q * 131).alias("weight"),
+        ((F.col("l_partkey") * 37 + F.col("l_suppkey") * 11) % 600 + 100).cast("bigint").alias("share"))
+
+
+def q_pack_ffd_wide(spark, sf_dir):
+    """O26 in its general form: every line of a part packed first-fit decreasing into containers of 5000."""
+    out = widepack.pack(_items(spark, sf_dir), ["l_partkey"], ["l_orderkey", "l_linenumber"], "volume", CONTAINER, max_exact=0)
+    return out.select("l_partkey", "l_orderkey", "l_linenumber", "volume", "bin")
+
+
+def q_pack_exact_wide(spark, sf_dir):
+    """O25 in its general form: least number of pallets of 1000 for the lines of every order."""
+    out = widepack.pack(_items(spark, sf_dir), ["l_orderkey"], ["l_linenumber"], "share", PALLET)
+    return out.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_items"), F.count_distinct("bin").alias("bins"))
+
+
+def q_next_fit_wide(spark, sf_dir):
+    """O30/O36b in general form: container and offset of every line of a part, filled in order; some lines are larger."""
+    at, _ = widepack.next_fit(_items(spark, sf_dir), ["l_partkey"], ["l_orderkey", "l_linenumber", "l_quantity"], "weight", CONTAINER)
+    return at.select("l_partkey", "l_orderkey", "l_linenumber", "slot", "offset")
+
+
+def q_next_fit_wide_totals(spark, sf_dir):
+    """O30 in general form: containers and wasted room of every part, filled in order."""
+    return widepack.next_fit(_items(spark, sf_dir), ["l_partkey"], ["l_orderkey", "l_linenumber", "l_quantity"], "weight", CONTAINER)[1]
+
+
 def q_recommended_slots(spark, sf_dir):
     a = _analysis(spark, sf_dir)
     return a.recommended_slots().select("contract_id", "slot_index", "note_code", "used", "wasted", "slots_spanned",
@@ -333,6 +367,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pack_exact_count": q_pack_exact_count,
     "pack_exact_bins": q_pack_exact_bins,
     "pack_ffd": q_pack_ffd,
+    "pack_ffd_wide": q_pack_ffd_wide,
+    "pack_exact_wide": q_pack_exact_wide,
+    "next_fit_wide": q_next_fit_wide,
+    "next_fit_wide_totals": q_next_fit_wide_totals,
     "recommended_slots": q_recommended_slots,
     "recommended_order": q_recommended_order,
     "next_fit_estimate": q_next_fit_estimate,

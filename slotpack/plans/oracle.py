@@ -356,6 +356,7 @@ def oracle_sql() -> dict[str, str]:
                                  "SELECT contract_id, ordinal, CAST(min(ordinal) OVER (PARTITION BY contract_id, bin_no) "
                                  "AS INTEGER) AS group_first FROM XXB")
     q["pack_ffd"] = _with(bo, "SELECT contract_id, ordinal, CAST(bin AS BIGINT) AS bin FROM XFR")
+    q.update(_wide())
     rec = _recommended(b2)
     q["recommended_slots"] = _with(
         rec, "SELECT contract_id, slot_index, CASE WHEN cls = 'full' THEN 'full' WHEN cls = 'dynamic' THEN 'dynamic' "
@@ -530,6 +531,50 @@ def oracle_sql() -> dict[str, str]:
     return q
 
 
+def _wide() -> dict[str, str]:
+    """Packing of order lines with capacities of 5000 and 1000, item by item."""
+    room = "list_position(list_transform(x.bins, lambda v: v + o.b <= 5000), true)"
+    lines = ("W AS MATERIALIZED (SELECT l_partkey, l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) * {k} AS b, "
+             "row_number() OVER (PARTITION BY l_partkey ORDER BY {by}) AS r FROM lineitem)")
+    fit = _with([
+        lines.format(k=97, by="CAST(l_quantity AS BIGINT) DESC, l_orderkey, l_linenumber"),
+        "R(l_partkey, l_orderkey, l_linenumber, b, r, bin, bins) AS ("
+        "SELECT l_partkey, l_orderkey, l_linenumber, b, r, 0, [b] FROM W WHERE r = 1 UNION ALL "
+        f"SELECT o.l_partkey, o.l_orderkey, o.l_linenumber, o.b, o.r, coalesce({room} - 1, len(x.bins)), "
+        f"CASE WHEN {room} IS NULL THEN list_append(x.bins, o.b) ELSE list_transform(x.bins, lambda v, k: "
+        "CASE WHEN k = list_position(list_transform(x.bins, lambda v2: v2 + o.b <= 5000), true) THEN v + o.b ELSE v END) END "
+        "FROM R x JOIN W o ON o.l_partkey = x.l_partkey AND o.r = x.r + 1)"],
+        "SELECT l_partkey, l_orderkey, l_linenumber, b AS volume, CAST(bin AS BIGINT) AS bin FROM R")
+    # a state is bins * 4096 + room used in the last bin; the least one of each set of lines, one more line a round
+    exact = _with([
+        "I AS MATERIALIZED (SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS INTEGER) "
+        "AS i, CAST((l_partkey * 37 + l_suppkey * 11) % 600 + 100 AS BIGINT) AS b, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)",
+        "D(o, mask, n, v) AS (SELECT DISTINCT l_orderkey, 0::BIGINT, n, 1000::BIGINT FROM I UNION ALL "
+        "SELECT o, mask, n, min(v) FROM (SELECT d.o, d.mask | (1::BIGINT << i.i) AS mask, d.n, CASE WHEN d.v % 4096 + i.b <= 1000 "
+        "THEN d.v + i.b ELSE (d.v // 4096 + 1) * 4096 + i.b END AS v FROM D d JOIN I i ON i.l_orderkey = d.o "
+        "AND ((d.mask >> i.i) & 1) = 0) GROUP BY o, mask, n)"],
+        "SELECT o AS l_orderkey, CAST(n AS BIGINT) AS n_items, CAST(v // 4096 AS BIGINT) AS bins FROM D WHERE mask = (1::BIGINT << n) - 1")
+    closes = "x.u > 0 AND (o.b >= 5000 OR x.u + o.b > 5000)"
+    step = ("CASE WHEN {b} >= 5000 THEN {s} + (({b} + 4999) // 5000) WHEN {u} + {b} = 5000 THEN {s} + 1 ELSE {s} END, "
+            "CASE WHEN {b} >= 5000 OR {u} + {b} = 5000 THEN 0 ELSE {u} + {b} END")
+    s1, u1 = f"(x.s + CASE WHEN {closes} THEN 1 ELSE 0 END)", f"(CASE WHEN {closes} THEN 0 ELSE x.u END)"
+    waste = "CASE WHEN {b} >= 5000 THEN (5000 - {b} % 5000) % 5000 ELSE 0 END"
+    placed = [lines.format(k=131, by="l_orderkey, l_linenumber, l_quantity"),
+              "N(l_partkey, l_orderkey, l_linenumber, r, slot, off, s, u, w) AS (SELECT l_partkey, l_orderkey, l_linenumber, r, 0::BIGINT, "
+              f"0::BIGINT, {step.format(b='b', s='0::BIGINT', u='0::BIGINT')}, {waste.format(b='b')} FROM W WHERE r = 1 UNION ALL "
+              f"SELECT o.l_partkey, o.l_orderkey, o.l_linenumber, o.r, {s1}, {u1}, {step.format(b='o.b', s=s1, u=u1)}, "
+              f"x.w + CASE WHEN {closes} THEN 5000 - x.u ELSE 0 END + {waste.format(b='o.b')} "
+              "FROM N x JOIN W o ON o.l_partkey = x.l_partkey AND o.r = x.r + 1)"]
+    return {
+        "pack_ffd_wide": fit, "pack_exact_wide": exact,
+        "next_fit_wide": _with(placed, "SELECT l_partkey, l_orderkey, l_linenumber, CAST(slot AS BIGINT) AS slot, "
+                                       "CAST(off AS BIGINT) AS \"offset\" FROM N"),
+        "next_fit_wide_totals": _with(placed, "SELECT l_partkey, CAST(s + CASE WHEN u > 0 THEN 1 ELSE 0 END AS BIGINT) AS slots, "
+                                              "CAST(w + CASE WHEN u > 0 THEN 5000 - u ELSE 0 END AS BIGINT) AS wasted "
+                                              "FROM N QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY r DESC) = 1"),
+    }
+
+
 def _kind(f: str) -> str:
     return (f"(CASE WHEN starts_with(replace({f}, '\\', '/'), 'real/') THEN 'real' "
             f"WHEN starts_with(replace({f}, '\\', '/'), 'synthetic/') THEN 'synthetic' ELSE 'other' END)")
