@@ -115,7 +115,12 @@ def leaderboard(top: DataFrame, kind: str | None = None, page: int = 0, page_siz
 
 
 def savings_preview(report: DataFrame, struct_opt: DataFrame) -> DataFrame:
-    """Per source file: state savings + positive struct savings x instances, gas, verdict."""
+    """Per source file: state savings + positive struct savings x instances, gas, verdict.
+
+    A file fails as a whole when any of its contracts fails, as in the bulk rows.
+    """
+    failed = report.where(F.col("status") != STATUS_OK).select("file").distinct()
+    report = report.join(failed, "file", "left_anti")
     state = (report.where(F.col("status") == STATUS_OK)
              .groupBy("file").agg(F.sum(F.col("current_slots") - F.col("recommended_slots")).alias("_state")))
     ok_contracts = report.where(F.col("status") == STATUS_OK).select("contract_id", "file")

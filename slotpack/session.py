@@ -60,7 +60,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def table_path(spark: SparkSession, name: str) -> str:
     """A new path for a stored table of this application in the shared folder."""
-    return f"{shared_dir(spark)}/slotpack-tables/{name}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that holds this application's tables only."""
+    return f"{shared_dir(spark)}/slotpack-tables/{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
@@ -75,7 +80,7 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
 
 
 def drop_tables(spark: SparkSession) -> None:
-    """Delete every stored table of this library in the shared folder (call when no result needs them)."""
+    """Delete the stored tables of this application in the shared folder (call when no result needs them)."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/slotpack-tables")
+    path = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

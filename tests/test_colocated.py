@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slotpack.operators import colocated
+from slotpack.operators import corpus as corpus_ops
 from slotpack.plans.analysis import Analysis
 
 CONTRACTS = "contract_id string, file string, source_unit string, contract_name string, source_ord int, contract_ord int"
@@ -58,3 +59,12 @@ def test_one_exchange_of_rows(spark):
     rows = colocated.stacked(*corpus(spark, [3, 4]))
     plan = colocated.report(rows)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_savings_preview_leaves_out_failed_files(spark):
+    contracts, entries, structs, fields = corpus(spark, [3, 4, 5, 6, 9, 7, 8])
+    contracts = contracts.withColumn("file", F.when(F.col("contract_id").isin("c5", "c6"), "real/shared.sol").otherwise(F.col("file")))
+    a = Analysis(contracts, entries, structs, fields)
+    failed = {r.file for r in a.report().where("status = 'ERROR'").collect()}
+    files = {r.file for r in corpus_ops.savings_preview(a.report(), a.struct_optimization()).collect()}
+    assert "real/shared.sol" in failed and files == {r.file for r in contracts.collect()} - failed

@@ -34,7 +34,17 @@ def test_stored_tables_round_trip_and_are_dropped_together(spark):
     before = spark.sparkContext.getCheckpointDir()
     df = session.materialize(spark.range(5), "numbers")
     path = df.inputFiles()[0]
-    assert df.count() == 5 and "/slotpack-tables/numbers-" in path
+    assert df.count() == 5 and f"/slotpack-tables/{spark.sparkContext.applicationId}/numbers-" in path
     assert spark.sparkContext.getCheckpointDir() == before
     own = session.table_path(spark, "x")
     assert own.startswith(session.shared_dir(spark))
+
+
+def test_tables_of_other_applications_stay(spark, tmp_path):
+    import os
+    folder = session.shared_dir(spark)
+    other = os.path.join(folder.removeprefix("file:"), "slotpack-tables", "another-app")
+    os.makedirs(other, exist_ok=True)
+    session.materialize(spark.range(3), "numbers")
+    session.drop_tables(spark)
+    assert os.path.isdir(other) and not os.path.isdir(os.path.join(os.path.dirname(other), spark.sparkContext.applicationId))
