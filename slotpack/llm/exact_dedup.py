@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slotpack.llm import fuse
 from slotpack.llm.common import lookup, store, whole_text
@@ -115,10 +116,12 @@ def exact_groups(docs: DataFrame, is_snapshot: Column | None = None) -> DataFram
     """Per document: row, doc_id, digest, keep_id, size, kept.
 
     ``is_snapshot`` (over doc_id) tells rows of the immutable snapshot from the incoming batch; by
-    default the rows below the median doc_id are the snapshot.
+    default the rows below the median doc_id are the snapshot, of ids that are no numbers half by hash.
     """
     rows = digests(docs)
-    if is_snapshot is None:
+    if is_snapshot is None and not isinstance(rows.schema["doc_id"].dataType, T.NumericType):
+        is_snapshot = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    elif is_snapshot is None:
         middle = rows.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
         is_snapshot = F.coalesce(F.col("doc_id") < F.lit(middle), F.lit(False))
     found = merged(rows.where(is_snapshot), rows.where(~is_snapshot))

@@ -61,3 +61,10 @@ def test_digest_collisions_are_told_apart_by_bytes(spark):
 def test_empty_table(frame):
     assert exact_dedup.exact_groups(frame([])).collect() == []
     assert exact_dedup.keep_first(frame([])).collect() == []
+
+
+def test_ids_that_are_no_numbers(spark):
+    rows = [("b", "one  text"), ("a", "one text"), ("c", "other"), (None, "other"), ("d", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: (r.keep_id, r["size"], r.kept) for r in exact_dedup.exact_groups(docs).collect()}
+    assert got == {"a": ("a", 2, True), "b": ("a", 2, False), "c": ("c", 2, True), None: ("c", 2, False), "d": ("d", 1, True)}
