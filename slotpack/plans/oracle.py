@@ -39,7 +39,7 @@ def _contracts(corpora) -> str:
     parts = []
     if "order" in corpora:
         parts.append("SELECT CASE WHEN o_orderstatus = 'P' THEN 'pending/' ELSE 'real/' END || 'c' || "
-                     "CAST(o_custkey AS VARCHAR) || '.sol' AS file, 'Order' || CAST(o_orderkey AS VARCHAR) AS contract_name, "
+                     "CAST(o_custkey AS VARCHAR) || '-' || CAST(o_orderkey // 1000 AS VARCHAR) || '.sol' AS file, 'Order' || CAST(o_orderkey AS VARCHAR) AS contract_name, "
                      "'O' || CAST(o_orderkey AS VARCHAR) AS contract_id, o_orderkey AS k FROM orders")
     if "part" in corpora:
         parts.append("SELECT 'synthetic/' || replace(p_brand, '#', '_') || '-' || CAST(p_partkey // 100 AS VARCHAR) || '.sol' AS file, "

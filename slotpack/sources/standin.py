@@ -13,7 +13,7 @@ Mapping (fixed, also written in the oracle SQL):
 * ordinal = position under the unique key (l_orderkey, l_linenumber, l_partkey, l_suppkey,
   l_extendedprice) inside the contract;
 * slot/offset of variables and members: the compiler's sequential rule (``declared_layout``);
-* file: ``real/c<custkey>.sol`` (``pending/`` for status P) for orders, ``synthetic/<brand>-<partkey
+* file: ``real/c<custkey>-<orderkey div 1000>.sol`` (``pending/`` for status P) for orders, ``synthetic/<brand>-<partkey
   div 100>.sol`` for parts (a bounded number of contracts per file).
 """
 
@@ -137,6 +137,10 @@ def structs(fields: DataFrame) -> DataFrame:
     )
 
 
+#: Order keys of one file: a file holds at most so many contracts, whatever one customer has.
+FILE_ORDERS = 1000
+
+
 def contracts(spark: SparkSession, sf_dir: str, corpora=("order", "part")) -> DataFrame:
     """``contracts`` table: file, source unit, name and order of every stand-in contract."""
     outs = []
@@ -144,7 +148,8 @@ def contracts(spark: SparkSession, sf_dir: str, corpora=("order", "part")) -> Da
         o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
         outs.append(o.select(
             F.concat(F.when(F.col("o_orderstatus") == "P", F.lit("pending/")).otherwise(F.lit("real/")),
-                     F.lit("c"), F.col("o_custkey").cast("string"), F.lit(".sol")).alias("file"),
+                     F.lit("c"), F.col("o_custkey").cast("string"), F.lit("-"),
+                     F.expr(f"o_orderkey div {FILE_ORDERS}").cast("string"), F.lit(".sol")).alias("file"),
             F.concat(F.lit("Order"), F.col("o_orderkey").cast("string")).alias("contract_name"),
             F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("contract_id"),
             F.col("o_orderkey").alias("_k"),
