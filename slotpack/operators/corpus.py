@@ -66,6 +66,11 @@ def dataset_report(rows: DataFrame) -> DataFrame:
         _sum_if(ok, "struct_saved_slots").alias("struct_saved_slots"),
         F.count_if(ok & (F.col("_total") > 0)).cast("bigint").alias("winners"),
     )
+    return _with_shares(agg)
+
+
+def _with_shares(agg: DataFrame) -> DataFrame:
+    """Share of winners and gas."""
     return agg.withColumn(
         "winners_pct",
         F.when(F.col("contracts_ok") == 0, F.lit(0.0))
@@ -73,6 +78,78 @@ def dataset_report(rows: DataFrame) -> DataFrame:
     ).withColumn("gas_saved", C.gas("total_saved_slots"))
 
 
+#: What partial sums add up, by kind, strategy tag and status.
+SUMS = ["rows", "saved_slots", "saved_wasted", "structs_total", "structs_improved", "struct_saved_slots", "winners", "winners_total"]
+DETAIL, WHOLE = 0, 7  # grouping ids of the two sets of partial sums
+
+
+def _tagged(rows: DataFrame) -> DataFrame:
+    total = F.col("saved_slots") + F.col("struct_saved_slots")
+    tag = F.when(F.col("strategy").startswith("DP"), F.lit("exact")).when(F.col("strategy").startswith("First"), F.lit("ffd")).otherwise("")
+    return rows.select(
+        C.kind_of("file").alias("kind"), tag.alias("tag"), "status", "file", F.lit(1).alias("rows"), "saved_slots", "saved_wasted",
+        "structs_total", "structs_improved", "struct_saved_slots",
+        ((F.col("saved_slots") > 0) | (F.col("struct_saved_slots") > 0)).cast("int").alias("winners"),
+        (total > 0).cast("int").alias("winners_total"))
+
+
+def _added(columns: list[str]) -> list[F.Column]:
+    return [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in columns]
+
+
+def partial_sums(rows: DataFrame) -> DataFrame:
+    """Mergeable sums of some bulk rows: one row per (kind, tag, status), and one with the number of files.
+
+    Partial sums of batches that share no file add up to those of all their rows, so the reports below can
+    be kept current from a few rows per batch. ``level`` is the grouping id: DETAIL or WHOLE.
+    """
+    keys = ["kind", "tag", "status"]
+    sums = _tagged(rows).groupingSets([[F.col(k) for k in keys], []], *keys).agg(
+        F.grouping_id().cast("int").alias("level"), F.count_distinct("file").cast("bigint").alias("files"), *_added(SUMS))
+    return sums.select("level", *keys, "files", *SUMS)
+
+
+def bulk_summary_of(sums: DataFrame) -> DataFrame:
+    """O38 from partial sums."""
+    d, ok = F.col("level") == DETAIL, F.col("status") == STATUS_OK
+    return sums.agg(
+        _sum_if(F.col("level") == WHOLE, "files").alias("files"),
+        _sum_if(d & (F.col("status") == STATUS_ERROR), "rows").alias("file_errors"),
+        _sum_if(d & ok, "rows").alias("contracts_ok"), _sum_if(d & (F.col("status") == STATUS_ERROR), "rows").alias("contracts_error"),
+        _sum_if(d & (F.col("status") == STATUS_EMPTY), "rows").alias("contracts_empty"),
+        _sum_if(d & ok & (F.col("tag") == "exact"), "rows").alias("strategy_exact"),
+        _sum_if(d & ok & (F.col("tag") == "ffd"), "rows").alias("strategy_ffd"),
+        _sum_if(d & ok, "saved_slots").alias("saved_slots"), _sum_if(d & ok, "saved_wasted").alias("saved_bytes"),
+        *[_sum_if(d & ok, c).alias(c) for c in ("structs_total", "structs_improved", "struct_saved_slots", "winners")])
+
+
+def dataset_report_of(sums: DataFrame) -> DataFrame:
+    """O40 and O43 from partial sums."""
+    d = F.col("level") == DETAIL
+    ok, kind, ffd = d & (F.col("status") == STATUS_OK), F.col("kind"), F.col("tag") == "ffd"
+    s = sums.withColumn("total", F.col("saved_slots") + F.col("struct_saved_slots"))
+    return _with_shares(s.agg(
+        _sum_if(d, "rows").alias("contracts_total"), _sum_if(ok, "rows").alias("contracts_ok"),
+        _sum_if(d & (F.col("status") == STATUS_ERROR), "rows").alias("contracts_error"),
+        _sum_if(ok & (kind == "real"), "rows").alias("real_count"),
+        _sum_if(ok & (kind == "synthetic"), "rows").alias("synthetic_count"),
+        _sum_if(ok, "total").alias("total_saved_slots"), _sum_if(ok, "saved_wasted").alias("total_saved_bytes"),
+        _sum_if(ok & (kind == "real"), "total").alias("real_saved_slots"),
+        _sum_if(ok & (kind == "synthetic"), "total").alias("synthetic_saved_slots"),
+        _sum_if(ok & ~ffd, "rows").alias("strategy_exact"), _sum_if(ok & ffd, "rows").alias("strategy_ffd"),
+        _sum_if(ok, "structs_improved").alias("structs_improved"),
+        _sum_if(ok, "struct_saved_slots").alias("struct_saved_slots"), _sum_if(ok, "winners_total").alias("winners")))
+
+
+def savings_cube(sums: DataFrame) -> DataFrame:
+    """Sums by kind, by strategy, by status, by kind and status, and of all rows; ``all`` where a column is not split."""
+    keys = ["kind", "tag", "status"]
+    k, t, s = (F.col(c) for c in keys)
+    cube = sums.where(F.col("level") == DETAIL).groupingSets([[k], [t], [s], [k, s], []], *keys).agg(
+        *[F.grouping(c).alias(f"_{c}") for c in keys], *_added(SUMS))
+    return cube.select(*[F.when(F.col(f"_{c}") == 1, F.lit("all")).otherwise(F.col(c)).alias(c) for c in keys], *SUMS)
+
+
 def _place(rows: DataFrame) -> str:
     """Last key of a top list: document order, or the name for rows read from a CSV report."""
     return "contract_ord" if "contract_ord" in rows.columns else "contract"

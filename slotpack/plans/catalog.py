@@ -202,6 +202,22 @@ def q_top_contracts_cli(spark, sf_dir):
     return corpus.top_contracts_cli(_analysis(spark, sf_dir).bulk_rows())
 
 
+def q_savings_cube(spark, sf_dir):
+    """O38/O40 by grouping sets, from the partial sums of four batches of files."""
+    rows = materialize(_analysis(spark, sf_dir).bulk_rows(), "rows")
+    batch = F.pmod(F.xxhash64("file"), F.lit(4))
+    sums = [corpus.partial_sums(rows.where(batch == k)) for k in range(4)]
+    return corpus.savings_cube(sums[0].unionByName(sums[1]).unionByName(sums[2]).unionByName(sums[3]))
+
+
+def q_merged_dataset_report(spark, sf_dir):
+    """O40/O43 from the partial sums of four batches of files."""
+    rows = materialize(_analysis(spark, sf_dir).bulk_rows(), "rows")
+    batch = F.pmod(F.xxhash64("file"), F.lit(4))
+    sums = [corpus.partial_sums(rows.where(batch == k)) for k in range(4)]
+    return corpus.dataset_report_of(sums[0].unionByName(sums[1]).unionByName(sums[2]).unionByName(sums[3]))
+
+
 def q_savings_preview(spark, sf_dir):
     a = _analysis(spark, sf_dir)
     return corpus.savings_preview(a.report(), a.struct_optimization())
@@ -382,6 +398,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_contracts": q_top_contracts,
     "top_contracts_cli": q_top_contracts_cli,
     "savings_preview": q_savings_preview,
+    "savings_cube": q_savings_cube,
+    "merged_dataset_report": q_merged_dataset_report,
     "leaderboard": q_leaderboard,
     "first_contracts": q_first_contracts,
     "layout_ingest": q_layout_ingest,

@@ -439,6 +439,16 @@ def oracle_sql() -> dict[str, str]:
         "WHERE status = 'OK' AND saved_slots + struct_saved_slots > 0 "
         "ORDER BY total_saved DESC, saved_wasted DESC, file, contract_ord LIMIT 30) WHERE kind = 'synthetic' "
         "ORDER BY saved_slots DESC, total_saved DESC, saved_bytes DESC, file, contract LIMIT 15 OFFSET 0"))
+    q["merged_dataset_report"] = q["dataset_report"]
+    part = ", ".join(f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}" for c in (
+        "saved_slots", "saved_wasted", "structs_total", "structs_improved", "struct_saved_slots"))
+    split = ", ".join(f"CASE WHEN grouping({c}) = 1 THEN 'all' ELSE {c} END AS {c}" for c in ("kind", "tag", "status"))
+    q["savings_cube"] = _with(rep, (
+        f"SELECT {split}, CAST(count(*) AS BIGINT) AS rows, {part}, "
+        "CAST(count(*) FILTER (WHERE saved_slots > 0 OR struct_saved_slots > 0) AS BIGINT) AS winners, "
+        "CAST(count(*) FILTER (WHERE saved_slots + struct_saved_slots > 0) AS BIGINT) AS winners_total "
+        f"FROM (SELECT *, {kind} AS kind, CASE WHEN starts_with(strategy, 'DP') THEN 'exact' WHEN starts_with(strategy, 'First') "
+        "THEN 'ffd' ELSE '' END AS tag FROM BR) GROUP BY GROUPING SETS ((kind), (tag), (status), (kind, status), ())"))
     q["savings_preview"] = _with(rep, (
         "SELECT s.file, CAST(s.st + coalesce(t.sv, 0) AS BIGINT) AS slots_saved, "
         "CAST((s.st + coalesce(t.sv, 0)) * 20000 AS BIGINT) AS gas_saved, (s.st + coalesce(t.sv, 0)) <= 0 AS already_optimal "
