@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from slotpack.session import materialize
 
 DEFAULT_CHUNK = 1024
+#: Rows of a group that one window may hold; larger groups are put in order by a range exchange.
+MOST_ROWS = 4096
+#: Keys of large groups that one broadcast may hold.
+MOST_BROADCAST_KEYS = 1_000_000
 
 
 def chunk_of(col: str | Column, size: int = DEFAULT_CHUNK) -> Column:
@@ -91,3 +95,50 @@ def sequence(df: DataFrame, order: list[str | Column], out: str = "position", na
     inside = F.col("_id") - F.shiftleft("_part", 33)
     return (placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
             .withColumn(out, (F.col("_off") + inside).cast("bigint")).drop("_id", "_part", "_off"))
+
+
+def split(df: DataFrame, keys: list[str], most: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of the groups of at most ``most`` rows, and those of the larger groups (None without any)."""
+    most = MOST_ROWS if most is None else most
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+    large = materialize(counts.select(*keys), "large")
+    many = large.count()
+    if not many:
+        return df, None
+    side = F.broadcast(large) if many <= MOST_BROADCAST_KEYS else large
+    return df.join(side, keys, "left_anti"), df.join(side, keys, "left_semi")
+
+
+def group_position(df: DataFrame, keys: list[str], order: list[str], out: str = "position") -> DataFrame:
+    """0-based position of each row inside ``keys`` ordered by ``order``, whatever the values of ``order`` repeat.
+
+    Groups of at most MOST_ROWS rows are numbered by a window; larger ones by their place in the whole
+    sorted table less that of their first row, so a group of any size, tied or not, spreads over tasks
+    as long as ``order`` tells its rows apart.
+    """
+    small, large = split(df, keys)
+    window = Window.partitionBy(*keys).orderBy(*order)
+    placed = small.withColumn(out, (F.row_number().over(window) - 1).cast("bigint"))
+    if large is None:
+        return placed
+    whole = materialize(sequence(large, [*keys, *order], "_p"), "placed")
+    first = whole.groupBy(*keys).agg(F.min("_p").alias("_first"))
+    return placed.unionByName(whole.join(first, keys).withColumn(out, F.col("_p") - F.col("_first")).drop("_p", "_first"))
+
+
+def group_neighbours(df: DataFrame, keys: list[str], order: list[str], cols: list[str]) -> DataFrame:
+    """``prev_<c>`` / ``next_<c>`` of the adjacent rows within ``keys``, whatever the values of ``order`` repeat.
+
+    In groups of over MOST_ROWS rows a row meets the ones beside it by its place in the whole sorted table.
+    """
+    small, large = split(df, keys)
+    window, row = Window.partitionBy(*keys).orderBy(*order), F.struct(*cols)
+    out = small.withColumn("_prev", F.lag(row).over(window)).withColumn("_next", F.lead(row).over(window))
+    if large is not None:
+        whole = materialize(sequence(large, [*keys, *order], "_p"), "placed")
+        beside = [whole.select(*keys, (F.col("_p") + by).alias("_p"), row.alias(name)) for by, name in ((1, "_prev"), (-1, "_next"))]
+        met = whole.join(beside[0], [*keys, "_p"], "left").join(beside[1], [*keys, "_p"], "left").drop("_p")
+        out = out.unionByName(met.select(*out.columns))
+    for c in cols:
+        out = out.withColumn(f"prev_{c}", F.col(f"_prev.{c}")).withColumn(f"next_{c}", F.col(f"_next.{c}"))
+    return out.drop("_prev", "_next")

@@ -1,8 +1,8 @@
 """Current-layout metrics and issue detection.
 
 All per-contract figures are partial/final hash aggregations, so a contract with very many
-variables is combined map-side before the shuffle. Order-dependent detection (O23) uses the
-chunked neighbour helper.
+variables is combined map-side before the shuffle. Order-dependent detection (O23) takes the
+neighbours of large contracts from one range exchange.
 """
 
 from __future__ import annotations
@@ -20,8 +20,6 @@ PARTIAL_MESSAGE = "Slot %s uses only %d of 32 bytes."
 ORDER_MESSAGE = "The large type '%s' separates two small variables that could be grouped more efficiently."
 ORDER_RECOMMENDATION = "Consider reordering variables %s, %s before %s."
 
-SLOT_CHUNK = 1024
-
 
 def current_slots(entries: DataFrame, contracts: DataFrame | None = None) -> DataFrame:
     """Max over entries of slot + slots_needed(bytes); contracts without entries get 0."""
@@ -87,8 +85,7 @@ def suboptimal_order(entries: DataFrame) -> DataFrame:
     """A >= 32-byte variable whose neighbours in (slot, offset) order are both packable."""
     d = entries.select("contract_id", "slot", "offset", "ordinal", "label", "number_of_bytes",
                        C.is_packable("encoding", "number_of_bytes").alias("packable"))
-    d = ordered.neighbours(d, ["contract_id"], ["slot", "offset", "ordinal"],
-                           ordered.chunk_of("slot", SLOT_CHUNK), ["label", "packable"])
+    d = ordered.group_neighbours(d, ["contract_id"], ["slot", "offset", "ordinal"], ["label", "packable"])
     hit = d.where((F.col("number_of_bytes") >= SLOT_SIZE) & F.col("prev_packable") & F.col("next_packable"))
     return hit.select(
         "contract_id",

@@ -16,7 +16,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -161,8 +161,7 @@ def recommended_items(entries: DataFrame, binned: DataFrame | None = None) -> Da
     """Every variable with its recommended ``slot_index``, class, bin and note_code.
 
     Slots are the full variables (by position), then the packed groups (by first member), then the
-    dynamic variables (by position). A variable's slot is named by (class, first member): slots are
-    ranked inside chunks of first members, and a chunk is offset by the slots of the chunks before it.
+    dynamic variables (by position). Slots are numbered as rows of their own, one per slot.
     Contracts with a variable that the packer rejects are rows of the report's errors; their variables
     without a bin have no slot and are left out here.
     """
@@ -170,19 +169,15 @@ def recommended_items(entries: DataFrame, binned: DataFrame | None = None) -> Da
     binned = binned if binned is not None else contract_bins(entries)
     c = (classify(entries).join(binned.select(*keys, "ordinal", "bin"), [*keys, "ordinal"], "left")
          .where((F.col("cls") != "packable") | F.col("bin").isNotNull()))
-    slot = Window.partitionBy(*keys, "cls_rank", F.coalesce("bin", F.col("ordinal").cast("bigint")))
-    c = c.withColumn("_g", F.min("ordinal").over(slot)).withColumn("_used", F.sum("number_of_bytes").over(slot))
-    c = c.withColumn("_ck", ordered.chunk_of("_g", ORDER_CHUNK))
-    chunk = [*keys, "cls_rank", "_ck"]
-    c = c.withColumn("_r", F.dense_rank().over(Window.partitionBy(*chunk).orderBy("_g")).cast("bigint") - 1)
-    slots = c.groupBy(*chunk).agg((F.max("_r") + 1).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("cls_rank", "_ck").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slots.select(*chunk, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    # one row per slot: its first member and used bytes are combined before they move
+    c = c.withColumn("_bin", F.coalesce("bin", F.col("ordinal").cast("bigint")))
+    slot = [*keys, "cls_rank", "_bin"]
+    slots = c.groupBy(*slot).agg(F.min("ordinal").alias("_g"), F.sum("number_of_bytes").alias("_used"))
+    numbered = ordered.group_position(slots, keys, ["cls_rank", "_g"], "slot_index")
     grouped = F.when(F.col("_used") == SLOT_SIZE, F.lit("group_full")).otherwise(F.lit("group_partial"))
-    return (c.join(offsets, chunk)
-            .withColumn("slot_index", (F.col("_off") + F.col("_r")).cast("bigint"))
+    return (c.join(numbered, slot)
             .withColumn("note_code", F.when(F.col("cls") == "packable", grouped).otherwise(F.col("cls")))
-            .drop("_g", "_used", "_ck", "_r", "_off"))
+            .drop("_g", "_used", "_bin"))
 
 
 def recommended_slots(entries: DataFrame, items: DataFrame | None = None) -> DataFrame:
@@ -211,8 +206,7 @@ def recommended_order(entries: DataFrame, items: DataFrame | None = None) -> Dat
     items = items if items is not None else recommended_items(entries)
     d = items.select("contract_id", "slot_index", "ordinal", "label", "type_label", "number_of_bytes",
                      "encoding", "note_code", "cls")
-    return ordered.dense_position(d, ["contract_id"], ["slot_index", "ordinal"],
-                                  ordered.chunk_of("slot_index", ORDER_CHUNK), "position")
+    return ordered.group_position(d, ["contract_id"], ["slot_index", "ordinal"], "position")
 
 
 def next_fit_estimate(entries: DataFrame, contracts: DataFrame | None = None,

@@ -51,3 +51,17 @@ def test_sequence_does_not_depend_on_partitions(spark):
         assert got == dict(enumerate(want))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert ordered.sequence(df.limit(0), order, "p").count() == 0
+
+
+@pytest.mark.parametrize("most", [4096, 30])
+def test_positions_and_neighbours_of_tied_groups(spark, monkeypatch, most):
+    """One group has all its rows in one slot; it spreads over tasks, whatever the values repeat."""
+    monkeypatch.setattr(ordered, "MOST_ROWS", most)
+    rows = [("big", 0, 0, i, f"b{i}") for i in range(3000)] + [(f"k{g}", i // 3, i % 2, i, f"v{i}") for g in range(20) for i in range(g)]
+    d = spark.createDataFrame(rows, "k string, slot bigint, off int, ord int, label string").repartition(6)
+    w = Window.partitionBy("k").orderBy("slot", "off", "ord")
+    want = d.select("k", "ord", (F.row_number().over(w) - 1).alias("p"), F.lag("label").over(w).alias("a"), F.lead("label").over(w).alias("z"))
+    placed = {(r.k, r.ord): r.position for r in ordered.group_position(d, ["k"], ["slot", "off", "ord"]).collect()}
+    beside = {(r.k, r.ord): (r.prev_label, r.next_label) for r in ordered.group_neighbours(d, ["k"], ["slot", "off", "ord"], ["label"]).collect()}
+    assert placed == {(r.k, r.ord): r.p for r in want.collect()}
+    assert beside == {(r.k, r.ord): (r.a, r.z) for r in want.collect()}
