@@ -232,7 +232,7 @@ def q_leaderboard(spark, sf_dir):
 def _ingested(spark, sf_dir):
     c = _corpus(spark, sf_dir)
     docs = layout_json.to_documents(c.contracts, c.entries, c.struct_fields, c.structs)
-    return layout_json.layout_tables(layout_json.parse_documents(docs))
+    return layout_json.layout_tables(layout_json.parse_documents(docs), keep=lambda d: materialize(d, "layouts"))
 
 
 def q_first_contracts(spark, sf_dir):
