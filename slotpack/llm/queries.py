@@ -137,4 +137,52 @@ ORACLE_SQL: dict[str, str] = {
                string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY position) AS rendered
         FROM p JOIN g USING (conv_id) WHERE whole NOT IN (SELECT prefix FROM q)
         GROUP BY conv_id, CAST(floor(position / 256) AS BIGINT), n_turns, copies""",
+    "op12_repair": r"""
+        WITH RECURSIVE s AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                          string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '') AS k
+                   FROM conversations),
+             c AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(k, lambda x: CAST(ascii(x) AS BIGINT))),
+                          lambda a, b: list_reduce(list_prepend(xor(a, b), range(0, 8)),
+                                                   lambda v, j: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 20 AS code FROM s),
+             d AS (SELECT conv_id, turn, sha256(role || chr(31) || text) AS tie, copy,
+                          CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+                          CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+                   FROM c, (VALUES (0), (1)) x(copy) WHERE code <> 0 AND (copy = 0 OR code = 3)),
+             r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, tie, copy) AS i,
+                          regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last FROM d),
+             f AS (SELECT conv_id, turn, i, role, text, left(role, 1) AS ini, last = '' AS blank, last <> '' AND
+                          row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, last FROM r),
+             g AS MATERIALIZED (SELECT *, NOT blank AND NOT again AND last NOT IN ('.', '!', '?') AS cut, blank OR again AS doomed,
+                          lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS pair FROM f),
+             ins(q, q2, n, lines) AS (VALUES (0, 0, 0, []), (0, 2, 1, ['user:']), (0, 3, 2, ['user:', 'assistant:']), (1, 1, 0, []),
+                          (1, 2, 1, ['user:']), (1, 3, 2, ['user:', 'assistant:']), (2, 2, 0, []), (2, 3, 1, ['assistant:']),
+                          (2, 2, 2, ['assistant:', 'user:']), (3, 3, 0, []), (3, 2, 1, ['user:']), (3, 3, 2, ['user:', 'assistant:'])),
+             op(q, ini, q2, e, price, role) AS (VALUES (0, NULL, 0, 'D', 3, NULL), (1, NULL, 1, 'D', 3, NULL), (2, NULL, 2, 'D', 3, NULL),
+                          (3, NULL, 3, 'D', 3, NULL), (0, 's', 1, 'K', 0, NULL), (0, 'u', 2, 'K', 0, NULL), (1, 'u', 2, 'K', 0, NULL),
+                          (2, 'a', 3, 'K', 0, NULL), (3, 'u', 2, 'K', 0, NULL), (0, NULL, 2, 'R', 2, 'user'), (1, NULL, 2, 'R', 2, 'user'),
+                          (2, NULL, 3, 'R', 2, 'assistant'), (3, NULL, 2, 'R', 2, 'user')),
+             w(conv_id, i, q, v) AS (
+                 SELECT DISTINCT conv_id, 0::BIGINT, 0, {'c': 0::BIGINT, 'p': '', 't': []::VARCHAR[]} FROM g UNION ALL
+                 SELECT conv_id, i, q, min(v) FROM (
+                     SELECT g.conv_id, g.i, op.q2 AS q, {'c': CAST(w.v.c + 2 * ins.n + op.price
+                                + CASE WHEN g.cut AND op.e <> 'D' THEN 1 ELSE 0 END AS BIGINT), 'p': w.v.p || repeat('I', ins.n) || op.e,
+                            't': w.v.t || CAST(ins.lines AS VARCHAR[]) || CASE WHEN op.e = 'D' THEN []::VARCHAR[]
+                                ELSE [coalesce(op.role, g.role) || ':' || g.text] END} AS v
+                     FROM w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.i = w.i + 1 JOIN ins ON ins.q = w.q
+                     JOIN op ON op.q = ins.q2 AND (op.e = 'D' OR NOT g.doomed) AND (op.e <> 'K' OR op.ini = g.ini))
+                 GROUP BY conv_id, i, q),
+             n AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                          count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again) AS duplicate,
+                          count(*) FILTER (WHERE cut) AS truncated,
+                          count(*) FILTER (WHERE i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id),
+             b AS (SELECT w.conv_id, min(CASE w.q WHEN 1 THEN {'c': w.v.c + 4, 'p': w.v.p || 'II', 't': w.v.t || ['user:', 'assistant:']}
+                                          WHEN 2 THEN {'c': w.v.c + 2, 'p': w.v.p || 'I', 't': w.v.t || ['assistant:']}
+                                          ELSE w.v END) AS v
+                   FROM w JOIN n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND n.n = w.i GROUP BY w.conv_id)
+        SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+               CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+               CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(b.v.c, 0) AS BIGINT) AS cost, coalesce(b.v.p, '') AS audit,
+               sha256(coalesce(array_to_string(b.v.t, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM o.conv_id
+        LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM o.conv_id""",
 }
