@@ -303,12 +303,31 @@ def q_csv_top_contracts(spark, sf_dir):
     return corpus.top_contracts_web(bulk_csv.read_bulk_csv(spark, path))
 
 
-def q_report_documents(spark, sf_dir):
-    """The nested report documents, their recommended layouts flattened back to rows."""
+def _report_documents(spark, sf_dir):
     a = _analysis(spark, sf_dir)
-    docs = report_json.report_documents(a.report(), a.issues(), a.items(), a.struct_optimization(),
+    return report_json.report_documents(a.report(), a.issues(), a.items(), a.struct_optimization(),
                                         structs.struct_field_order(a.fields, a.member_bins()))
-    return report_json.document_variables(docs)
+
+
+def q_report_documents(spark, sf_dir):
+    """The nested report documents, their recommended layouts flattened back to rows."""
+    return report_json.document_variables(_report_documents(spark, sf_dir))
+
+
+def _written_reports(spark, sf_dir):
+    path = table_path(spark, "reports")
+    report_json.write_reports(_report_documents(spark, sf_dir), path)
+    return report_json.read_reports(spark, path)
+
+
+def q_report_issues(spark, sf_dir):
+    """Report documents written as JSON to the shared folder, their issues read back."""
+    return report_json.written_issues(_written_reports(spark, sf_dir))
+
+
+def q_report_structs(spark, sf_dir):
+    """Report documents written as JSON, their struct optimisations and member orders read back."""
+    return report_json.written_structs(_written_reports(spark, sf_dir)).drop("label")
 
 
 def q_struct_field_order(spark, sf_dir):
@@ -410,6 +429,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "document_bulk_summary": q_document_bulk_summary,
     "csv_top_contracts": q_csv_top_contracts,
     "report_documents": q_report_documents,
+    "report_issues": q_report_issues,
+    "report_structs": q_report_structs,
     "struct_field_order": q_struct_field_order,
     "source_profile": q_source_profile,
     "external_types": q_external_types,

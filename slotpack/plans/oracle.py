@@ -499,12 +499,18 @@ def oracle_sql() -> dict[str, str]:
         "JOIN E e ON e.contract_id = r.contract_id AND e.ordinal = r.ordinal JOIN (SELECT contract_id, "
         "CASE WHEN starts_with(strategy, 'First') THEN 'FFD' ELSE 'DP-bitmask' END AS tag FROM REP) t "
         "ON t.contract_id = r.contract_id"))
-    q["struct_field_order"] = _with(_structs(base(BOTH), True), (
+    q["report_issues"] = q["issues"]
+    order = (
         "SELECT f.contract_id, f.type_id, CAST(row_number() OVER (PARTITION BY f.contract_id, f.type_id ORDER BY "
         "CASE f.cls WHEN 'full' THEN 0 WHEN 'packable' THEN 1 ELSE 2 END, coalesce(b.first_ord, f.ordinal), f.ordinal) - 1 "
         "AS BIGINT) AS position, f.ordinal, f.label FROM FL f LEFT JOIN (SELECT contract_id, ordinal, "
         "min(ordinal) OVER (PARTITION BY contract_id, bin_no) AS first_ord FROM MIB) b "
-        "ON b.contract_id = f.contract_id AND b.ordinal = f.ordinal"))
+        "ON b.contract_id = f.contract_id AND b.ordinal = f.ordinal")
+    q["struct_field_order"] = _with(_structs(base(BOTH), True), order)
+    q["report_structs"] = _with(_structs(base(BOTH), True), (
+        "SELECT s.contract_id, s.type_id, s.current_slots, s.optimal_slots, s.direct_instances, s.total_saved_slots, "
+        "s.struct_strategy, o.field_order FROM SOPT s LEFT JOIN (SELECT contract_id, type_id, "
+        f"string_agg(label, ',' ORDER BY position) AS field_order FROM ({order}) GROUP BY 1, 2) o USING (contract_id, type_id)"))
     src = _sources_sql()
     q["source_profile"] = _with(src, _profile_sql())
     q["external_types"] = _with(src, _ext_sql())
