@@ -33,3 +33,16 @@ def test_the_text_of_a_file_is_looked_up_for_all_of_its_contracts(spark, tables)
     rows = {r.contract_id: r for r in E.queries()["contract_sources"](spark, tables).collect()}
     assert rows["O5"].file == rows["O2500"].file == "real/c7.sol"
     assert rows["O5"].n_chars == rows["O2500"].n_chars > 1.5 * rows["O6"].n_chars
+
+
+def test_contracts_placed_in_rows_equal_those_placed_by_chunks(spark, tables, monkeypatch):
+    from slotpack.sources import standin
+
+    def every():
+        c = standin.Corpus(spark, tables)
+        return [sorted(map(tuple, t.collect())) for t in (c.entries, c.struct_fields, c.structs)]
+
+    together = every()
+    assert standin.placed(spark, tables)[1] is None and len(together[0]) == 96
+    monkeypatch.setattr(standin, "GATHERED", 0)
+    assert every() == together
