@@ -46,3 +46,45 @@ def test_contracts_placed_in_rows_equal_those_placed_by_chunks(spark, tables, mo
     assert standin.placed(spark, tables)[1] is None and len(together[0]) == 96
     monkeypatch.setattr(standin, "GATHERED", 0)
     assert every() == together
+
+
+def test_contracts_cut_by_the_batches_of_a_task_are_placed_whole(spark, tables, monkeypatch):
+    """Batches of three lines: a contract of twelve comes in four of them."""
+    from slotpack.sources import standin
+
+    def every():
+        return sorted(map(tuple, standin.placed(spark, tables)[0].collect()))
+
+    whole = every()
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert every() == whole and len(whole) == 96
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_placing_many_groups_at_once_equals_the_rule():
+    import random
+
+    import numpy as np
+
+    from slotpack.functions import nextfit
+
+    r = random.Random(1)
+    groups = [[r.choice([-1, 0, 1, 2, 8, 16, 20, 31, 32, 33, 64, 100]) for _ in range(r.randrange(1, 40))] for _ in range(300)]
+    slot, offset = nextfit.places(np.array(sum(groups, []), np.int64), np.cumsum([0, *map(len, groups)]))
+    want = []
+    for g in groups:
+        s = u = 0
+        for b in g:
+            if b >= 32:
+                s, u = s + (u > 0), 0
+                want.append((s, 0))
+                s += (b + 31) // 32
+                continue
+            if u + b > 32:
+                s, u = s + 1, 0
+            want.append((s, u))
+            s, u = (s + 1, 0) if u + b == 32 else (s, u + b)
+    assert list(zip(slot.tolist(), offset.tolist(), strict=True)) == want
