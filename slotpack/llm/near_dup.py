@@ -15,11 +15,12 @@ case, leave two in five (Jaccard 0.25, 0.98 of the pairs).
 
 Members of a bucket are first paired with its first member, which joins large groups of copies. Of what
 is then left in several components, all pairs across components are compared in buckets of at most EXACT
-rows, inside one task and without emitting them. A larger bucket is subdivided by a further sketch, the
+rows, inside one task and without emitting them; every member of every component takes part. A larger bucket
+with no more pairs across components than one of EXACT rows can have (one large component and a few others,
+say) is compared in full too, block by block. Other larger buckets are subdivided by a further sketch, the
 smallest words of a few of the SIGNED hash functions, over several tables, so that a similar pair meets
-again with probability 0.99 or more in each step (TABLES); what is still larger after the last step pairs
-with its first member. A component with more than REPRESENTED members in a bucket stands there by one of
-them, another one in each bucket.
+again with probability 0.99 or more in each step (TABLES); what is still larger after the last step is
+compared in full in blocks.
 
 Pairs pass a sieve before any text moves: similar texts share at least two thirds of their words counted
 with repetition (Jaccard), so at least 42 of SIGNED smallest words are equal on average; AGREEING is
@@ -63,7 +64,6 @@ SHORT = 14
 PAIRS_PER_COPY = 64
 #: Rows of a bucket that one task holds and compares at once, some 130 bytes each.
 EXACT = 4096
-REPRESENTED = 32
 #: Smallest-word hashes of a text, one byte of each is kept; equal ones that a pair needs.
 SIGNED = 64
 AGREEING = 32
@@ -278,23 +278,21 @@ def sieved(pairs: DataFrame, signs: DataFrame) -> DataFrame:
     return store(map_batches(both.select("one", "two", "left", "right"), run, "one long, two long"), "sieved")
 
 
-def open_members(placed: DataFrame) -> DataFrame | None:
-    """Stored (key, node, words, root, n): rows of the buckets with several components, n of them each; None without any.
+def _open(members: DataFrame, key: str) -> DataFrame:
+    """(key, n, top, cross) of the keys with several components: rows, the largest component and pairs across components."""
+    per = members.groupBy(key, "root").agg(F.count(F.lit(1)).alias("members"))
+    sizes = per.groupBy(key).agg(F.sum("members").alias("n"), F.max(F.struct("members", "root")).alias("top"),
+                                 F.sum(F.col("members") * F.col("members")).alias("_same"), F.count(F.lit(1)).alias("_roots"))
+    return sizes.where("_roots > 1").select(key, "n", "top", F.expr("(n * n - _same) div 2").alias("cross"))
 
-    A component with more than REPRESENTED members in a bucket stands there by one of them.
-    """
-    clusters = store(placed.groupBy("bucket", "root").agg(
-        F.count(F.lit(1)).alias("members"),
-        F.min(F.struct(F.xxhash64("node", "bucket").alias("place"), "node")).alias("rep")), "clusters")
-    standing = F.when(F.col("members") > REPRESENTED, F.lit(1)).otherwise(F.col("members"))
-    opened = store(clusters.groupBy("bucket").agg(F.sum(standing).alias("n"), F.count(F.lit(1)).alias("roots"))
-                   .where("roots > 1").drop("roots"), "open")
+
+def open_members(placed: DataFrame) -> DataFrame | None:
+    """Stored (key, node, words, root, n, top, cross): all rows of the buckets with several components; None without any."""
+    opened = store(_open(placed, "bucket"), "open")
     if opened.isEmpty():
         return None
-    known = store(lookup(clusters, opened, ["bucket"], size="n"), "known")
-    rows = lookup(placed, known, ["bucket", "root"], size="members").where(
-        (F.col("members") <= REPRESENTED) | (F.col("node") == F.col("rep.node")))
-    return store(rows.select(F.col("bucket").alias("key"), "node", "words", "root", "n"), "rows")
+    rows = lookup(placed, opened, ["bucket"], size="n")
+    return store(rows.select(F.col("bucket").alias("key"), "node", "words", "root", "n", "top", "cross"), "rows")
 
 
 def subdivided(rows: DataFrame, step: int, words: int, tables: int) -> DataFrame:
@@ -302,14 +300,28 @@ def subdivided(rows: DataFrame, step: int, words: int, tables: int) -> DataFrame
     places = np.random.default_rng(step).permuted(np.tile(np.arange(SIGNED), (tables, 1)), axis=1)[:, :words] + 1
     chosen = [F.xxhash64("key", F.lit(t), *[F.substring("sign", int(k), 1) for k in p]) for t, p in enumerate(places)]
     none = F.lit(None).cast("array<bigint>")  # a pair may share keys here that it does not share there
-    fine = store(rows.withColumn("key", F.explode(F.array(*chosen))).withColumn("own", none).drop("n"), "fine")
-    sizes = store(fine.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-                  .where("low < high").select("key", "n"), "sizes")
+    fine = store(rows.withColumn("key", F.explode(F.array(*chosen))).withColumn("own", none).drop("n", "top", "cross"), "fine")
+    sizes = store(_open(fine, "key"), "sizes")
     return store(lookup(fine, sizes, ["key"], size="n").select(*rows.columns), "rows")
 
 
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows of keys of any size, once for each pair of blocks (low, high) that they take part in.
+
+    A block holds about half of EXACT rows. The largest component of a key has blocks of its own, which meet
+    the blocks of the other rows only.
+    """
+    half, place = max(EXACT // 2, 1), F.xxhash64("node", "key")
+    largest, other = F.ceil(F.col("top.members") / half), F.ceil((F.col("n") - F.col("top.members")) / half)
+    big = F.col("root") == F.col("top.root")
+    block = F.when(big, other + F.pmod(place, largest)).otherwise(F.pmod(place, other))
+    met = F.when(big, other).otherwise(other + largest)
+    dealt = rows.withColumn("block", block).withColumn("_met", F.explode(F.sequence(F.lit(0).cast("bigint"), met - 1)))
+    return dealt.withColumn("low", F.least("block", "_met")).withColumn("high", F.greatest("block", "_met")).drop("_met")
+
+
 def compared(rows: DataFrame) -> DataFrame:
-    """(one, two) across components that pass the sieve, of keys with at most EXACT rows each.
+    """(one, two) across components that pass the sieve: all pairs of a key, or of a pair of its blocks (``in_blocks``).
 
     Where rows carry all keys of their node (``own``), a pair comes from the least key it shares only.
     """
@@ -318,26 +330,30 @@ def compared(rows: DataFrame) -> DataFrame:
         for b in batches:
             part = pa.Table.from_batches([b])
             held = part if kept is None else pa.concat_tables([kept, part]).combine_chunks()
-            key = held["key"].to_numpy()
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            group = np.stack([held[c].to_numpy() for c in ("key", "low", "high")])
+            starts = np.flatnonzero(np.concatenate([[True], (group[:, 1:] != group[:, :-1]).any(0)]))
             for begin, end in zip(starts[:-1], starts[1:], strict=True):
                 yield from _pairs_of(held.slice(begin, end - begin))
             kept = held.slice(starts[-1])
         if kept is not None:
             yield from _pairs_of(kept)
 
-    dealt = rows.select("key", "node", "words", "root", "sign", "own").repartition("key").sortWithinPartitions("key")
+    if "block" not in rows.columns:
+        rows = rows.select("*", *[F.lit(0).cast("bigint").alias(c) for c in ("block", "low", "high")])
+    group = ["key", "low", "high"]
+    dealt = rows.select(*group, "node", "words", "root", "sign", "own", "block").repartition(*group).sortWithinPartitions(*group)
     return map_batches(dealt, run, "one long, two long")
 
 
 def _pairs_of(members: pa.Table) -> Iterator[pa.RecordBatch]:
     """Pairs of different components that pass the sieve."""
-    node, words, root = (members[c].to_numpy() for c in ("node", "words", "root"))
+    node, words, root, block = (members[c].to_numpy() for c in ("node", "words", "root", "block"))
+    within = members["low"][0] == members["high"][0]
     sign = np.frombuffer(b"".join(members["sign"].to_pylist()), np.uint8).reshape(-1, SIGNED)
     key, own = members["key"][0].as_py(), [None if x is None else frozenset(x) for x in members["own"].to_pylist()]
     for i in range(1, len(node)):
         fits = (root[:i] != root[i]) & (np.minimum(words[:i], words[i]) >= np.maximum(words[:i], words[i]) * SIMILARITY - 1e-9)
-        at = np.flatnonzero(fits)
+        at = np.flatnonzero(fits if within else fits & (block[:i] != block[i]))
         at = at[(sign[at] == sign[i]).sum(1) >= AGREEING]
         if own[i] is not None:
             at = np.array([j for j in at.tolist() if min(own[i] & own[j]) == key], np.int64)
@@ -349,21 +365,20 @@ def _pairs_of(members: pa.Table) -> Iterator[pa.RecordBatch]:
 def further_pairs(rows: DataFrame, signs: DataFrame, tried: DataFrame) -> DataFrame:
     """Stored distinct (one, two) of open buckets that pass the sieve and were not yet tried."""
     own = rows.groupBy("node").agg(F.collect_list("key").alias("own"))
-    rows = store(rows.join(own, "node").join(signs, "node"), "signed")
-    found = [compared(rows.where(F.col("n") <= EXACT))]
+    rows = store(rows.join(own, "node").join(signs, "node").withColumn("bucket", F.col("key")), "signed")
+    found, most = [], EXACT * EXACT // 2
     for step, (words, tables) in enumerate(TABLES):
-        large = rows.where(F.col("n") > EXACT)
+        found += [compared(rows.where(F.col("n") <= EXACT)),
+                  compared(in_blocks(rows.where((F.col("n") > EXACT) & (F.col("cross") <= most))))]
+        large = rows.where((F.col("n") > EXACT) & (F.col("cross") > most))
         if large.isEmpty():
             break
         rows = subdivided(large, step, words, tables)
+    else:  # what no key makes smaller is compared once in its first bucket, not under each of its keys
         found.append(compared(rows.where(F.col("n") <= EXACT)))
-    large = store(rows.where(F.col("n") > EXACT), "large")
-    if not large.isEmpty():
-        firsts = store(large.groupBy("key").agg(F.min(F.struct("node", "words", "root")).alias("one"),
-                                                F.count(F.lit(1)).alias("size")), "firsts")
-        near = lookup(large, firsts, ["key"], size="size").where((F.col("root") != F.col("one.root"))
-                                                                 & _lengths_allow("words", "one.words"))
-        found.append(sieved(near.select(F.col("one.node").alias("one"), F.col("node").alias("two")).distinct(), signs))
+        left = rows.where(F.col("n") > EXACT).withColumn("key", F.col("bucket")).drop("n", "top", "cross")
+        left = store(left.dropDuplicates(["key", "node"]), "left")
+        found.append(compared(in_blocks(lookup(left, store(_open(left, "key"), "sizes"), ["key"], size="n"))))
     pairs = store(reduce(DataFrame.unionByName, found).distinct(), "found")
     return store(pairs.join(tried.select(F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two")),
                             ["one", "two"], "left_anti"), "pairs")

@@ -214,3 +214,28 @@ def test_components(spark):
     got = dict(map(tuple, components(store(spark.createDataFrame(links, "one long, two long"), "links")).collect()))
     assert got == {x: find(x) for x in parent if any(x in e and e[0] != e[1] for e in links)}
     assert components(store(spark.createDataFrame([], "one long, two long"), "links")).collect() == []
+
+
+def _members(spark, roots, key=1):
+    """Rows of one bucket with equal signatures: node i of component roots[i]."""
+    rows = [(key, i, 10, r, bytearray(near_dup.SIGNED), [key]) for i, r in enumerate(roots)]
+    return spark.createDataFrame(rows, "bucket long, node long, words long, root long, sign binary, own array<long>")
+
+
+def test_every_member_of_a_large_component_stands_in_its_bucket(spark):
+    rows = near_dup.open_members(_members(spark, [0] * 50 + [50, 50, 52])).collect()
+    assert sorted(r.node for r in rows) == list(range(53))
+    assert {(r.n, r.top.members, r.cross) for r in rows} == {(53, 50, 50 * 3 + 2)}
+
+
+def test_buckets_of_any_size_are_compared_in_full(spark, monkeypatch):
+    """Also those that no subdivision makes smaller, as all signatures are equal."""
+    monkeypatch.setattr(near_dup, "TABLES", ((2, 2),))
+    for exact, roots in ((8, [0] * 30 + [30, 30, 32]), (4, [*range(20), 0, 0, 1, 1, 1, 1])):
+        monkeypatch.setattr(near_dup, "EXACT", exact)
+        placed = _members(spark, roots)
+        signs = near_dup.store(placed.select("node", "sign"), "signs")
+        tried = spark.createDataFrame([(0, len(roots) - 1)], "one long, two long")
+        got = near_dup.further_pairs(near_dup.open_members(placed), signs, tried).collect()
+        want = {(a, b) for b in range(len(roots)) for a in range(b) if roots[a] != roots[b]} - {(0, len(roots) - 1)}
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
