@@ -68,3 +68,29 @@ def test_savings_preview_leaves_out_failed_files(spark):
     failed = {r.file for r in a.report().where("status = 'ERROR'").collect()}
     files = {r.file for r in corpus_ops.savings_preview(a.report(), a.struct_optimization()).collect()}
     assert "real/shared.sol" in failed and files == {r.file for r in contracts.collect()} - failed
+
+
+def test_figures_of_a_batch_equal_those_of_gathered_rows(spark):
+    contracts, entries, structs, fields = corpus(spark, [0, 1, 2, 3, 5, 9, 20, 21, 22, 40, 64, 7] * 8)
+    twice = contracts.where("contract_id = 'c3'").select(F.lit(None).cast("string").alias("contract_id"), *contracts.columns[1:])
+    tables = [contracts.unionByName(twice).unionByName(twice), entries.where("slot is not null"), structs.unionByName(structs), fields]
+    rows = colocated.stacked(*tables)
+    got = colocated.report(rows)
+    assert "collect_list" not in got._jdf.queryExecution().executedPlan().toString()
+    want = colocated.nested_report(colocated.nested(*tables))
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    sorted_rows = rows.orderBy("contract_id").toArrow()
+    whole = [b for size in (7, 1000) for b in colocated._report_batches(iter(sorted_rows.to_batches(size)))]
+    assert sum(b.num_rows for b in whole) == 2 * got.count()
+
+
+def test_contracts_with_missing_values_are_reported_as_before(spark):
+    contracts, entries, structs, fields = corpus(spark, [3, 4, 5, 9, 21, 30])
+    gap = F.col("contract_id").isin("c1", "c4") & (F.col("ordinal") == 1)
+    entries = entries.withColumn("offset", F.when(~gap, F.col("offset"))).withColumn(
+        "slot_text", F.when(F.col("contract_id") == "c3", F.concat(F.lit("0"), F.col("slot_text"))).otherwise(F.col("slot_text")))
+    fields = fields.withColumn("ordinal", F.when(F.col("contract_id") != "c2", F.col("ordinal")))
+    tables = (contracts, entries, structs, fields)
+    want = colocated.nested_report(colocated.nested(*tables)).collect()
+    assert sorted(map(str, Analysis(*tables).report().collect())) == sorted(map(str, want))
