@@ -22,6 +22,10 @@ smallest words of a few of the SIGNED hash functions, over several tables, so th
 again with probability 0.99 or more in each step (TABLES); what is still larger after the last step is
 compared in full in blocks.
 
+In buckets that are compared in full, the rows that pass the sieve with some other row meet once more with
+their words, in blocks of LINKED rows, and only similar pairs leave the task: rows of buckets move, not pairs. Pairs
+from subdivided buckets (over EXACT rows) and first pairs are moved to their texts instead.
+
 Pairs pass a sieve before any text moves: similar texts share at least two thirds of their words counted
 with repetition (Jaccard), so at least 42 of SIGNED smallest words are equal on average; AGREEING is
 nearly three standard deviations below that, so 0.998 of the pairs pass even at the threshold. The others are verified: 1 - word edit distance / longer length must
@@ -40,7 +44,7 @@ returns them unchanged); an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -64,6 +68,10 @@ SHORT = 14
 PAIRS_PER_COPY = 64
 #: Rows of a bucket that one task holds and compares at once, some 130 bytes each.
 EXACT = 4096
+#: Rows of a bucket that one task compares with their words, so many at most in a pair of blocks.
+LINKED = 512
+#: Columns of a bucket's row that tell which pairs to compare.
+MEMBER = ("node", "words", "root", "sign", "own")
 #: Smallest-word hashes of a text, one byte of each is kept; equal ones that a pair needs.
 SIGNED = 64
 AGREEING = 32
@@ -305,13 +313,13 @@ def subdivided(rows: DataFrame, step: int, words: int, tables: int) -> DataFrame
     return store(lookup(fine, sizes, ["key"], size="n").select(*rows.columns), "rows")
 
 
-def in_blocks(rows: DataFrame) -> DataFrame:
+def in_blocks(rows: DataFrame, half: int) -> DataFrame:
     """Rows of keys of any size, once for each pair of blocks (low, high) that they take part in.
 
-    A block holds about half of EXACT rows. The largest component of a key has blocks of its own, which meet
+    A block holds about ``half`` rows. The largest component of a key has blocks of its own, which meet
     the blocks of the other rows only.
     """
-    half, place = max(EXACT // 2, 1), F.xxhash64("node", "key")
+    place = F.xxhash64("node", "key")
     largest, other = F.ceil(F.col("top.members") / half), F.ceil((F.col("n") - F.col("top.members")) / half)
     big = F.col("root") == F.col("top.root")
     block = F.when(big, other + F.pmod(place, largest)).otherwise(F.pmod(place, other))
@@ -320,11 +328,8 @@ def in_blocks(rows: DataFrame) -> DataFrame:
     return dealt.withColumn("low", F.least("block", "_met")).withColumn("high", F.greatest("block", "_met")).drop("_met")
 
 
-def compared(rows: DataFrame) -> DataFrame:
-    """(one, two) across components that pass the sieve: all pairs of a key, or of a pair of its blocks (``in_blocks``).
-
-    Where rows carry all keys of their node (``own``), a pair comes from the least key it shares only.
-    """
+def each_group(rows: DataFrame, of_group: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``of_group`` yields for the rows of each key, or of each pair of its blocks (``in_blocks``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
         for b in batches:
@@ -333,71 +338,166 @@ def compared(rows: DataFrame) -> DataFrame:
             group = np.stack([held[c].to_numpy() for c in ("key", "low", "high")])
             starts = np.flatnonzero(np.concatenate([[True], (group[:, 1:] != group[:, :-1]).any(0)]))
             for begin, end in zip(starts[:-1], starts[1:], strict=True):
-                yield from _pairs_of(held.slice(begin, end - begin))
+                yield from of_group(held.slice(begin, end - begin))
             kept = held.slice(starts[-1])
         if kept is not None:
-            yield from _pairs_of(kept)
+            yield from of_group(kept)
 
     if "block" not in rows.columns:
         rows = rows.select("*", *[F.lit(0).cast("bigint").alias(c) for c in ("block", "low", "high")])
     group = ["key", "low", "high"]
-    dealt = rows.select(*group, "node", "words", "root", "sign", "own", "block").repartition(*group).sortWithinPartitions(*group)
-    return map_batches(dealt, run, "one long, two long")
+    more = [c for c in rows.columns if c == "sequence"]
+    dealt = rows.select(*group, *MEMBER, "block", *more).repartition(*group).sortWithinPartitions(*group)
+    return map_batches(dealt, run, schema)
 
 
-def _pairs_of(members: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components that pass the sieve."""
-    node, words, root, block = (members[c].to_numpy() for c in ("node", "words", "root", "block"))
+def compared(rows: DataFrame) -> DataFrame:
+    """(one, two) across components that pass the sieve: all pairs of a key, or of a pair of its blocks (``in_blocks``).
+
+    Where rows carry all keys of their node (``own``), a pair comes from the least key it shares only.
+    """
+    return each_group(rows, _pairs_of, "one long, two long")
+
+
+def _sieved_in(members: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row with the rows before it that are of another component and pass the sieve, if any."""
+    root, words, block = (members[c].to_numpy() for c in ("root", "words", "block"))
     within = members["low"][0] == members["high"][0]
     sign = np.frombuffer(b"".join(members["sign"].to_pylist()), np.uint8).reshape(-1, SIGNED)
     key, own = members["key"][0].as_py(), [None if x is None else frozenset(x) for x in members["own"].to_pylist()]
-    for i in range(1, len(node)):
+    for i in range(1, len(root)):
         fits = (root[:i] != root[i]) & (np.minimum(words[:i], words[i]) >= np.maximum(words[:i], words[i]) * SIMILARITY - 1e-9)
         at = np.flatnonzero(fits if within else fits & (block[:i] != block[i]))
         at = at[(sign[at] == sign[i]).sum(1) >= AGREEING]
         if own[i] is not None:
             at = np.array([j for j in at.tolist() if min(own[i] & own[j]) == key], np.int64)
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[at], node[i])), pa.array(np.maximum(node[at], node[i]))],
-                                             ["one", "two"])
+            yield i, at
 
 
-def further_pairs(rows: DataFrame, signs: DataFrame, tried: DataFrame) -> DataFrame:
-    """Stored distinct (one, two) of open buckets that pass the sieve and were not yet tried."""
+def _ordered(node: np.ndarray, i: int, at: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[at], node[i])), pa.array(np.maximum(node[at], node[i]))], ["one", "two"])
+
+
+def _pairs_of(members: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components that pass the sieve."""
+    node = members["node"].to_numpy()
+    for i, at in _sieved_in(members):
+        yield _ordered(node, i, at)
+
+
+def _partnered_of(members: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The rows that pass the sieve with some other row: at most one of each row, however many pairs they make."""
+    some = np.zeros(len(members), bool)
+    for i, at in _sieved_in(members):
+        some[at] = some[i] = True
+    if some.any():
+        yield from members.select(["key", *MEMBER]).filter(pa.array(some)).to_batches()
+
+
+def _links_of(members: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Similar pairs of different components: those that pass the sieve and have enough words in common are aligned."""
+    node, words = members["node"].to_numpy(), members["words"].to_numpy()
+    sequences = [np.frombuffer(x.as_buffer(), np.uint32) for x in members["sequence"]]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in sequences])])
+    kinds, each = np.unique(_labelled(np.concatenate(sequences).astype(np.uint64), bounds), return_inverse=True)
+    for i, at in _sieved_in(members):
+        has = np.zeros(len(kinds), bool)
+        has[each[bounds[i]:bounds[i + 1]]] = True
+        common = np.add.reduceat(has[each[:bounds[i]]], bounds[:i], dtype=np.int64)[at]
+        longer = np.maximum(words[at], words[i])
+        at = at[longer - common <= ((1 - SIMILARITY) * longer + 1e-9).astype(np.int64)]
+        at = np.array([j for j in at.tolist() if similar(sequences[j], sequences[i], SIMILARITY)], np.int64)
+        if len(at):
+            yield _ordered(node, i, at)
+
+
+def signed_rows(rows: DataFrame, signs: DataFrame) -> DataFrame:
+    """Stored rows of open buckets with their signature, their bucket and all such buckets of their node (``own``)."""
     own = rows.groupBy("node").agg(F.collect_list("key").alias("own"))
-    rows = store(rows.join(own, "node").join(signs, "node").withColumn("bucket", F.col("key")), "signed")
-    found, most = [], EXACT * EXACT // 2
+    return store(rows.join(own, "node").join(signs, "node").withColumn("bucket", F.col("key")), "signed")
+
+
+def _in_full() -> Column:
+    """Whether a key has no more pairs across components than one of EXACT rows can have."""
+    return (F.col("n") <= EXACT) | (F.col("cross") <= EXACT * EXACT // 2)
+
+
+def _dealt(rows: DataFrame, most: int) -> list[DataFrame]:
+    """The rows of keys of at most ``most`` rows as they are, those of larger ones by pairs of blocks."""
+    return [rows.where(F.col("n") <= most), in_blocks(rows.where(F.col("n") > most), max(most // 2, 1))]
+
+
+def bucket_links(rows: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """Stored distinct (one, two) of similar members in the keys that are compared in full; None without any candidate.
+
+    The rows that pass the sieve with some other row meet again with their words, and are compared there in blocks
+    of LINKED rows: what moves are rows of keys, never their pairs.
+    """
+    kinds = rows.select("key", *MEMBER).schema
+    met = reduce(DataFrame.unionByName, [each_group(g, _partnered_of, kinds) for g in _dealt(rows.where(_in_full()), EXACT)])
+    met = store(met.dropDuplicates(["key", "node"]), "partnered")
+    if met.isEmpty():
+        return None
+    sequences = word_sequences(docs, nodes, met.select("node").distinct())
+    sized = store(lookup(met, store(_open(met, "key"), "sizes"), ["key"], size="n"), "sized")
+    dealt = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), _dealt(sized, LINKED)).fillna(0, ["block", "low", "high"])
+    return store(each_group(dealt.join(sequences, "node"), _links_of, "one long, two long").distinct(), "found")
+
+
+def finer_pairs(rows: DataFrame) -> list[DataFrame]:
+    """Pairs (one, two) that pass the sieve in the subdivisions of the keys that are not compared in full."""
+    found = []
     for step, (words, tables) in enumerate(TABLES):
-        found += [compared(rows.where(F.col("n") <= EXACT)),
-                  compared(in_blocks(rows.where((F.col("n") > EXACT) & (F.col("cross") <= most))))]
-        large = rows.where((F.col("n") > EXACT) & (F.col("cross") > most))
+        large = rows.where(~_in_full())
         if large.isEmpty():
-            break
+            return found
         rows = subdivided(large, step, words, tables)
-    else:  # what no key makes smaller is compared once in its first bucket, not under each of its keys
-        found.append(compared(rows.where(F.col("n") <= EXACT)))
-        left = rows.where(F.col("n") > EXACT).withColumn("key", F.col("bucket")).drop("n", "top", "cross")
-        left = store(left.dropDuplicates(["key", "node"]), "left")
-        found.append(compared(in_blocks(lookup(left, store(_open(left, "key"), "sizes"), ["key"], size="n"))))
+        if step < len(TABLES) - 1:
+            found += map(compared, _dealt(rows.where(_in_full()), EXACT))
+    # what no key makes smaller is compared once in its first bucket, not under each of its keys
+    found.append(compared(rows.where(F.col("n") <= EXACT)))
+    left = rows.where(F.col("n") > EXACT).withColumn("key", F.col("bucket")).drop("n", "top", "cross")
+    left = store(left.dropDuplicates(["key", "node"]), "left")
+    found.append(compared(in_blocks(lookup(left, store(_open(left, "key"), "sizes"), ["key"], size="n"), max(EXACT // 2, 1))))
+    return found
+
+
+def untried(found: list[DataFrame], tried: DataFrame) -> DataFrame:
+    """Stored distinct (one, two) that were not yet tried."""
     pairs = store(reduce(DataFrame.unionByName, found).distinct(), "found")
     return store(pairs.join(tried.select(F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two")),
                             ["one", "two"], "left_anti"), "pairs")
 
 
+def further_pairs(rows: DataFrame, signs: DataFrame, tried: DataFrame) -> DataFrame:
+    """Stored distinct (one, two) of open buckets that pass the sieve and were not yet tried."""
+    rows = signed_rows(rows, signs)
+    return untried([*map(compared, _dealt(rows.where(_in_full()), EXACT)), *finer_pairs(rows)], tried)
+
+
+def further_links(rows: DataFrame, docs: DataFrame, nodes: DataFrame, tried: DataFrame) -> DataFrame | None:
+    """Distinct (one, two) of similar members of open buckets; None without any candidate."""
+    rows = signed_rows(rows, nodes.select("node", "sign"))
+    links, finer = bucket_links(rows, docs, nodes), finer_pairs(rows)
+    if not finer:
+        return links
+    pairs = untried(finer, tried)
+    more = verified(pairs, word_sequences(docs, nodes, _ends(pairs)))
+    return more if links is None else links.unionByName(more).distinct()
+
+
 def all_links(docs: DataFrame, met: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links (one, two) and components (node, root) of the members ``met`` of all buckets."""
     signs = nodes.select("node", "sign")
     tried = first_pairs(met, signs)
-    links = verified(tried, word_sequences(docs, nodes, tried))
+    links = verified(tried, word_sequences(docs, nodes, _ends(tried)))
     roots = store(components(links), "roots")
     placed = store(met.select("bucket", "node", "words").join(roots, "node", "left")
                    .withColumn("root", F.coalesce("root", "node")), "placed")
     rows = open_members(placed)
-    pairs = None if rows is None else further_pairs(rows, signs, tried)
-    if pairs is None or pairs.isEmpty():
-        return links, roots
-    more = verified(pairs, word_sequences(docs, nodes, pairs))
-    if more.isEmpty():
+    more = None if rows is None else further_links(rows, docs, nodes, tried)
+    if more is None or more.isEmpty():
         return links, roots
     return links.unionByName(more), joined(roots, more)
 
@@ -414,8 +514,12 @@ def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return store(old.unionByName(alone), "roots")
 
 
-def word_sequences(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Stored (node, sequence): word hashes (32 bits each) of the classes in ``pairs``."""
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("one").alias("node")).unionByName(pairs.select(F.col("two").alias("node"))).distinct()
+
+
+def word_sequences(docs: DataFrame, nodes: DataFrame, used: DataFrame) -> DataFrame:
+    """Stored (node, sequence): word hashes (32 bits each) of the classes in ``used``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, part in text_pieces(b.column("text")):
@@ -426,7 +530,6 @@ def word_sequences(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataF
                 yield pa.RecordBatch.from_arrays([_signed(keys[0]), _signed(keys[1]), pa.array(own, pa.binary())],
                                                  ["high", "low", "sequence"])
 
-    used = pairs.select(F.col("one").alias("node")).unionByName(pairs.select(F.col("two").alias("node"))).distinct()
     nodes = store(nodes.join(used, "node").select("node", "first", "high", "low"), "used")
     texts = with_ids(docs.select("doc_id", "text"), nodes.select(F.col("first").alias("doc_id")).distinct(), "left_semi")
     own = map_batches(texts.select("text"), run, "high long, low long, sequence binary")

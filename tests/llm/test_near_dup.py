@@ -239,3 +239,17 @@ def test_buckets_of_any_size_are_compared_in_full(spark, monkeypatch):
         got = near_dup.further_pairs(near_dup.open_members(placed), signs, tried).collect()
         want = {(a, b) for b in range(len(roots)) for a in range(b) if roots[a] != roots[b]} - {(0, len(roots) - 1)}
         assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_pairs_of_a_bucket_are_verified_where_they_meet(frame, monkeypatch):
+    """Documents with a long common passage, all of which pass the sieve: their rows move to their words, not their pairs."""
+    moved, verified = [], near_dup.verified
+    monkeypatch.setattr(near_dup, "verified", lambda pairs, words: moved.append(pairs.count()) or verified(pairs, words))
+    passage, n = prose(91, 110).split(), 40
+    rows = [(i, " ".join(passage + prose(9100 + i, 40).split())) for i in range(n)]
+    copy = rows[-1][1].split()
+    rows.append((n, " ".join(copy[:120] + ["other"] + copy[121:])))
+    monkeypatch.setattr(near_dup, "LINKED", 8, raising=False)
+    out = {r.doc_id: (r.class_id, r.links) for r in near_dup.near_groups(frame(rows)).collect()}
+    assert out == {i: (i, 0) for i in range(n - 1)} | {n - 1: (n - 1, 1), n: (n - 1, 1)}
+    assert sum(moved) < 10 * n  # all pairs: 820
