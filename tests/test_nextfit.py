@@ -48,3 +48,10 @@ def test_tree_shapes(data, chunk, fanout, levels):
            for r in nextfit.positions(df, ["k"], "p", "b", chunk, fanout, levels).collect()}
     tot = {r.k: (r.slots, r.wasted) for r in nextfit.fold_totals(df, ["k"], "p", "b", chunk, fanout, levels).collect()}
     assert got == ref_pos and tot == ref_tot
+
+
+def test_groups_within_a_chunk_meet_once(data):
+    df, ref_pos, _ = data
+    placed = nextfit.positions(df, ["k"], "p", "b")
+    assert placed._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {(r.k, r.p): (r.slot, r.offset) for r in placed.collect()} == ref_pos

@@ -88,3 +88,13 @@ def test_placing_many_groups_at_once_equals_the_rule():
             want.append((s, u))
             s, u = (s + 1, 0) if u + b == 32 else (s, u + b)
     assert list(zip(slot.tolist(), offset.tolist(), strict=True)) == want
+
+
+def test_declared_layout_keeps_lines_without_a_key(spark, tables, tmp_path):
+    schema = spark.read.parquet(f"{tables}/lineitem.parquet").schema
+    lines = [(5, None, 3, 0, 1.0, 9.0), (5, None, 4, 1, 2.0, 4.0), (5, 1, 4, 2, 3.0, None), (5, 1, 4, 3, 3.0, 7.0)]
+    spark.createDataFrame(lines, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(E.queries()["declared_layout"](spark, str(tmp_path)).collect(), key=str)
+    assert [r.ordinal for r in got if r.contract_id is None] == [0, 1]
+    assert sorted(r.ordinal for r in got if r.contract_id == "O5") == [0, 1, 2, 3]
+    assert sorted(r.ordinal for r in got if r.contract_id == "P1") == [0, 1]
