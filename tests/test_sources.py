@@ -248,3 +248,13 @@ def test_bodies_equal_a_scan(spark):
     src = spark.createDataFrame(list(enumerate(texts)), "file int, text string")
     got = {x.file: (x._bodies, x._declared) for x in profile.staged(src).collect()}
     assert all(got[k] == _by_scan(t) for k, t in enumerate(texts))
+
+
+def test_written_reports_are_compressed(spark, tmp_path):
+    from slotpack.sources import report_json
+    rows = spark.range(200).select(F.concat(F.lit("O"), "id").alias("contract_id"), F.struct(F.lit("one issue " * 50).alias("note")).alias("document"))
+    report_json.write_reports(rows, f"{tmp_path}/reports", buckets=2)
+    size = sum(p.stat().st_size for p in tmp_path.rglob("part-*"))
+    assert 0 < size < 200 * 500 / 10
+    back = spark.read.json(f"{tmp_path}/reports")
+    assert back.count() == 200 and {r.note for r in back.select("note").distinct().collect()} == {"one issue " * 50}
