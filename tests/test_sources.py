@@ -258,3 +258,23 @@ def test_written_reports_are_compressed(spark, tmp_path):
     assert 0 < size < 200 * 500 / 10
     back = spark.read.json(f"{tmp_path}/reports")
     assert back.count() == 200 and {r.note for r in back.select("note").distinct().collect()} == {"one issue " * 50}
+
+
+def test_payloads_are_read_once(spark):
+    df = spark.createDataFrame([("0x1", "Foo", '{"sources":{"a":{"content":"contract Foo {}"}}}'), ("0x2", "Foo", " \t\n"), ("0x3", None, "{cut")],
+                               "address string, contract_name string, source_code string")
+    out = files.verified_sources(df)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 3
+    assert {r.address: (r.multi_file, r.solidity) for r in out.collect()} == {
+        "0x1": (True, "contract Foo {}"), "0x2": (False, " \t\n"), "0x3": (True, None)}
+
+
+def test_bodies_are_found_from_matched_tokens_only(spark):
+    # every statement adds a token; only those of heads and bodies change the fold's state
+    fold = spark.range(1).select(F.split(F.lit("a"), "b").alias("t")).select(profile.body_ranges("t").alias("x"))
+    assert "filter(" in fold._jdf.queryExecution().analyzed().toString()
+    text = "contract C {\n" + "    uint256 public a;\n" * 3000 + "    function f() external { g(); }\n    enum E { X, Y }\n}\nabstract  contract D{}"
+    got = profile.profile(spark.createDataFrame([("a", text)], "file string, text string")).first()
+    assert (got.functions_removed, got.types_replaced) == (1, 0)
+    names = profile.declarations(spark.createDataFrame([("a", text)], "file string, text string"))
+    assert {r.name for r in names.collect()} == {"C", "D", "E", "X", "Y"}
